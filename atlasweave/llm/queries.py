@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from atlasweave.llm.bpe import op3_byte_bpe
 from atlasweave.llm.jaccard_join import op2_ngram_jaccard_join
+from atlasweave.llm.kneser_ney import op4_lm_scoring
+from atlasweave.llm.language_id import op5_language_id
+from atlasweave.llm.token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_byte_bpe, op4_lm_scoring, op5_language_id, op7_token_counts)}
 
 ORACLES: dict[str, str] = {}
