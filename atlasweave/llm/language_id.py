@@ -54,7 +54,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
     for _ in range(EPOCHS):
         for i in rng.permutation(train):
             _, at, share = rows[i]
-            h = share @ e[at]
+            h = np.einsum("i,ij->j", share, e[at])
             g = softmax(h @ w + bias)
             g[y[i]] -= 1
             back = (w @ g).astype(np.float32)
@@ -68,8 +68,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
             bias -= RATE * 0.05 * g / np.sqrt(gb)
     table = (e @ w).astype(np.float32)
     check = np.flatnonzero(aside) if aside.any() else train
-    logits = np.stack([rows[i][2] @ table[rows[i][1]] + bias for i in check])
-    heat = min(np.geomspace(0.05, 5, 60), key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean())
+    logits = np.stack([np.einsum("i,ij->j", rows[i][2], table[rows[i][1]]) + bias for i in check])
+    heat = min(np.geomspace(0.5, 5, 40), key=lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean())
     p = softmax(logits / heat)
     right = p.argmax(axis=1) == y[check]
     threshold = min(0.5, float(np.quantile(p.max(axis=1)[right], REJECT))) if right.any() else 0.0
@@ -83,7 +83,7 @@ def train(docs: DataFrame) -> dict:
     sample = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     if sample.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    found = keep_ids(known, sample, "doc_id").mapInArrow(_examples, "doc_id long, lang string, ids array<int>, shares array<float>")
+    found = keep_ids(known, sample, "doc_id").select("doc_id", "lang", "text").mapInArrow(_examples, "doc_id long, lang string, ids array<int>, shares array<float>")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], len(r["ids"])))  # at most SAMPLE * LANGUAGES, of 2**BITS values
     return fit([(r["lang"], np.array(r["ids"], np.int64), np.array(r["shares"], np.float32)) for r in rows])
 
