@@ -57,6 +57,10 @@ class Sizes:
     def partners(self, a: int) -> range:
         return range(-(-self.t * a // 100), 100 * a // self.t + 1)
 
+    def others(self, a: int) -> bool:
+        """Whether a set of this size can link with a set that isn't equal."""
+        return self.partners(a)[-1] > a or self.partners(a)[0] < a or self.apart(a, a) >= 2
+
     def level(self, n: int) -> int:
         while self.lows[-1] <= n:
             self.lows.append(100 * self.lows[-1] // self.t + 1)
@@ -135,18 +139,14 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def _signatures(n_words: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(threshold)
-        none = np.zeros(0, np.uint64)
         for b in pieces(batches, 1):
-            n, k1, k2, small, blocks, sketch = [], [], [], [], [], []
+            n, k1, k2, sketch = [], [], [], []
             for s in _batch_sets(b, n_words):
                 n.append(len(s))
                 k1.append(np.add.reduce(mix(s + np.uint64(0x51))) if len(s) else np.uint64(0))
                 k2.append(np.add.reduce(mix(s ^ np.uint64(0xF00D5))) if len(s) else np.uint64(0))
-                small.append(s if len(s) <= SMALL else none)
-                has = len(s) > 0 and sizes.partners(len(s))[-1] > len(s)
-                blocks.append(_block_keys(s, sizes) if has else none)
-                sketch.append(_sketch(s) if has else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), _lists(small), _lists(blocks), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "small", "blocks", "sketch"])
+                sketch.append(_sketch(s) if len(s) and sizes.others(len(s)) else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(k1, np.uint64).view(np.int64)), pa.array(np.array(k2, np.uint64).view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
 
     return run
 
@@ -168,30 +168,25 @@ def boundary_by_cost(histogram: dict[int, int], threshold: int) -> int:
     return min(range(SMALL + 1), key=lambda x: (sum(n * (light if s <= x else heavy)[s] for s, n in histogram.items() if 1 <= s <= SMALL), x))
 
 
-def _list_keys(threshold: int, boundary: int):
-    """(doc_id, n_shingles, small, blocks) to the keys of the lists that the document is in."""
+def _list_keys(n_words: int, threshold: int, boundary: int):
+    """(doc_id, text) to the keys of the lists that the document is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(threshold)
-        for b in batches:
-            ids, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            keys, who = [], []
-            for i in np.flatnonzero(n <= boundary):
-                s = np.array(b.column(2)[int(i)].values.to_numpy(zero_copy_only=False)).view(np.uint64)
-                for t, c in sizes.subsets(len(s), boundary):
-                    own = [np.add.reduce(mix(np.array(x, np.uint64) + np.uint64(7))) for x in combinations(s.tolist(), c)]
-                    k = mix(np.array(own, np.uint64) ^ np.uint64((min(len(s), t) << 20) + max(len(s), t)))
-                    keys.append(k)
-                    who.append(np.full(len(k), ids[i]))
-            col = b.column(3)
-            off = np.asarray(col.offsets)
-            heavy = np.array([x > boundary or sizes.partners(int(x))[-1] > boundary for x in n], bool)
-            of = np.repeat(np.arange(len(n)), np.diff(off))
-            flat = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-            keep = heavy[of] if len(of) else np.zeros(0, bool)
-            keys.append(flat[keep].view(np.uint64))
-            who.append(ids[of[keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(who).astype(np.int64))], ["key", "doc_id"])
+        for b in pieces(batches, 1):
+            keys, count = [np.zeros(0, np.uint64)], []
+            for s in _batch_sets(b, n_words):
+                own, n = [], len(s)
+                if 0 < n <= boundary:
+                    for t, c in sizes.subsets(n, boundary):
+                        sums = [np.add.reduce(mix(np.array(x, np.uint64) + np.uint64(7))) for x in combinations(s.tolist(), c)]
+                        own.append(mix(np.array(sums, np.uint64) ^ np.uint64((min(n, t) << 20) + max(n, t))))
+                if n and sizes.others(n) and sizes.partners(n)[-1] > boundary:
+                    own.append(_block_keys(s, sizes))
+                keys += own
+                count.append(sum(map(len, own)))
+            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids.astype(np.int64))], ["key", "doc_id"])
 
     return run
 
@@ -295,15 +290,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    all_sets = written(docs.mapInArrow(_signatures(n_words, threshold), "doc_id long, n_shingles long, k1 long, k2 long, small array<long>, blocks array<long>, sketch binary"), "sets")
+    all_sets = written(docs.mapInArrow(_signatures(n_words, threshold), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sets")
     sets = all_sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = written(sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep"), "copies")
     reps = drop_ids(sets, copies, "doc_id")
     histogram = {r["n_shingles"]: r["n"] for r in reps.where(F.col("n_shingles") <= SMALL).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
-    keys = reps.select("doc_id", "n_shingles", "small", "blocks").mapInArrow(_list_keys(threshold, boundary_by_cost(histogram, threshold)), "key long, doc_id long")
-    heads = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead != last").drop("last")
-    members = written(keys.join(heads, "key"), "members")
+    # keys are made twice, once for counting and once for the members of lists, as they are larger than the texts
+    keys = drop_ids(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), copies, "doc_id").mapInArrow(_list_keys(n_words, threshold, boundary_by_cost(histogram, threshold)), "key long, doc_id long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    listed = written(keys.join(shared, "key"), "listed")
+    heads = listed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead != last").drop("last")
+    members = written(listed.join(heads, "key"), "members")
     light = reps.select("doc_id", "n_shingles", "sketch")
     star = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
