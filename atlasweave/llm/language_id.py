@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasweave.llm._hashed import counted, softmax, sums
 from atlasweave.llm._spark import keep_ids
@@ -88,8 +89,8 @@ def train(docs: DataFrame) -> dict:
     return fit([(r["lang"], np.array(r["ids"], np.int64), np.array(r["shares"], np.float32)) for r in rows])
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, text) to doc_id, lang_pred, score, accepted."""
+def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) to doc_id, lang_pred, score, accepted and the columns to carry along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS values a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +105,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             best = p.argmax(axis=1)
             score = np.where(has, p.max(axis=1), 0.0)
             pred = [m["langs"][k] if h else "und" for k, h in zip(best, has)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(has & (score >= m["threshold"]))], ["doc_id", "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(has & (score >= m["threshold"])), *(b.column(b.schema.get_field_index(c)) for c in carry)], ["doc_id", "lang_pred", "score", "accepted", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType()), *(docs.schema[c] for c in carry)]))
 
 
 def language_ids(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasweave.llm._hashed import counted, sums
 from atlasweave.llm._spark import keep_ids, written
@@ -167,8 +168,8 @@ def train(docs: DataFrame) -> tuple[dict, dict]:
     return scorer, weak | {"posterior": post}
 
 
-def score(docs: DataFrame, scorer: dict, weak: dict) -> DataFrame:
-    """(doc_id, text) to doc_id, weak_label, quality, accepted."""
+def score(docs: DataFrame, scorer: dict, weak: dict, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) to doc_id, weak_label, quality, accepted and the columns to carry along."""
     shared = docs.sparkSession.sparkContext.broadcast((scorer, weak["posterior"]))  # 2**BITS weights and at most 3**7 patterns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,10 @@ def score(docs: DataFrame, scorer: dict, weak: dict) -> DataFrame:
             empty = np.isnan(m).all(axis=1)
             q[empty] = 0.0
             weak_label = [post.get(p, 0.5) for p in _pattern(votes(m)).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak_label, pa.float64()), pa.array(q), pa.array((q >= ACCEPT) & ~empty)], ["doc_id", "weak_label", "quality", "accepted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak_label, pa.float64()), pa.array(q), pa.array((q >= ACCEPT) & ~empty), *(b.column(b.schema.get_field_index(c)) for c in carry)], ["doc_id", "weak_label", "quality", "accepted", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, weak_label double, quality double, accepted boolean")
+    docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("weak_label", T.DoubleType()), T.StructField("quality", T.DoubleType()), T.StructField("accepted", T.BooleanType()), *(docs.schema[c] for c in carry)]))
 
 
 def quality(docs: DataFrame) -> DataFrame:
