@@ -66,7 +66,7 @@ def postal_parts(local: Column) -> Column:
     rest = local.bitwiseAND(F.lit((1 << 48) - 1))
     digits = F.transform(F.sequence(F.lit(8), F.lit(0), F.lit(-1)), lambda i: F.floor(rest / F.pow(F.lit(38.0), i)).cast("bigint") % 38)
     size = F.aggregate(F.sequence(F.lit(0), F.lit(8)), F.lit(0), lambda a, i: F.when(F.floor(rest / F.pow(F.lit(38.0), i)) > 0, i + 1).otherwise(a))
-    text = F.array_join(F.transform(F.slice(digits, 10 - size - F.lit(0), F.greatest(size, F.lit(1))), lambda d: F.substring(F.lit(ZIP_ALPHABET), (d + 1).cast("int"), F.lit(1))), "")
+    text = F.array_join(F.transform(F.slice(digits, 10 - size, F.greatest(size, F.lit(1))), lambda d: F.substring(F.lit(ZIP_ALPHABET), (d + 1).cast("int"), F.lit(1))), "")
     code = F.when(size == 0, F.lit("")).otherwise(text)
     french = (
         F.when(code.endswith("CE"), F.replace(code, F.lit("CE"), F.lit(" CEDEX")))
@@ -75,4 +75,4 @@ def postal_parts(local: Column) -> Column:
         .when(code.contains("CI"), F.replace(code, F.lit("CI"), F.lit(" CITYSSIMO")))
         .otherwise(code)
     )
-    return F.struct(cc.alias("cc"), F.when(cc == "FR", french).otherwise(code).alias("code"))
+    return F.when(local.isNotNull(), F.struct(cc.alias("cc"), F.when(cc == "FR", french).otherwise(code).alias("code")))

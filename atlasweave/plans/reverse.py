@@ -126,9 +126,9 @@ def reverse_geocode(points: DataFrame, index: DataFrame, features: DataFrame, li
 
 
 def bulk_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(qid, rank, fid) to distinct places with a position, and for each request its list of positions in rank order."""
-    places = rows.select("fid").distinct().withColumn("pos", F.dense_rank().over(W.orderBy("fid")) - 1)
-    lists = rows.join(places, "fid").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"]).alias("positions"))
+    """(batch, qid, rank, fid): the distinct places of each bulk request with a position, and each input's positions in order."""
+    places = rows.select("batch", "fid").distinct().withColumn("pos", F.row_number().over(W.partitionBy("batch").orderBy("fid")) - 1)
+    lists = rows.join(places, ["batch", "fid"]).groupBy("batch", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos"))), lambda x: x["pos"]).alias("positions"))
     return places, lists
 
 
