@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from atlasweave.llm._text import pieces
 
-CACHE = 200_000  # pre-tokens whose ids a worker keeps
+CACHE = 700_000  # pre-tokens whose ids a worker keeps
 
 
 def byte_characters() -> list[str]:
@@ -69,6 +69,18 @@ def sentencepiece_model(vocabulary: list[bytes]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normalizer)
 
 
+class _Known(dict):
+    """Pre-tokens to ids; one that is missing is encoded and kept."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, token: str) -> bytes:
+        out = self[token] = self.codec.learn(token)
+        return out
+
+
 class Codec:
     """Encodes and decodes; one for each Python worker."""
 
@@ -81,29 +93,22 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(vocabulary))
         self.map = {b: c for b, c in enumerate(byte_characters())}
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, tokens: set[str]) -> None:
-        rest = []
-        for t in tokens:
-            raw = t.encode()
-            if raw in self.ids:
-                self.known[t] = struct.pack("<I", self.ids[raw])
-            else:
-                rest.append((t, raw.decode("latin-1").translate(self.map)))
-        for (t, _), ids in zip(rest, self.model.encode([m for _, m in rest], out_type=int, num_threads=1)):
-            self.known[t] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known = _Known(self)
+
+    def learn(self, token: str) -> bytes:
+        """The ids of one pre-token."""
+        raw = token.encode()
+        own = self.ids.get(raw)
+        if own is not None:
+            return own.to_bytes(4, "little")
+        ids = self.model.EncodeAsIds(raw.decode("latin-1").translate(self.map))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        tokens = self.find(text)
-        new = set(tokens).difference(self.known)
-        if new:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                new = set(tokens)
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, tokens))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
@@ -151,7 +156,11 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([codec.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
+                lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
+                off = np.asarray(lists.offsets)
+                ids = lists.values.to_numpy()[off[0] : off[-1]].tolist()
+                cut = (off - off[0]).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([codec.decode(ids[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
