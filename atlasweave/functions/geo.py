@@ -110,7 +110,9 @@ def cell_level(cell: int) -> int:
 
 
 def read_wkb(b: bytes) -> list[list[np.ndarray]]:
-    """Polygons as lists of rings (outer first) of a WKB polygon or multipolygon; a point is one ring of one vertex."""
+    """Polygons as lists of rings (outer first) of a WKB polygon or multipolygon; a point is one ring of one vertex.
+
+    Anything that can't be read is a ValueError."""
     pos = 0
 
     def geometry():
@@ -141,7 +143,10 @@ def read_wkb(b: bytes) -> list[list[np.ndarray]]:
             return [p for _ in range(count()) for p in geometry()]
         raise ValueError(f"geometry of kind {kind}")
 
-    return geometry()
+    try:
+        return geometry()
+    except struct.error as e:
+        raise ValueError("cut off") from e
 
 
 def write_wkb(polygons: list[list[np.ndarray]]) -> bytes:
