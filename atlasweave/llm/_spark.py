@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows in an Arrow batch at most. A batch of whole texts is held several times over by a task and its worker.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's size of Arrow batches to BATCH_ROWS if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by all machines: ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a temporary one."""
     sc = spark.sparkContext

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasweave.llm._hashed import counted, softmax, sums
-from atlasweave.llm._spark import keep_ids
+from atlasweave.llm._spark import bounded, keep_ids
 from atlasweave.llm._text import column_bytes, pieces
 
 SAMPLE = 400  # documents a language
@@ -33,9 +33,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, shares = [], []
         for t in b.column(2).to_pylist():
             i, s = counted(t.encode(), BITS, True)
-            ids.append(i.tolist())
-            shares.append(s.tolist())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["doc_id", "lang", "ids", "shares"])
+            ids.append(i.astype(np.int32).tobytes())
+            shares.append(s.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "lang", "ids", "shares"])
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
@@ -79,14 +79,14 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
 
 def train(docs: DataFrame) -> dict:
     """Fits on (doc_id, text, lang); null languages and texts aren't used."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    known = bounded(docs).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     if sample.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    found = keep_ids(known, sample, "doc_id").select("doc_id", "lang", "text").mapInArrow(_examples, "doc_id long, lang string, ids array<int>, shares array<float>")
+    found = keep_ids(known, sample, "doc_id").select("doc_id", "lang", "text").mapInArrow(_examples, "doc_id long, lang string, ids binary, shares binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], len(r["ids"])))  # at most SAMPLE * LANGUAGES, of 2**BITS values
-    return fit([(r["lang"], np.array(r["ids"], np.int64), np.array(r["shares"], np.float32)) for r in rows])
+    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
 
 
 def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFr
             pred = [m["langs"][k] if h else "und" for k, h in zip(best, has)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(has & (score >= m["threshold"])), *(b.column(b.schema.get_field_index(c)) for c in carry)], ["doc_id", "lang_pred", "score", "accepted", *carry])
 
-    docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    docs = bounded(docs).select("doc_id", "text", *(c for c in carry if c != "text"))
     return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType()), *(docs.schema[c] for c in carry)]))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasweave.llm._hashed import counted, sums
-from atlasweave.llm._spark import keep_ids, written
+from atlasweave.llm._spark import bounded, keep_ids, written
 from atlasweave.llm._text import column_bytes, hash_words, mix, pieces
 
 SAMPLE = 2000  # documents of each weak label
@@ -129,9 +129,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, shares = [], []
         for t in b.column(1).to_pylist():
             i, s = counted((t or "").encode(), BITS, False)
-            ids.append(i.tolist())
-            shares.append(s.tolist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pattern(votes(m)), pa.int64()), pa.array(_levels(m).tolist(), pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["doc_id", "pattern", "levels", "ids", "shares"])
+            ids.append(i.astype(np.int32).tobytes())
+            shares.append(s.astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pattern(votes(m)), pa.int64()), pa.array(_levels(m).tolist(), pa.list_(pa.int64())), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "pattern", "levels", "ids", "shares"])
 
 
 def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray, np.ndarray]], seed: int = 5) -> dict:
@@ -154,7 +154,7 @@ def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray, np.ndarray]], see
 
 def train(docs: DataFrame) -> tuple[dict, dict]:
     """Fits the weak-label model on all of (doc_id, text) and the scorer on its sample; returns scorer and weak model."""
-    voted = written(docs.select("doc_id", "text").mapInArrow(_vote_rows, "doc_id long, pattern long"), "votes")
+    voted = written(bounded(docs).select("doc_id", "text").mapInArrow(_vote_rows, "doc_id long, pattern long"), "votes")
     patterns = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return {"table": np.zeros((1 << BITS, 1), np.float32), "levels": np.zeros(len(NAMES) * LEVELS), "bias": 0.0}, {"good_share": 0.5, "accuracy": {}, "posterior": {}}
@@ -162,9 +162,9 @@ def train(docs: DataFrame) -> tuple[dict, dict]:
     bad = [p for p, x in post.items() if x < 0.5]
     order = W.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = voted.where("doc_id IS NOT NULL").withColumn("good", ~F.col("pattern").isin(bad)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
-    found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, "doc_id").select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids array<int>, shares array<float>")
+    found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, "doc_id").select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids binary, shares binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], len(r["ids"])))  # at most 2 * SAMPLE, of 2**BITS values
-    scorer = fit_scorer([(post[r["pattern"]], np.array(r["levels"]), np.array(r["ids"], np.int64), np.array(r["shares"], float)) for r in rows])
+    scorer = fit_scorer([(post[r["pattern"]], np.array(r["levels"]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
     return scorer, weak | {"posterior": post}
 
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, scorer: dict, weak: dict, carry: tuple[str, ...] = ()
             weak_label = [post.get(p, 0.5) for p in _pattern(votes(m)).tolist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak_label, pa.float64()), pa.array(q), pa.array((q >= ACCEPT) & ~empty), *(b.column(b.schema.get_field_index(c)) for c in carry)], ["doc_id", "weak_label", "quality", "accepted", *carry])
 
-    docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    docs = bounded(docs).select("doc_id", "text", *(c for c in carry if c != "text"))
     return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("weak_label", T.DoubleType()), T.StructField("quality", T.DoubleType()), T.StructField("accepted", T.BooleanType()), *(docs.schema[c] for c in carry)]))
 
 
