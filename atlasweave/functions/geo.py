@@ -84,14 +84,13 @@ _TURN = np.array([1, 0, 0, 3])  # position to change of orientation: 1 swaps, 2
 def _from_ij(face: np.ndarray, i: np.ndarray, j: np.ndarray, level: int) -> np.ndarray:
     pos = np.zeros(face.shape, np.uint64)
     turn = face & 1
-    for k in range(29, -1, -1):
+    for k in range(29, 29 - level, -1):
         cell = ((i >> k) & 1) * 2 + ((j >> k) & 1)
         p = _ORDER[turn, cell]
         pos = pos << np.uint64(2) | p.astype(np.uint64)
         turn = turn ^ _TURN[p]
-    out = face.astype(np.uint64) << np.uint64(61) | pos << np.uint64(1) | np.uint64(1)
-    low = np.uint64(1 << (2 * (30 - level)))
-    return ((out & (~low + np.uint64(1))) | low).view(np.int64)
+    out = face.astype(np.uint64) << np.uint64(61) | pos << np.uint64(61 - 2 * level) | np.uint64(1 << (60 - 2 * level))
+    return out.view(np.int64)
 
 
 def cell_udf(level: int):
@@ -156,13 +155,18 @@ def write_wkb(polygons: list[list[np.ndarray]]) -> bytes:
 
 
 def _in_ring(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    inside = np.zeros(np.shape(x), bool)
-    x0, y0 = ring[:, 0], ring[:, 1]
-    x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
-    for a, b, c, d in zip(x0, y0, x1, y1):
-        if b != d:
-            inside ^= ((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b) + a)
-    return inside
+    """Ray casting of all points against all edges, in blocks of about a million pairs."""
+    shape = np.shape(x)
+    x, y = np.ravel(x), np.ravel(y)
+    a, b = ring[:, 0, None], ring[:, 1, None]
+    c, d = np.roll(a, -1, axis=0), np.roll(b, -1, axis=0)
+    rise = np.where(d == b, 1.0, d - b)
+    inside = np.zeros(len(x), bool)
+    step = max(1, 1_000_000 // max(1, len(ring)))
+    for lo in range(0, len(x), step):
+        px, py = x[None, lo : lo + step], y[None, lo : lo + step]
+        inside[lo : lo + step] = (((b > py) != (d > py)) & (px < (c - a) * (py - b) / rise + a)).sum(axis=0) & 1
+    return inside.reshape(shape)
 
 
 def contains(polygons: list[list[np.ndarray]], x, y) -> np.ndarray:
@@ -252,7 +256,11 @@ def cover(polygons: list[list[np.ndarray]], levels: tuple[int, ...] = S.REVGEO_L
             xs, ys = np.arange(w - step, e + 2 * step, step), np.arange(max(-90, s - step), min(90, n + 2 * step), step)
             gx, gy = (g.ravel() for g in np.meshgrid(xs, ys))
             near = contains([[r]], gx, gy)
-            edge = np.concatenate([np.linspace(a, b, max(2, int(np.hypot(*(b - a)) / step * 2) + 2)) for a, b in zip(r, np.roll(r, -1, axis=0))])
+            to = np.roll(r, -1, axis=0) - r
+            n_steps = np.maximum(2, (np.hypot(to[:, 0], to[:, 1]) / step * 2).astype(int) + 2)
+            of = np.repeat(np.arange(len(r)), n_steps)
+            along = (np.arange(len(of)) - np.repeat(np.cumsum(n_steps) - n_steps, n_steps)) / (n_steps[of] - 1)
+            edge = r[of] + along[:, None] * to[of]
             around = (edge[:, None, :] + np.array([[dx, dy] for dx in (-step / 2, 0, step / 2) for dy in (-step / 2, 0, step / 2)])).reshape(-1, 2)
             pts = np.concatenate([np.stack([gx[near], gy[near]], axis=1), around])
             pts[:, 1] = np.clip(pts[:, 1], -90, 90)

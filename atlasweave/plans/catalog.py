@@ -26,7 +26,7 @@ def query(f):
 
 
 def _store(spark: SparkSession, d: str) -> gc.Store:
-    return gc.Store.of(gz.features(spark, d), gz.names(spark, d))
+    return gc.Store.of(gz.features(spark, d), gz.names(spark, d)).written()
 
 
 def _csv(col, sep=","):

@@ -52,6 +52,10 @@ class Store:
     def of(cls, features: DataFrame, names: DataFrame) -> Store:
         return cls(features.select(*[c.split()[0] for c in S.FEATURES.split(", ")]), names, name_rows(names, features))
 
+    def written(self) -> Store:
+        """The store with its tables written to the shared folder, for requests that read them several times."""
+        return Store(cut(self.features, "features"), cut(self.names, "names"), cut(self.rows, "rows"))
+
     def with_edits(self, changed: DataFrame, deleted: DataFrame) -> Store:
         """The store after an overlay of changed (a store's features) and deleted places."""
         from atlasweave.operators.enrich import overlay
