@@ -31,7 +31,9 @@ def lines(spark: SparkSession, paths: list[str], comments: bool = True, glob: st
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    out = reader.text(found).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id() % 1_000_000).cast("bigint").alias("line"))
+    out = reader.text(found).select("value", F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.file_block_start") / 4096).alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    # blocks of a file are over 4 KB apart and its rows are in order within a task, so this is the order of lines
+    out = out.select("value", "file", (F.shiftleft("block", 33) + F.col("row")).alias("line"))
     return out.where(~F.col("value").startswith("#")) if comments else out
 
 
@@ -132,9 +134,9 @@ def _flags(text: Column) -> Column:
 
 
 def edits(spark: SparkSession, ignores: list[str] = (), moves: list[str] = (), name_deletes: list[str] = (), name_transforms: list[str] = ()) -> DataFrame:
-    """(fid, seq, kind, lat, lng, name_kind, name, lang, flags) of the edit files, transforms before deletes."""
+    """(fid, seq, kind, lat, lng, name_kind, name, lang, flags) of the edit files, transforms before deletes; seq orders them."""
     n = lambda t: F.lit(None).cast(t)
-    cols = lambda d, fid, kind, lat, lng, nk, name, lang, flags, rank: d.select(fid.alias("fid"), (F.lit(rank << 50) + F.col("line")).alias("seq"), F.lit(kind).alias("kind"), lat.alias("lat"), lng.alias("lng"), nk.alias("name_kind"), name.alias("name"), lang.alias("lang"), flags.alias("flags")).where("fid IS NOT NULL")
+    cols = lambda d, fid, kind, lat, lng, nk, name, lang, flags, rank: d.select(fid.alias("fid"), F.struct(F.lit(rank).alias("rank"), "file", "line").alias("seq"), F.lit(kind).alias("kind"), lat.alias("lat"), lng.alias("lng"), nk.alias("name_kind"), name.alias("name"), lang.alias("lang"), flags.alias("flags")).where("fid IS NOT NULL")
     a = cols(lines(spark, list(ignores)), _id(F.col("value")), "Remove", n("double"), n("double"), n("string"), n("string"), n("string"), n("int"), 0)
     m = _cut(lines(spark, list(moves)), r"\|").where(F.size("p") == 2).withColumn("ll", F.split(_p(1), ",")).where(F.size("ll") == 2)
     m = cols(m, _id(_p(0)), "Modify", F.get("ll", F.lit(0)).try_cast("double"), F.get("ll", F.lit(1)).try_cast("double"), n("string"), n("string"), n("string"), n("int"), 1).where("lat IS NOT NULL AND lng IS NOT NULL")
