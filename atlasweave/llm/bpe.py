@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasweave.llm._spark import bounded
 from atlasweave.llm._text import pieces
 
-CACHE = 700_000  # pre-tokens whose ids a worker keeps
+CACHE = 400_000  # pre-tokens whose ids a worker keeps
 
 
 def byte_characters() -> list[str]:
@@ -144,7 +145,7 @@ def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "tex
         for b in pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), _int_lists([codec.encode(t) if t else b"" for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids array<int>")
 
 

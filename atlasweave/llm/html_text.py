@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasweave.llm._spark import bounded
 from atlasweave.llm._text import pieces
 
 # HTML elements by kind.
@@ -228,7 +229,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Null, empty and textless html give an empty text; a page cut off inside a tag or element is read as far as it goes; rows
     that repeat give equal rows; other columns are ignored.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
 
 

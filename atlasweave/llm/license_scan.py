@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasweave.llm._spark import bounded
 from atlasweave.llm._text import pieces
 
 # The phrases and labels that every scan reports.
@@ -160,7 +161,7 @@ def license_places(docs: DataFrame, templates: dict[str, str] | None = None, id_
             n, base, found = zip(*(scan(t or "", automata) for t in b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([[{"word": w, "label": x} for w, x in r] for r in base], pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))), pa.array([[{"first": s, "last": e - 1, "label": x} for s, e, x in r] for r in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())])))], ["doc_id", "n_words", "base", "matches"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, _SCHEMA)
 
 
