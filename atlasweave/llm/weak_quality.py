@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,8 +159,9 @@ def train(docs: DataFrame) -> tuple[dict, dict]:
         return {"table": np.zeros((1 << BITS, 1), np.float32), "levels": np.zeros(len(NAMES) * LEVELS), "bias": 0.0}, {"good_share": 0.5, "accuracy": {}, "posterior": {}}
     post, weak = expectation_maximisation(patterns)
     bad = [p for p, x in post.items() if x < 0.5]
-    order = W.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = voted.where("doc_id IS NOT NULL").withColumn("good", ~F.col("pattern").isin(bad)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    known = voted.where("doc_id IS NOT NULL")
+    side = lambda c: known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = side(F.col("pattern").isin(bad)).union(side(~F.col("pattern").isin(bad)))
     found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, "doc_id").select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids binary, shares binary")
     rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], len(r["ids"])))  # at most 2 * SAMPLE, of 2**BITS values
     scorer = fit_scorer([(post[r["pattern"]], np.array(r["levels"]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
