@@ -337,6 +337,58 @@ def order_keys(spark, d) -> DataFrame:
     return li.withColumn("n", F.row_number().over(W.partitionBy("l_suppkey").orderBy(F.col("cell") < 0, "cell"))).where("n <= 20").select("l_suppkey", "n", "cell")
 
 
+@query
+def list_edits(spark, d) -> DataFrame:
+    """Parents of towns after one list edit each: add (remove and append) or remove a country or division."""
+    f = gz.features(spark, d).where(f"woe = {S.TOWN}")
+    k = F.col("key") if "key" in f.columns else ids.local_of(F.col("fid"))
+    v = F.get("parents", (k % 2).cast("int"))
+    done = F.when(k % 3 == 0, F.concat(F.array_remove("parents", v), F.array(v))).when(k % 3 == 1, F.array_remove("parents", v)).otherwise(F.col("parents"))
+    return f.select("fid", _csv(done).alias("parents"), F.coalesce(F.array_contains("parents", v) & (F.size(done) == 0), F.lit(False)).alias("emptied"))
+
+
+@query
+def concordances(spark, d) -> DataFrame:
+    """Ids of divisions with those of their suppliers appended."""
+    f = gz.features(spark, d).where(f"woe = {S.ADMIN1}").select("fid")
+    more = gz.table(spark, d, "supplier").select(ids.feature_id(1, F.col("s_nationkey")).alias("fid"), F.col("s_suppkey").alias("other"))
+    return enrich.join_concordances(f, more).select("fid", _csv(F.col("ids")).alias("ids"))
+
+
+@query
+def slug_join(spark, d) -> DataFrame:
+    """Customers' orders as slugs: current before deprecated, best first, the first is shown."""
+    f = gz.features(spark, d).where(f"woe = {S.TOWN}").select("fid")
+    o = gz.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(ids.feature_id(3, F.col("o_custkey")).alias("fid"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("slug"), F.floor("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("deprecated"))
+    return enrich.join_slugs(f, o).select("fid", "slug", F.array_join("slugs", ",").alias("slugs"))
+
+
+@query
+def attribute_join(spark, d) -> DataFrame:
+    """Attributes of parts: the smallest row of each, present fields only."""
+    f = gz.features(spark, d).where(f"woe IN ({S.SUBURB}, {S.POI})").select("fid", F.lit(20).alias("scalerank"))
+    a = gz.table(spark, d, "lineitem").where("l_linenumber < 3").select(ids.feature_id(6, F.col("l_partkey")).alias("fid"), F.col("l_linenumber").alias("scalerank"), F.when(F.col("l_returnflag") == "R", F.lit(1)).alias("worldcity"))
+    return enrich.join_attributes(f, a, ["scalerank", "worldcity"])
+
+
+@query
+def extract_divisions(spark, d) -> DataFrame:
+    """Gazetteer lines of class A whose codes go as deep as their level."""
+    from atlasweave.sources.readers import extract_admin
+
+    n = gz.table(spark, d, "nation")
+    k = F.col("n_nationkey")
+    cells = [k.cast("string"), F.col("n_name"), F.lower("n_name"), F.lit(""), F.lit("1"), F.lit("2"), F.when(k % 4 == 3, "P").otherwise("A"), F.concat(F.lit("ADM"), (k % 4 + 1).cast("string")), F.lit("US"), F.lit(""), F.concat(F.lit("S"), (k % 5).cast("string")), F.when(k % 2 == 1, k.cast("string")).otherwise(""), *[F.lit("")] * 7]
+    return extract_admin(n.select(F.concat_ws("\t", *cells).alias("value")))
+
+
+@query
+def round_robin_countries(spark, d) -> DataFrame:
+    """Fifty towns, one of each country in turn, the most populous first."""
+    f = gz.features(spark, d).where(f"woe = {S.TOWN}").select("fid", "cc", "population")
+    return indexes.round_robin(f, "cc", [F.desc("population"), F.col("fid")], 50)
+
+
 # without SQL: cells, polygons, exact geometry
 
 

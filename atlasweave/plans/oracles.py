@@ -115,4 +115,14 @@ ORACLES = {
  c AS (SELECT old, new, CASE WHEN old IS NULL THEN 'geocoded more' WHEN new IS NULL THEN 'geocoded less' WHEN old = new THEN 'same' ELSE 'changed' END AS outcome FROM a FULL JOIN b USING (l_orderkey)) SELECT outcome, count(*) AS n, count(DISTINCT CASE WHEN old IS NOT NULL AND new IS NOT NULL THEN old::VARCHAR || '-' || new::VARCHAR END) AS pairs FROM c GROUP BY 1""",
     "missing_parents": GAZ + " SELECT DISTINCT x AS fid FROM (SELECT unnest(parents) AS x FROM f WHERE woe = 7) WHERE x NOT IN (SELECT (1::BIGINT << 56) + s_nationkey FROM supplier WHERE s_acctbal > 5000)",
     "order_keys": "SELECT l_suppkey, n::INT AS n, cell FROM (SELECT l_suppkey, cell, row_number() OVER (PARTITION BY l_suppkey ORDER BY cell < 0, cell) AS n FROM (SELECT DISTINCT l_suppkey, (l_orderkey - 5000) * 7 + l_linenumber AS cell FROM lineitem)) WHERE n <= 20",
+    "list_edits": GAZ + """, t AS (SELECT fid, parents, fid & 72057594037927935 AS k FROM f WHERE woe = 7), v AS (SELECT *, parents[k % 2 + 1] AS v FROM t), e AS (SELECT *, CASE k % 3 WHEN 0 THEN list_append(list_filter(parents, lambda x: x <> v), v) WHEN 1 THEN list_filter(parents, lambda x: x <> v) ELSE parents END AS l FROM v)
+ SELECT fid, array_to_string(l, ',') AS parents, len(l) = 0 AS emptied FROM e""",
+    "concordances": GAZ + " SELECT f.fid, f.fid::VARCHAR || coalesce(',' || string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS ids FROM f LEFT JOIN supplier ON (1::BIGINT << 56) + s_nationkey = f.fid WHERE woe = 8 GROUP BY f.fid",
+    "slug_join": GAZ + """, o AS (SELECT (3::BIGINT << 56) + o_custkey AS fid, 's' || o_orderkey AS slug, floor(o_totalprice)::BIGINT AS score, o_orderstatus = 'F' AS gone FROM orders WHERE o_orderkey % 5 = 0), g AS (SELECT fid, string_agg(slug, ',' ORDER BY gone, score DESC, slug) AS slugs FROM o GROUP BY fid)
+ SELECT f.fid, string_split(slugs, ',')[1] AS slug, slugs FROM f LEFT JOIN g USING (fid) WHERE woe = 7""",
+    "attribute_join": GAZ + """, a AS (SELECT (6::BIGINT << 56) + l_partkey AS fid, l_linenumber AS s, CASE WHEN l_returnflag = 'R' THEN 1 END AS w FROM lineitem WHERE l_linenumber < 3), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY s, w NULLS FIRST) AS n FROM a) WHERE n = 1)
+ SELECT f.fid, coalesce(m.s, 20)::INT AS scalerank, m.w::INT AS worldcity FROM f LEFT JOIN m USING (fid) WHERE woe IN (20, 22)""",
+    "extract_divisions": """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation), c AS (SELECT *, k % 4 + 1 AS level, CASE WHEN k % 2 = 1 THEN 2 ELSE 1 END AS depth FROM n WHERE k % 4 <> 3)
+ SELECT 'US.S' || (k % 5)::VARCHAR || CASE WHEN depth = 2 THEN '.' || k::VARCHAR ELSE '' END AS path, n_name AS name, lower(n_name) AS ascii, k::VARCHAR AS id FROM c WHERE level = depth""",
+    "round_robin_countries": GAZ + " SELECT fid, cc, population FROM (SELECT fid, cc, population, row_number() OVER (PARTITION BY cc ORDER BY population DESC, fid) AS n FROM f WHERE woe = 7) ORDER BY n, cc LIMIT 50",
 }
