@@ -106,7 +106,8 @@ def document_token_counts(docs: DataFrame, vocabulary: str | None = None, eod: i
     shared = share(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     folder = posix_dir(spark, "tokens")
     index = write_token_files(encode(docs, shared), folder, eod)
-    return index.join(count_tokens(spark, folder, eod, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens", "complete")
+    # merged by a shuffle: Parquet packs the index so well that its size on disk would pass for one to broadcast
+    return index.hint("merge").join(count_tokens(spark, folder, eod, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens", "complete")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
