@@ -20,7 +20,7 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             path = held.get()
-        elif spark.sparkContext.master.startswith("local"):
+        elif spark.sparkContext.master.split("[")[0] == "local":
             path = tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(path)
         else:
