@@ -59,14 +59,17 @@ def completions(requests: DataFrame, store: Store) -> tuple[DataFrame, DataFrame
 
 
 def balanced(rows: DataFrame) -> DataFrame:
-    """Merges rankers in order: each takes its best place not taken before if its score is high enough; the rest by default."""
-    left, out = rows, []
+    """Merges rankers in order: each takes its best place not taken before if its score is high enough; the rest by default.
+
+    All windows are partitioned by request, so the rows are shuffled once.
+    """
+    out = rows.withColumn("group", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("bigint"))
     for i, (profile, least) in enumerate(BALANCED):
-        best = left.withColumn("score", score(profile)).where(F.col("score") >= least)
-        best = cut(best.withColumn("#", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "fid"))).where("`#` = 1").drop("#").withColumn("group", F.lit(i)), "ranker")
-        out.append(best)
-        left = left.join(best.select("qid", "fid"), ["qid", "fid"], "left_anti")
-    return reduce(DataFrame.unionByName, [*out, left.withColumn("score", score("default")).withColumn("group", F.lit(len(BALANCED)))])
+        out = out.withColumn("#s", score(profile)).withColumn("#free", F.col("group").isNull() & (F.col("#s") >= least))
+        out = out.withColumn("#n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("#free"), F.desc("#s"), "fid")))
+        taken = F.col("#free") & (F.col("#n") == 1)
+        out = out.withColumn("score", F.when(taken, F.col("#s")).otherwise(F.col("score"))).withColumn("group", F.when(taken, i).otherwise(F.col("group"))).drop("#s", "#free", "#n")
+    return out.withColumn("score", F.coalesce("score", score("default"))).withColumn("group", F.coalesce("group", F.lit(len(BALANCED))))
 
 
 def autocomplete(requests: DataFrame, store: Store, bias: str = "balanced", restrict: str | None = None) -> DataFrame:

@@ -75,3 +75,21 @@ def test_hint_and_restriction(spark):
     assert ask(spark, st, "brooklyn", woe_hint=[S.TOWN])[0]["fid"] - NS == 2
     assert ask(spark, st, "brooklyn", woe_hint=[S.ADMIN2])[0]["fid"] - NS == 1
     assert ask(spark, st, "brooklyn", restrict=f"feats[0].woe = {S.TOWN}")[0]["fid"] - NS == 2
+
+
+def test_completion(spark, rego):
+    from atlasweave.plans.autocomplete import autocomplete
+
+    st = store(
+        spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Rego Park", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]), ("Rego", S.TOWN, 15, 16, 5, "US", ["US"]),
+        ("Regina", S.TOWN, 50, 60, 900, "CA", []),
+    )
+    ask_ = [(1, "reg", "US", "en"), (2, "rego park n", None, "en"), (3, "zzz", None, "en"), (4, "rego p", None, "en"), (5, "reg", "CA", "en")]
+    df = spark.createDataFrame([(*r, None, None, None, None) for r in ask_], S.REQUESTS)
+    got = {}
+    for r in autocomplete(df, st).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["fid"] - NS, r["display_name"]))
+    assert [f for f, _ in got[1]] == [2, 3, 4] and got[2] == [(2, "Rego Park, New York, US")] and 3 not in got and got[4] == [(2, "Rego Park, New York, US")]
+    assert got[5][0][0] == 4
+    one = autocomplete(df.where("qid = 1"), st, "global").orderBy("rank").collect()
+    assert one[0]["fid"] - NS == 2
