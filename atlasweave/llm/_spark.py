@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     if path is None and sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     if path is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -50,6 +50,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_mounted(spark: SparkSession) -> bool:
+    """Whether the shared folder is on a mounted file system, so that workers can map its files."""
+    return urlparse(shared_dir(spark)).scheme in ("", "file")
+
+
 def posix_dir(spark: SparkSession, what: str) -> str:
     """A new folder for plain files in the shared folder, which must be mounted as a file system on every machine."""
     url = urlparse(shared_dir(spark))

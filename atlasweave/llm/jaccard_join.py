@@ -8,14 +8,16 @@ they share ``c(a, b) = ceil(threshold * (a + b) / (100 + threshold))`` elements
 * Light: a set of size a up to the boundary enumerates, for each partner size b, its subsets of the fixed
   size c(a, b). Two sets link exactly when they share such a subset.
 * Heavy: larger sets scan inverted lists. A list is kept per block of a set, not per shingle: the universe is
-  cut by hash into k + 2 blocks, where k is the largest symmetric difference of linked sets of that size level, so
-  linked sets agree in two blocks at least. Lists of single shingles would grow with the square of a common
+  cut by hash into more blocks than k, the largest symmetric difference of linked sets of that size level, so linked
+  sets agree in some block, and in one that isn't empty unless very many are. Lists of single shingles would grow with the square of a common
   passage; a block holds about nine shingles, so its list holds documents that are nearly equal already.
 * The boundary is the size at which the enumerated subsets of all sets cost the least together with the blocks
   and the sets read for verification beyond it (``boundary_by_cost``, from the exact histogram of small sizes).
+* Keys are counted as packed blocks, and only keys of two documents or more become rows.
 * Lists are never expanded into all pairs. Each member meets its list's smallest member (star), links are
-  verified and joined to components; then only members of *different* components in one list are compared, in
-  blocks of ``BLOCK`` members, by cell sketches that can't miss a link, and what is left is verified.
+  verified and joined to components; then only members of *different* components in one list are compared, by cell
+  sketches that can't miss a link: lists of up to ``FEW`` members as pairs, longer ones inside the task in blocks of
+  ``BLOCK`` members. What is left is verified.
 
 Every step is exact: no cap on candidates, lists or sizes. Tables are cut at the shared folder.
 """
@@ -23,6 +25,7 @@ Every step is exact: no cap on candidates, lists or sizes. Tables are cut at the
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasweave.llm._spark import drop_ids, keep_ids, written
+from atlasweave.llm._packed import BLOCK as BLOCK_ROW
+from atlasweave.llm._packed import HELD, block_rows, blocks, merged, save
+from atlasweave.llm._spark import bounded, drop_ids, is_mounted, keep_ids, posix_dir, written
 from atlasweave.llm._text import column_bytes, hash_words, mix, ngrams, pieces
 
 SMALL = 32  # the boundary is searched up to this size
-BLOCK = 512  # members compared at once inside an unresolved list
+BLOCK = 512  # members compared at once inside a long unresolved list
+FEW = 32  # unresolved lists up to this length give their pairs instead
 
 
 class Sizes:
@@ -46,6 +52,7 @@ class Sizes:
             raise ValueError("threshold must be over 50 and at most 100 percent")
         self.t = threshold
         self.lows = [1]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def overlap(self, a: int, b: int) -> int:
         return -(-self.t * (a + b) // (100 + self.t))
@@ -66,10 +73,20 @@ class Sizes:
             self.lows.append(100 * self.lows[-1] // self.t + 1)
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
-    def blocks(self, level: int) -> int:
-        self.level(self.lows[-1]) if level + 1 >= len(self.lows) else None
-        high = 100 * self.lows[level] // self.t
-        return self.apart(high, high) + 2
+    def blocks(self, level: int) -> tuple[int, int]:
+        """The number of blocks of a level, and the largest symmetric difference of sets that meet there.
+
+        There are so many that hardly a set leaves as many blocks empty as agree for sure; see ``_block_keys``.
+        """
+        if level not in self.known:
+            self.level(self.lows[-1]) if level + 1 >= len(self.lows) else None
+            high, low = 100 * self.lows[level] // self.t, self.lows[max(0, level - 1)]
+            k = self.apart(high, high)
+            m = k + 2
+            while (e := m * math.exp(-low / m)) + 3 * math.sqrt(e) + 1 > m - k and m < 4 * k + 8:
+                m += 1
+            self.known[level] = m, k
+        return self.known[level]
 
     def subsets(self, a: int, most: int) -> list[tuple[int, int]]:
         """Partner sizes up to ``most`` and the size of the subsets enumerated for them; equal sets need none."""
@@ -102,14 +119,14 @@ def _block_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
     out = []
     own = sizes.level(len(s))
     for level in (own, own + 1):
-        m = sizes.blocks(level)
+        m, k = sizes.blocks(level)
         part = (mix(s ^ np.uint64(0xB10C + level)) >> np.uint64(33)) % np.uint64(m)
         order = np.argsort(part, kind="stable")
         p = part[order]
         at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         v = np.add.reduceat(mix(s[order] + np.uint64(99)), at)
         out.append(mix(v + p[at] * np.uint64(0x9E3779B97F4A7C15) + _salt(level, 1)))
-        if m - len(at) >= 2:  # two empty blocks may be the two that agree
+        if m - len(at) >= m - k:  # else a block that isn't empty agrees: at most k differ
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), p[at])
             out.append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + _salt(level, 2)))
     return np.unique(np.concatenate(out))
@@ -164,7 +181,7 @@ def boundary_by_cost(histogram: dict[int, int], threshold: int) -> int:
     """The largest size whose sets enumerate subsets: the cheapest over the histogram {size: sets} of small sizes."""
     sizes = Sizes(threshold)
     light = {s: sum(math.comb(s, c) for _, c in sizes.subsets(s, SMALL)) for s in range(1, SMALL + 1)}
-    heavy = {s: sizes.blocks(sizes.level(s)) + sizes.blocks(sizes.level(s) + 1) + s for s in range(1, SMALL + 1)}
+    heavy = {s: sizes.blocks(sizes.level(s))[0] + sizes.blocks(sizes.level(s) + 1)[0] + s for s in range(1, SMALL + 1)}
     return min(range(SMALL + 1), key=lambda x: (sum(n * (light if s <= x else heavy)[s] for s, n in histogram.items() if 1 <= s <= SMALL), x))
 
 
@@ -191,6 +208,112 @@ def _list_keys(n_words: int, threshold: int, boundary: int):
     return run
 
 
+SHARDS_OF_KEYS = 64
+
+
+def _key_blocks(keys_of):
+    """Rows to the keys that ``keys_of`` gives them, as blocks, each key with how often the task met it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            return block_rows(list(blocks(k, c, (k >> np.uint64(58)).astype(np.int64))))
+
+        for b in keys_of(batches):
+            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            size += len(held[-1])
+            if size > HELD // 2:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _save_shared(folder: str):
+    """Writes the keys that were met twice or more, sorted, one file a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, _, keys, counts in merged(batches):
+            save(folder, f"shared.{s}", keys[counts > 1])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([int((counts > 1).sum())], pa.int64())], ["shard", "n"])
+
+    return run
+
+
+def _in_lists(folder: str, keys_of):
+    """Rows to the (key, doc_id) that ``keys_of`` gives them whose key is in the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in keys_of(batches):
+            keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            keep = np.zeros(len(keys), bool)
+            cut = np.searchsorted(keys >> np.uint64(58), np.arange(SHARDS_OF_KEYS + 1, dtype=np.uint64))
+            for s in range(SHARDS_OF_KEYS):
+                if cut[s + 1] > cut[s]:
+                    if s not in tables:
+                        path = f"{folder}/shared.{s}"
+                        tables[s] = np.memmap(path, np.uint64, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, np.uint64)
+                    t, own = tables[s], keys[cut[s] : cut[s + 1]]
+                    if len(t):
+                        keep[cut[s] : cut[s + 1]] = t[np.minimum(np.searchsorted(t, own), len(t) - 1)] == own
+            at = pa.array(np.sort(order[keep]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["key", "doc_id"])
+
+    return run
+
+
+def _list_members(docs: DataFrame, keys_of) -> DataFrame:
+    """(key, doc_id) of the keys that come twice or more among those that ``keys_of`` gives (doc_id, text).
+
+    Keys are counted as packed blocks; where the shared folder is mounted, the keys that stay are mapped by the workers, else
+    they are joined by a shuffle.
+    """
+    spark, row = docs.sparkSession, "key long, doc_id long"
+    if not is_mounted(spark):
+        keys = docs.mapInArrow(keys_of, row)
+        return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key")
+    folder = posix_dir(spark, "list-keys")
+    dealt = docs.mapInArrow(_key_blocks(keys_of), BLOCK_ROW).repartition(SHARDS_OF_KEYS, "shard").sortWithinPartitions("shard", "kind")
+    dealt.mapInArrow(_save_shared(folder), "shard long, n long").agg(F.sum("n")).collect()
+    return docs.mapInArrow(_in_lists(folder, keys_of), row)
+
+
+def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc_id, comp) sorted by key, of short lists, to their pairs of different components, each once a task."""
+    out: set[tuple[int, int]] = set()
+    held: list[tuple[int, int]] = []
+    at = None
+
+    def close():
+        for i, (a, ca) in enumerate(held):
+            for b, cb in held[i + 1 :]:
+                if ca != cb and a != b:
+                    out.add((a, b) if a < b else (b, a))
+
+    def flush():
+        got = np.array(sorted(out), np.int64).reshape(-1, 2)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+    for b in batches:
+        for key, doc, comp in zip(*(c.to_pylist() for c in b.columns)):
+            if key != at:
+                close()
+                held, at = [], key
+                if len(out) > 200_000:
+                    yield flush()
+            held.append((doc, comp))
+    close()
+    yield flush()
+
+
 def _near(threshold: int):
     """Pairs (a, b, n and sketch of both) that may link by their cells."""
 
@@ -289,7 +412,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component and links with nothing. Ties can't matter; an empty table gives an empty result. Other columns are
     ignored. Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_sets = written(docs.mapInArrow(_signatures(n_words, threshold), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sets")
     sets = all_sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
@@ -297,9 +420,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = drop_ids(sets, copies, "doc_id")
     histogram = {r["n_shingles"]: r["n"] for r in reps.where(F.col("n_shingles") <= SMALL).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     # keys are made twice, once for counting and once for the members of lists, as they are larger than the texts
-    keys = drop_ids(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), copies, "doc_id").mapInArrow(_list_keys(n_words, threshold, boundary_by_cost(histogram, threshold)), "key long, doc_id long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    listed = written(keys.join(shared, "key"), "listed")
+    rest = drop_ids(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), copies, "doc_id").select("doc_id", "text")
+    listed = written(_list_members(rest, _list_keys(n_words, threshold, boundary_by_cost(histogram, threshold))), "listed")
     heads = listed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead != last").drop("last")
     members = written(listed.join(heads, "key"), "members")
     light = reps.select("doc_id", "n_shingles", "sketch")
@@ -310,12 +432,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(links)
     # members of different components in one list
     named = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_lists = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = named.join(open_lists, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    open_lists = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    rows = named.join(open_lists, "key")
+    few = rows.where(F.col("n") <= FEW).select("key", "doc_id", "comp").repartition("key").sortWithinPartitions("key")
+    few = few.mapInArrow(_few_pairs, "a long, b long").distinct()
+    few = few.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_near(threshold), "a long, b long")
+    rows = rows.where(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "comp").join(light, "doc_id")
     rows = rows.select("key", "p", "q", "side", "doc_id", "comp", "n_shingles", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    rest = written(rows.mapInArrow(_across(threshold), "a long, b long").distinct(), "pairs")
+    rest = written(few.union(rows.mapInArrow(_across(threshold), "a long, b long")).distinct(), "pairs")
     more = written(_verified(docs, rest, n_words, threshold), "links")
     if more.limit(1).count():
         comps = components(links.union(more))

@@ -19,7 +19,6 @@ their files by equal ones. The vocabulary may have up to 2**32 - 2 words. Words
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,81 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasweave.llm._spark import posix_dir
+from atlasweave.llm._spark import bounded, posix_dir
+from atlasweave.llm._packed import BLOCK, HELD, block_rows, blocks, merged, pack, save, summed
 from atlasweave.llm._text import column_bytes, hash_words, mix, pieces
 
 SHARD = 2_000_000  # tokens a shard of bigrams is made for
-HELD = 4_000_000  # keys a task holds before it sends blocks
 RANGE = 4_000_000  # word numbers in one part of the dense arrays
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences and counts, byte plane by byte plane, compressed."""
-    d = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    c = counts.astype("<u4")
-    raw = d.view(np.uint8).reshape(-1, 8).T.tobytes() + c.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(keys).to_bytes(8, "little") + bytes(pa.Codec("zstd").compress(raw, asbytes=True))
-
-
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(block[:8], "little")
-    raw = np.frombuffer(pa.Codec("zstd").decompress(block[8:], decompressed_size=12 * n, asbytes=True), np.uint8)
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel()
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
-def _blocks(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
-    for s in np.unique(shard):
-        m = shard == s
-        yield int(s), kind, _pack(keys[m], counts[m])
-
-
-def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    s, k, p = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["shard", "kind", "block"])
-
-
-_BLOCK = "shard int, kind int, block binary"
-
-
-def _save(folder: str, name: str, a: np.ndarray) -> None:
-    own = f"{folder}/.{uuid.uuid4().hex}"
-    a.tofile(own)
-    os.replace(own, f"{folder}/{name}")
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows sorted by (shard, kind) to one sum of blocks for each; held blocks are merged from time to time."""
-    at, keys, counts = None, [], []
-
-    def total():
-        return _summed(np.concatenate(keys), np.concatenate(counts))
-
-    for b in batches:
-        for s, k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if (s, k) != at:
-                if at:
-                    yield *at, *total()
-                at, keys, counts = (s, k), [], []
-            x, c = _unpack(p.as_py())
-            keys.append(x)
-            counts.append(c)
-            if sum(map(len, keys)) > 2 * max(HELD, len(keys[0])):
-                x, c = total()
-                keys, counts = [x], [c]
-    if at:
-        yield *at, *total()
-
-
 def _words_of(bits: int):
     """(doc_id, text) to blocks of word counts by the leading bits of the hash."""
 
@@ -109,8 +42,8 @@ def _words_of(bits: int):
         held, counts, size, docs = [], [], 0, 0
 
         def flush():
-            k, c = _summed(np.concatenate(held), np.concatenate(counts))
-            return _rows(list(_blocks(k, c, (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), int))))
+            k, c = summed(np.concatenate(held), np.concatenate(counts))
+            return block_rows(list(blocks(k, c, (k >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(k), int))))
 
         for b in pieces(batches, 1):
             w, _ = hash_words(*column_bytes(b.column(1)))
@@ -125,17 +58,17 @@ def _words_of(bits: int):
         if held:
             yield flush()
         if docs:
-            yield _rows([(0, 1, _pack(np.zeros(1, np.uint64), np.array([docs])))])
+            yield block_rows([(0, 1, pack(np.zeros(1, np.uint64), np.array([docs])))])
 
     return run
 
 
 def _save_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, kind, keys, counts in _merged(batches):
+        for s, kind, keys, counts in merged(batches):
             if kind == 0:
-                _save(folder, f"word.{s}", keys)
-                _save(folder, f"word-count.{s}", counts.astype(np.uint64))
+                save(folder, f"word.{s}", keys)
+                save(folder, f"word-count.{s}", counts.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (s, kind, len(keys), int(counts.sum()))], ["shard", "kind", "types", "tokens"])
 
     return run
@@ -240,7 +173,7 @@ def _bigrams_of(folder: str, head: dict):
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return _rows(list(_blocks(k, c, model.shards(k))))
+            return block_rows(list(blocks(k, c, model.shards(k))))
 
         for b in pieces(batches, 1):
             tokens, counts, to = _token_numbers(model, b)
@@ -260,17 +193,17 @@ def _save_bigrams(folder: str):
     """Writes each shard; blocks of what it knows of each context (kinds 1 to 3) and word (0), by range of numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, _, keys, counts in _merged(batches):
-            _save(folder, f"pair.{s}", keys)
-            _save(folder, f"pair-count.{s}", counts.astype(np.uint32))
+        for s, _, keys, counts in merged(batches):
+            save(folder, f"pair.{s}", keys)
+            save(folder, f"pair-count.{s}", counts.astype(np.uint32))
             out = []
             for kind in range(4):
                 own = keys & _LOW if kind == 0 else keys[np.minimum(counts, 3) == kind] >> np.uint64(32)
                 x, c = np.unique(own, return_counts=True)
-                out += _blocks(x, c, (x // np.uint64(RANGE)).astype(np.int64), kind)
+                out += blocks(x, c, (x // np.uint64(RANGE)).astype(np.int64), kind)
             of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-            out.append((-1, 0, _pack(np.arange(4, dtype=np.uint64), of)))
-            yield _rows(out)
+            out.append((-1, 0, pack(np.arange(4, dtype=np.uint64), of)))
+            yield block_rows(out)
 
     return run
 
@@ -288,8 +221,8 @@ def _save_dense(folder: str, words: int):
                     ctx[i, kind - 1] = counts
                 else:
                     a[i] = counts
-            _save(folder, f"follows.{r}", a)
-            _save(folder, f"context.{r}", ctx)
+            save(folder, f"follows.{r}", a)
+            save(folder, f"context.{r}", ctx)
             of = np.bincount(np.minimum(a, 5), minlength=6)
             return row(1, [*of[1:5], a.sum(dtype=np.int64)])
 
@@ -297,7 +230,7 @@ def _save_dense(folder: str, words: int):
             return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([[int(x) for x in values]], pa.list_(pa.int64()))], ["kind", "n"])
 
         at, own = None, []
-        for s, kind, keys, counts in _merged(batches):
+        for s, kind, keys, counts in merged(batches):
             if s == -1:
                 of = np.zeros(5, np.int64)
                 of[keys.astype(int)] = counts
@@ -332,7 +265,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
     folder = posix_dir(spark, "kneser-ney")
     bits = max(2, (docs.rdd.getNumPartitions() - 1).bit_length())
     dealt = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard", "kind")
-    saved = dealt(docs.mapInArrow(_words_of(bits), _BLOCK), 1 << bits).mapInArrow(_save_words(folder), "shard long, kind long, types long, tokens long").collect()
+    saved = dealt(docs.mapInArrow(_words_of(bits), BLOCK), 1 << bits).mapInArrow(_save_words(folder), "shard long, kind long, types long, tokens long").collect()
     sizes = {r["shard"]: r for r in saved if r["kind"] == 0}
     texts = sum(r["tokens"] for r in saved if r["kind"] == 1)
     types = [sizes[s]["types"] if s in sizes else 0 for s in range(1 << bits)]
@@ -351,7 +284,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
 
     found = spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(hot, "id long").collect()  # fewer than 4 * shards
     head["hot"] = [0, *(r["id"] for r in found)]
-    pairs = dealt(docs.mapInArrow(_bigrams_of(folder, head), _BLOCK), head["shards"]).mapInArrow(_save_bigrams(folder), _BLOCK)
+    pairs = dealt(docs.mapInArrow(_bigrams_of(folder, head), BLOCK), head["shards"]).mapInArrow(_save_bigrams(folder), BLOCK)
     known = dealt(pairs, max(8, words // RANGE + 1)).mapInArrow(_save_dense(folder, words), "kind int, n array<long>").groupBy("kind").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(5))).collect()
     n = {r["kind"]: [r[f"n{i}"] for i in range(5)] for r in known}
     head["pair_discounts"], head["word_discounts"] = discounts(n.get(0, [0] * 5)), discounts(n.get(1, [0] * 5))
@@ -403,7 +336,7 @@ def lm_scores(docs: DataFrame, fold: int = 5, held: int = 1) -> DataFrame:
     log10 probabilities; without training texts every token has the same probability. No documents give no rows.
     """
     rest = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("held_out"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("held_out"))
     folder, head = train(docs.where("NOT held_out").select("doc_id", "text"))
     out = docs.mapInArrow(_score(folder, head), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
