@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from atlasweave.llm._spark import bounded
 from atlasweave.llm._text import pieces
 
-CACHE = 400_000  # pre-tokens whose ids a worker keeps
+CACHE = 200_000  # pre-tokens whose ids a worker keeps
 
 
 def byte_characters() -> list[str]:
@@ -137,20 +137,19 @@ def _int_lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids of each whole text; null or empty text has none. Rows that repeat give rows that repeat."""
+def _encoded(shared):
+    """(doc_id, text) to (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), _int_lists([codec.encode(t) if t else b"" for t in b.column(1).to_pylist()])], ["doc_id", "ids"])
 
-    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, shared) -> DataFrame:
-    """(doc_id, ids) with ``decoded``, the bytes that the ids stand for; null ids have none."""
+def _decoded(shared):
+    """(doc_id, ids) to (doc_id, ids, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -163,7 +162,21 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
                 cut = (off - off[0]).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([codec.decode(ids[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return run
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): the ids of each whole text; null or empty text has none. Rows that repeat give rows that repeat."""
+    return _texts(docs, id_col, text_col).mapInArrow(_encoded(shared), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, shared) -> DataFrame:
+    """(doc_id, ids) with ``decoded``, the bytes that the ids stand for; null ids have none."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(shared), "doc_id long, ids array<int>, decoded binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +195,9 @@ def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None
     import public_tokenizers
 
     shared = share(docs.sparkSession, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    return decode(encode(docs, shared), shared).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # encoded, decoded and digested in one worker, so that a task holds one model
+    steps = lambda batches: _digests(_decoded(shared)(_encoded(shared)(batches)))
+    return _texts(docs, "doc_id", "text").mapInArrow(steps, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
