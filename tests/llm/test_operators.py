@@ -333,6 +333,21 @@ def test_decontamination(spark):
     assert decontamination.contaminated(d.limit(0), b).count() == 0 and decontamination.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_without_literal_windows(spark):
+    numbers = " ".join(str(k * k) for k in range(40))
+    items = [(1, "What is 15 percent of 80?"), (2, "Is 91 a prime number?"), (3, "9 8 7 6 5 4 3 2 1 9 8 7"), (4, "Tiny item"), (5, "So Anna, Bert, Carl, Dora, Emil and Finn"), (6, numbers), (7, "?!"), (8, "42"), (1, "a second text of item one that is told by its template")]
+    docs = [
+        (1, "Quiz.\nWhat is 15 percent of 80?\nNext."), (2, "What is 20 percent of 90?"), (3, "Is 91 a prime number? No."), (4, "Is 97 a prime number? Yes."), (5, "digits: 9 8 7 6 5 4 3 2 1 9 8 7 end"), (6, "digits: 9 8 7 6 5 4 3 2 1 9 8"),
+        (7, "digits: 9 8 7 6 5 4 3 2 1 0 8 7"), (8, "one tiny item here"), (9, "tiny other item"), (10, "so anna, bert, carl, dora, emil and finn"), (11, "So Anna, Bert, Carl, Dora, Emil and Gina"), (12, f"list {numbers} end"), (13, "and a second text of item one that is told by its template"), (14, "4 2 424"), (15, None),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontamination.contaminated(d, b).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 3), (8, 4), (10, 5), (12, 6), (13, 1)}
+    assert got[5, 3] == (5, 5, 12, 0) and got[6, 3][:2] == (4, 5) and got[12, 6][:2] == (33, 33)
+    alone = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b.where("item_id IN (4, 8)")).collect()}
+    assert alone == {(8, 4)}
+
+
 def test_decontamination_on_tables(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
