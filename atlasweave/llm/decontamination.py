@@ -11,6 +11,9 @@ item if consistent diagonals cover ``COVERAGE`` percent of the item's windows, o
 An item without a window of enough literal tokens, or of fewer than ``SHORT`` tokens, can't be told from others by its
 template. Its windows of lower-cased raw tokens are matched instead: such an item is found as a copy, under the same shares.
 
+The first word of an item is literal, since nothing is before it; the same word inside a line of a document is a name or a
+unit. So a document's window that begins with a name or unit leaves a second hash, with that word taken literally.
+
 The benchmark's windows are broadcast after they were counted; beyond ``BROADCAST_WINDOWS`` they are joined by a shuffle.
 Only a hash and a position leave a document for each window; slot values are fetched for matched documents alone.
 """
@@ -82,6 +85,18 @@ def _their_window(width: int):
     return lambda h, i: F.struct(F.lit(width).alias("width"), h.alias("h"), i.alias("dpos"))
 
 
+def _their_first(width: int) -> Column:
+    """Windows of the document that begin with a name or unit, once more with that word literal."""
+    tokens = F.col("tokens")
+    at = F.filter(F.transform(tokens, lambda x, i: F.when(x["t"].isin(NAME, UNIT), i)), lambda i: i.isNotNull())
+
+    def of(h: Column) -> Column:
+        first = lambda i: F.xxhash64(F.concat(F.array(F.xxhash64(F.get(tokens, i)["v"])), F.slice(h, i + 2, width - 1)))
+        return F.transform(F.filter(at, lambda i: i + width <= F.size(h)), lambda i: F.struct(F.lit(width).alias("width"), first(i).alias("h"), i.alias("dpos")))
+
+    return _let(_hashes("t"), of)
+
+
 def _own_keys(items: DataFrame, widths: list[int]) -> DataFrame:
     """item_id, width, h, ipos: template windows of the items that have an accepted one, else raw windows."""
     literal = lambda x: ~F.startswith(x["t"], F.lit("\x02"))
@@ -117,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         small = keys
     used = sorted(r["width"] for r in keys.select("width").distinct().collect()) or [WINDOW]  # at most 2 * WINDOW
-    each = F.concat(*(F.transform(_windows(_hashes("t" if w > 0 else "v"), abs(w)), _their_window(w)) for w in used))
+    each = F.concat(*(F.transform(_windows(_hashes("t" if w > 0 else "v"), abs(w)), _their_window(w)) for w in used), *(_their_first(w) for w in used if w > 0))
     tokens = docs.select("doc_id", template_tokens(raw_tokens(F.col("text"))).alias("tokens"))
     found = tokens.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*").join(small, ["width", "h"])
     hits = written(found.select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos", F.abs("width").alias("width"), (F.col("width") < 0).alias("copied")).distinct(), "hits")

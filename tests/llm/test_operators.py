@@ -348,6 +348,16 @@ def test_decontamination_of_items_without_literal_windows(spark):
     assert alone == {(8, 4)}
 
 
+def test_decontamination_of_copies_inside_a_line(spark):
+    items = [(1, "Where does the old river begin?"), (2, "days of the week are seven in number"), (3, "Which of these four planets has the most moons around it?")]
+    before = ["", "Quiz. ", "Q - ", "as asked, ", "tab\t", "(", 'he said: "', 'he said "no." ']
+    docs = [(100 * n + k, b + text) for n, text in items for k, b in enumerate(before)] + [(208, "12) " + items[1][1]), (209, "Where did the old river begin?"), (210, "see, Where does the new river begin?"), (211, "then Which does the old river begin?")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontamination.contaminated(d, b).collect()}
+    assert set(got) == {(100 * n + k, n) for n, _ in items for k in range(len(before))} | {(208, 2)}
+    assert all(r[0] == r[1] for r in got.values())
+
+
 def test_decontamination_on_tables(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
