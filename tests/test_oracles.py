@@ -40,6 +40,17 @@ def test_same_as_sql(spark, duck, name):
     assert want and rows(want, cols) == rows([tuple(r) for r in df.collect()], df.columns)
 
 
+def test_order_keys_are_whole(spark, duck):
+    cells = duck.execute("SELECT DISTINCT l_suppkey, (l_orderkey - 5000) * 7 + l_linenumber AS cell FROM lineitem").fetchall()
+    held = {}
+    for supplier, cell in cells:
+        held.setdefault(supplier, []).append(cell)
+    want = {(k, n, c) for k, v in held.items() for n, c in enumerate(sorted(v, key=lambda c: c % 2**64), 1)}
+    got = [tuple(r) for r in QUERIES["order_keys"](spark, DIR).collect()]
+    assert len(got) == len(want) == len(cells) and set(got) == want
+    assert sorted(r for r in got if r[1] <= 20) == sorted(duck.execute(ORACLES["order_keys"]).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
