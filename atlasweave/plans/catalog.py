@@ -359,7 +359,7 @@ def concordances(spark, d) -> DataFrame:
 def slug_join(spark, d) -> DataFrame:
     """Customers' orders as slugs: current before deprecated, best first, the first is shown."""
     f = gz.features(spark, d).where(f"woe = {S.TOWN}").select("fid")
-    o = gz.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(ids.feature_id(3, F.col("o_custkey")).alias("fid"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("slug"), F.floor("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("deprecated"))
+    o = gz.table(spark, d, "orders").select(ids.feature_id(3, F.col("o_custkey")).alias("fid"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("slug"), F.floor("o_totalprice").alias("score"), (F.col("o_orderstatus") == "F").alias("deprecated"))
     return enrich.join_slugs(f, o).select("fid", "slug", F.array_join("slugs", ",").alias("slugs"))
 
 

@@ -51,6 +51,17 @@ def test_order_keys_are_whole(spark, duck):
     assert sorted(r for r in got if r[1] <= 20) == sorted(duck.execute(ORACLES["order_keys"]).fetchall())
 
 
+def test_slug_join_takes_every_order(spark, duck):
+    held = {}
+    for customer, order, price, status in duck.execute("SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders").fetchall():
+        held.setdefault((3 << 56) + customer, []).append((status == "F", -math.floor(price), f"s{order}"))
+    got = QUERIES["slug_join"](spark, DIR).collect()
+    want = {r["fid"]: [s for _, _, s in sorted(held.get(r["fid"], []))] for r in got}
+    assert {r["fid"]: (r["slug"], r["slugs"]) for r in got} == {k: (v[0], ",".join(v)) if v else (None, None) for k, v in want.items()}
+    towns = duck.execute("SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)").fetchone()[0]
+    assert sum(map(len, want.values())) == towns
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
