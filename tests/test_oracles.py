@@ -62,6 +62,12 @@ def test_slug_join_takes_every_order(spark, duck):
     assert sum(map(len, want.values())) == towns
 
 
+def test_autocomplete_requests_take_every_customer(spark, duck):
+    every = {r[0] for r in duck.execute("SELECT c_custkey FROM customer").fetchall()}
+    got = [(r["qid"], r["rank"]) for r in QUERIES["autocomplete_requests"](spark, DIR).collect()]
+    assert {q for q, _ in got} == every and len(got) == len(set(got))
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
