@@ -68,6 +68,22 @@ def test_autocomplete_requests_take_every_customer(spark, duck):
     assert {q for q, _ in got} == every and len(got) == len(set(got))
 
 
+def test_eval_diff_counts_compares_every_order(spark, tmp_path):
+    rows = [(10, 1, 5, 0.1), (10, 2, 6, 0.2), (11, 3, 5, 0.1), (11, 4, 6, 0.0), (12, 5, None, 0.1), (13, 6, 7, None), (22, 7, 1, 0.1), (20, 8, 2, None), (20, 9, None, 0.3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in QUERIES["eval_diff_counts"](spark, str(tmp_path)).collect()}
+    assert got == {("same", 2, 2), ("changed", 2, 2), ("geocoded more", 1, 0), ("geocoded less", 1, 0)}
+
+
+def test_attribute_join_reads_every_line(spark, duck, tmp_path):
+    for t in set(TABLES) - {"lineitem"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{DIR}/{t}.parquet")
+    duck.execute(f"COPY (SELECT * FROM lineitem WHERE l_linenumber > 2) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    least = dict(duck.execute("SELECT (6::BIGINT << 56) + l_partkey, min(l_linenumber) FROM lineitem WHERE l_linenumber > 2 GROUP BY 1").fetchall())
+    got = QUERIES["attribute_join"](spark, str(tmp_path)).collect()
+    assert any(r["fid"] in least for r in got) and all(r["scalerank"] == least.get(r["fid"], 20) for r in got)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
