@@ -398,10 +398,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: int) -
     """The pairs whose whole sets link, by the texts of the documents in pairs alone."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = keep_ids(docs, ids, "doc_id")
-    sets = texts.mapInArrow(_sets(n_words), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
+    sets = texts.mapInArrow(_sets(n_words), "doc_id long, shingles array<long>")
+    sets = sets.withColumn("h", F.xxhash64("shingles")).dropDuplicates(["doc_id", "h"]).drop("h")  # an id may have several sets
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * threshold).select("a", "b")
+    return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * threshold).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: int = 80) -> DataFrame:
@@ -416,7 +417,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_sets = written(docs.mapInArrow(_signatures(n_words, threshold), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sets")
     sets = all_sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = written(sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep"), "copies")
+    # an id with different sets is no copy of another: as a node of its own it keeps the links of all its sets
+    one = F.struct("n_shingles", "k1", "k2")
+    mixed = written(sets.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("doc_id"), "mixed")
+    copies = sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep").distinct()
+    copies = written(drop_ids(copies, mixed, "doc_id"), "copies")
     reps = drop_ids(sets, copies, "doc_id")
     histogram = {r["n_shingles"]: r["n"] for r in reps.where(F.col("n_shingles") <= SMALL).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     # keys are made twice, once for counting and once for the members of lists, as they are larger than the texts

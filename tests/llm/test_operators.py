@@ -151,6 +151,17 @@ def test_jaccard_join(docs, data, nothing, n, threshold):
     assert jaccard_join.jaccard_components(nothing, n_words=n, threshold=threshold).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(5))
+    near = lambda w: " ".join([*w[:-1], "last"])
+    a, b, c, d, e = ((" ".join(w), near(w)) for w in (a, b, c, d, e))
+    table = [(1, a[0]), *[(2, a[0])] * 3, (5, a[0]), (5, b[0]), (7, b[1]), (10, c[0]), (10, d[0]), (11, c[1]), (12, d[1]), (20, e[0]), (21, e[1]), (21, e[1])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string"), n_words=3, threshold=80).collect()
+    want = {1: 1, 2: 1, 5: 1, 7: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20}
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in table)
+
+
 def test_jaccard_boundary_follows_cost():
     assert jaccard_join.boundary_by_cost({12: 1000}, 90) >= 12
     assert jaccard_join.boundary_by_cost({30: 1000}, 60) < 30
