@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -81,5 +80,17 @@ def drop_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS
     return df.join(ids, key, "left_anti")
 
 
-def remove(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)
+def join_sized(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "inner", size: str | None = "n", hot: int = 1000, limit: int = BROADCAST_IDS) -> DataFrame:
+    """rows joined (inner or left) to classes, of which each key has one and ``size`` tells how many rows it has.
+
+    Classes of more than ``hot`` rows, all if no size is given, are broadcast after they were counted, so that no task gets
+    all rows of one; the others are joined by a shuffle, as are all beyond the limit.
+    """
+    big = classes if size is None else classes.where(F.col(size) > hot)
+    n = big.limit(limit + 1).count()
+    if n > limit or n == 0 and size is not None:
+        return rows.join(classes, keys, how)
+    if size is None:
+        return rows.join(F.broadcast(big), keys, how)
+    rest = rows.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(classes.where(F.col(size) <= hot), keys, how)
+    return rows.join(F.broadcast(big), keys).unionByName(rest)

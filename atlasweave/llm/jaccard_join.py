@@ -7,17 +7,18 @@ they share ``c(a, b) = ceil(threshold * (a + b) / (100 + threshold))`` elements
 * Copies with equal sets are one class, found by a 128-bit key with a combinable minimum.
 * Light: a set of size a up to the boundary enumerates, for each partner size b, its subsets of the fixed
   size c(a, b). Two sets link exactly when they share such a subset.
-* Heavy: larger sets scan inverted lists. A list is kept per block of a set, not per shingle: the universe is
-  cut by hash into more blocks than k, the largest symmetric difference of linked sets of that size level, so linked
-  sets agree in some block, and in one that isn't empty unless very many are. Lists of single shingles would grow with the square of a common
-  passage; a block holds about nine shingles, so its list holds documents that are nearly equal already.
-* The boundary is the size at which the enumerated subsets of all sets cost the least together with the blocks
-  and the sets read for verification beyond it (``boundary_by_cost``, from the exact histogram of small sizes).
-* Keys are counted as packed blocks, and only keys of two documents or more become rows.
+* Heavy: larger sets scan inverted lists of their elements. All elements are counted; a set of size n is listed under
+  its ``n - ceil(threshold * n / 100) + 1`` rarest ones alone (``Sizes.listed``), as linked sets must share one of those
+  of both. An element that came once needs no list, so a set with enough elements of its own is in none, and the elements
+  of a common passage are listed only for sets that hold little else.
+* The boundary is the size at which the enumerated subsets of all sets cost the least together with the listed
+  elements and the sets read for verification beyond it (``boundary_by_cost``, from the exact histogram of small sizes).
+* Keys are counted by their 40 leading bits, as packed blocks. Keys that share these bits seem more frequent than they are,
+  which changes the order of lists for all sets alike and loses nothing.
 * Lists are never expanded into all pairs. Each member meets its list's smallest member (star), links are
   verified and joined to components; then only members of *different* components in one list are compared, by cell
-  sketches that can't miss a link: lists of up to ``FEW`` members as pairs, longer ones inside the task in blocks of
-  ``BLOCK`` members. What is left is verified.
+  sketches that can't miss a link, in tiles of bounded bytes. What may link is verified, first one pair of each two
+  components, then what is still apart.
 
 Every step is exact: no cap on candidates, lists or sizes. Tables are cut at the shared folder.
 """
@@ -32,27 +33,27 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasweave.llm._packed import BLOCK as BLOCK_ROW
 from atlasweave.llm._packed import HELD, block_rows, blocks, merged, save
-from atlasweave.llm._spark import bounded, drop_ids, is_mounted, keep_ids, posix_dir, written
+from atlasweave.llm._spark import bounded, drop_ids, is_mounted, join_sized, keep_ids, posix_dir, written
 from atlasweave.llm._text import column_bytes, hash_words, mix, ngrams, pieces
 
 SMALL = 32  # the boundary is searched up to this size
-BLOCK = 512  # members compared at once inside a long unresolved list
-FEW = 32  # unresolved lists up to this length give their pairs instead
+TILE = 8 << 20  # bytes of sketches of an open list that one task compares with as many others
+HOT = 1000  # a document in more pairs than this is dealt over several tasks
+KEY_BITS, SHARD_KEYS = 40, 4_000_000  # keys are counted by so many bits, in shards for about so many keys
 
 
 class Sizes:
-    """What follows from the threshold for sizes: levels, blocks and required overlaps."""
+    """What follows from the threshold for sizes: partners, required overlaps and listed elements."""
 
     def __init__(self, threshold: int):
         if not 50 < threshold <= 100:
             raise ValueError("threshold must be over 50 and at most 100 percent")
         self.t = threshold
-        self.lows = [1]
-        self.known: dict[int, tuple[int, int]] = {}
 
     def overlap(self, a: int, b: int) -> int:
         return -(-self.t * (a + b) // (100 + self.t))
@@ -68,25 +69,9 @@ class Sizes:
         """Whether a set of this size can link with a set that isn't equal."""
         return self.partners(a)[-1] > a or self.partners(a)[0] < a or self.apart(a, a) >= 2
 
-    def level(self, n: int) -> int:
-        while self.lows[-1] <= n:
-            self.lows.append(100 * self.lows[-1] // self.t + 1)
-        return int(np.searchsorted(self.lows, n, "right")) - 1
-
-    def blocks(self, level: int) -> tuple[int, int]:
-        """The number of blocks of a level, and the largest symmetric difference of sets that meet there.
-
-        There are so many that hardly a set leaves as many blocks empty as agree for sure; see ``_block_keys``.
-        """
-        if level not in self.known:
-            self.level(self.lows[-1]) if level + 1 >= len(self.lows) else None
-            high, low = 100 * self.lows[level] // self.t, self.lows[max(0, level - 1)]
-            k = self.apart(high, high)
-            m = k + 2
-            while (e := m * math.exp(-low / m)) + 3 * math.sqrt(e) + 1 > m - k and m < 4 * k + 8:
-                m += 1
-            self.known[level] = m, k
-        return self.known[level]
+    def listed(self, a: int) -> int:
+        """How many of its rarest elements a set is listed under: all but the overlap with its smallest partner, less one."""
+        return a - -(-self.t * a // 100) + 1
 
     def subsets(self, a: int, most: int) -> list[tuple[int, int]]:
         """Partner sizes up to ``most`` and the size of the subsets enumerated for them; equal sets need none."""
@@ -111,27 +96,6 @@ def _folded(m: np.ndarray, cells: int) -> np.ndarray:
     return m
 
 
-def _salt(level: int, kind: int) -> np.uint64:
-    return np.uint64((level * 4 + kind) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)
-
-
-def _block_keys(s: np.ndarray, sizes: Sizes) -> np.ndarray:
-    out = []
-    own = sizes.level(len(s))
-    for level in (own, own + 1):
-        m, k = sizes.blocks(level)
-        part = (mix(s ^ np.uint64(0xB10C + level)) >> np.uint64(33)) % np.uint64(m)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        v = np.add.reduceat(mix(s[order] + np.uint64(99)), at)
-        out.append(mix(v + p[at] * np.uint64(0x9E3779B97F4A7C15) + _salt(level, 1)))
-        if m - len(at) >= m - k:  # else a block that isn't empty agrees: at most k differ
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), p[at])
-            out.append(mix(empty * np.uint64(0x9E3779B97F4A7C15) + _salt(level, 2)))
-    return np.unique(np.concatenate(out))
-
-
 def _batch_sets(b: pa.RecordBatch, n_words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each row of (id, text)."""
     buf, off = column_bytes(b.column(1))
@@ -181,137 +145,151 @@ def boundary_by_cost(histogram: dict[int, int], threshold: int) -> int:
     """The largest size whose sets enumerate subsets: the cheapest over the histogram {size: sets} of small sizes."""
     sizes = Sizes(threshold)
     light = {s: sum(math.comb(s, c) for _, c in sizes.subsets(s, SMALL)) for s in range(1, SMALL + 1)}
-    heavy = {s: sizes.blocks(sizes.level(s))[0] + sizes.blocks(sizes.level(s) + 1)[0] + s for s in range(1, SMALL + 1)}
+    heavy = {s: 2 * s + sizes.listed(s) for s in range(1, SMALL + 1)}  # counted, listed and read again
     return min(range(SMALL + 1), key=lambda x: (sum(n * (light if s <= x else heavy)[s] for s, n in histogram.items() if 1 <= s <= SMALL), x))
 
 
-def _list_keys(n_words: int, threshold: int, boundary: int):
-    """(doc_id, text) to the keys of the lists that the document is in."""
+def _keys_of(n_words: int, threshold: int, boundary: int):
+    """(doc_id, text) to its keys: a batch of (doc_id, text) gives (keys, row, rank) for it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(threshold)
-        for b in pieces(batches, 1):
-            keys, count = [np.zeros(0, np.uint64)], []
-            for s in _batch_sets(b, n_words):
-                own, n = [], len(s)
-                if 0 < n <= boundary:
-                    for t, c in sizes.subsets(n, boundary):
-                        sums = [np.add.reduce(mix(np.array(x, np.uint64) + np.uint64(7))) for x in combinations(s.tolist(), c)]
-                        own.append(mix(np.array(sums, np.uint64) ^ np.uint64((min(n, t) << 20) + max(n, t))))
-                if n and sizes.others(n) and sizes.partners(n)[-1] > boundary:
-                    own.append(_block_keys(s, sizes))
-                keys += own
-                count.append(sum(map(len, own)))
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids.astype(np.int64))], ["key", "doc_id"])
+    rank is how many of its keys a set is listed under, 0 for a light set's subsets: they are all listed.
+    """
+    sizes = Sizes(threshold)
 
-    return run
+    def of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, rows, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def add(k: np.ndarray, row: int, rank: int) -> None:
+            keys.append(k)
+            rows.append(np.full(len(k), row))
+            ranks.append(np.full(len(k), rank))
+
+        for i, s in enumerate(_batch_sets(b, n_words)):
+            n = len(s)
+            if 0 < n <= boundary:
+                for t, c in sizes.subsets(n, boundary):
+                    sums = [np.add.reduce(mix(np.array(x, np.uint64) + np.uint64(7))) for x in combinations(s.tolist(), c)]
+                    add(mix(np.array(sums, np.uint64) ^ np.uint64((min(n, t) << 20) + max(n, t))), i, 0)
+            if n and sizes.others(n) and sizes.partners(n)[-1] > boundary:
+                add(mix(s + np.uint64(0xB10C)), i, sizes.listed(n))
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(ranks)
+
+    return of
 
 
-SHARDS_OF_KEYS = 64
+def _listed(keys: np.ndarray, rows: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of the keys that are listed: all subsets and the rarest elements of each row, of those that came more than once."""
+    alone = np.bincount(rows[(counts < 2) & (ranks > 0)], minlength=int(rows.max(initial=0)) + 1)
+    at = np.flatnonzero((counts > 1) & ((ranks == 0) | (alone[rows] < ranks)))
+    at = at[np.lexsort((keys[at], counts[at], rows[at], ranks[at] > 0))]
+    if not len(at):
+        return at
+    r, heavy = rows[at], ranks[at] > 0
+    start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (heavy[1:] != heavy[:-1])]))
+    place = np.arange(len(r)) - np.repeat(start, np.diff([*start, len(r)])) + alone[r]
+    return at[~heavy | (place < ranks[at])]
 
 
-def _key_blocks(keys_of):
-    """Rows to the keys that ``keys_of`` gives them, as blocks, each key with how often the task met it."""
+def _key_blocks(of, bits: int):
+    """(doc_id, text) to all its keys as blocks by their leading bits, each key with how often the task met it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
             k, c = np.unique(np.concatenate(held), return_counts=True)
-            return block_rows(list(blocks(k, c, (k >> np.uint64(58)).astype(np.int64))))
+            return block_rows(list(blocks(k, c, (k >> np.uint64(KEY_BITS - bits)).astype(np.int64))))
 
-        for b in keys_of(batches):
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        for b in pieces(batches, 1):
+            held.append(of(b)[0] >> np.uint64(64 - KEY_BITS))
             size += len(held[-1])
             if size > HELD // 2:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
     return run
 
 
 def _save_shared(folder: str):
-    """Writes the keys that were met twice or more, sorted, one file a shard."""
+    """Writes the keys that were met twice or more, sorted, one file a shard, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, _, keys, counts in merged(batches):
-            save(folder, f"shared.{s}", keys[counts > 1])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([int((counts > 1).sum())], pa.int64())], ["shard", "n"])
+            often = counts > 1
+            save(folder, f"shared.{s}", keys[often])
+            save(folder, f"count.{s}", np.minimum(counts[often], 0xFFFFFFFF).astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([int(often.sum())], pa.int64())], ["shard", "n"])
 
     return run
 
 
-def _in_lists(folder: str, keys_of):
-    """Rows to the (key, doc_id) that ``keys_of`` gives them whose key is in the files."""
+def mapped(folder: str, name: str, dtype, n: int) -> np.ndarray:
+    """A file of n values, mapped; one that isn't there whole is an error, as its keys would be lost silently."""
+    path = f"{folder}/{name}"
+    size = os.path.getsize(path)
+    if size != n * np.dtype(dtype).itemsize:
+        raise OSError(f"{path} has {size} bytes in place of {n * np.dtype(dtype).itemsize}")
+    return np.memmap(path, dtype, "r") if n else np.zeros(0, dtype)
+
+
+def _in_lists(folder: str, of, bits: int, n_of: dict[int, int]):
+    """(doc_id, text) to the (key, doc_id) of its lists; ``n_of`` tells how many keys the file of a shard has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for b in keys_of(batches):
-            keys = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.argsort(keys)
-            keys = keys[order]
-            keep = np.zeros(len(keys), bool)
-            cut = np.searchsorted(keys >> np.uint64(58), np.arange(SHARDS_OF_KEYS + 1, dtype=np.uint64))
-            for s in range(SHARDS_OF_KEYS):
-                if cut[s + 1] > cut[s]:
-                    if s not in tables:
-                        path = f"{folder}/shared.{s}"
-                        tables[s] = np.memmap(path, np.uint64, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, np.uint64)
-                    t, own = tables[s], keys[cut[s] : cut[s + 1]]
-                    if len(t):
-                        keep[cut[s] : cut[s + 1]] = t[np.minimum(np.searchsorted(t, own), len(t) - 1)] == own
-            at = pa.array(np.sort(order[keep]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["key", "doc_id"])
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in pieces(batches, 1):
+            keys, rows, ranks = of(b)
+            short = keys >> np.uint64(64 - KEY_BITS)
+            order = np.argsort(short)
+            own, counts = short[order], np.ones(len(keys), np.int64)
+            shards, at = np.unique(own >> np.uint64(KEY_BITS - bits), return_index=True)
+            for s, lo, hi in zip(shards.tolist(), at, [*at[1:], len(own)]):
+                if s not in tables:
+                    tables[s] = mapped(folder, f"shared.{s}", np.uint64, n_of[s]), mapped(folder, f"count.{s}", np.uint32, n_of[s])
+                t, c = tables[s]
+                if len(t):
+                    i = np.minimum(np.searchsorted(t, own[lo:hi]), len(t) - 1)
+                    counts[order[lo:hi]] = np.where(t[i] == own[lo:hi], c[i], 1)
+            keep = _listed(keys, rows, ranks, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), b.column(0).take(pa.array(rows[keep]))], ["key", "doc_id"])
 
     return run
 
 
-def _list_members(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, doc_id) of the keys that come twice or more among those that ``keys_of`` gives (doc_id, text).
+def _key_rows(of):
+    """(doc_id, text) to a row for each key, with the set's own number in its task."""
 
-    Keys are counted as packed blocks; where the shared folder is mounted, the keys that stay are mapped by the workers, else
-    they are joined by a shuffle.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for b in pieces(batches, 1):
+            keys, rows, ranks = of(b)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(rows)), pa.array(rows + before), pa.array(ranks)], ["key", "doc_id", "row", "rank"])
+            before += b.num_rows
+
+    return run
+
+
+def list_members(docs: DataFrame, of, n_keys: int) -> DataFrame:
+    """(key, doc_id) of all lists; ``n_keys`` tells about how many keys there are, for the number of shards.
+
+    Where the shared folder is mounted, the counts of keys that came more than once are mapped by the workers. Else they
+    are joined by a shuffle.
     """
-    spark, row = docs.sparkSession, "key long, doc_id long"
+    spark = docs.sparkSession
     if not is_mounted(spark):
-        keys = docs.mapInArrow(keys_of, row)
-        return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key")
+        keys = docs.mapInArrow(_key_rows(of), "key long, doc_id long, row long, rank long").withColumn("task", F.spark_partition_id())
+        keys = written(keys, "keys")
+        common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        counted = join_sized(keys, common, ["key"], how="left").withColumn("n", F.coalesce("n", F.lit(1)))
+        place = F.row_number().over(W.partitionBy("task", "row", F.col("rank") > 0).orderBy("n", "key"))  # the keys of one set
+        return counted.withColumn("place", place).where("n > 1 AND (rank = 0 OR place <= rank)").select("key", "doc_id")
+    bits = min(20, max(6, (n_keys // SHARD_KEYS).bit_length()))
     folder = posix_dir(spark, "list-keys")
-    dealt = docs.mapInArrow(_key_blocks(keys_of), BLOCK_ROW).repartition(SHARDS_OF_KEYS, "shard").sortWithinPartitions("shard", "kind")
-    dealt.mapInArrow(_save_shared(folder), "shard long, n long").agg(F.sum("n")).collect()
-    return docs.mapInArrow(_in_lists(folder, keys_of), row)
-
-
-def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc_id, comp) sorted by key, of short lists, to their pairs of different components, each once a task."""
-    out: set[tuple[int, int]] = set()
-    held: list[tuple[int, int]] = []
-    at = None
-
-    def close():
-        for i, (a, ca) in enumerate(held):
-            for b, cb in held[i + 1 :]:
-                if ca != cb and a != b:
-                    out.add((a, b) if a < b else (b, a))
-
-    def flush():
-        got = np.array(sorted(out), np.int64).reshape(-1, 2)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-
-    for b in batches:
-        for key, doc, comp in zip(*(c.to_pylist() for c in b.columns)):
-            if key != at:
-                close()
-                held, at = [], key
-                if len(out) > 200_000:
-                    yield flush()
-            held.append((doc, comp))
-    close()
-    yield flush()
+    dealt = docs.mapInArrow(_key_blocks(of, bits), BLOCK_ROW).repartition(1 << bits, "shard").sortWithinPartitions("shard", "kind")
+    n_of = {r["shard"]: r["n"] for r in dealt.mapInArrow(_save_shared(folder), "shard long, n long").collect()}  # a row a shard
+    return docs.mapInArrow(_in_lists(folder, of, bits, n_of), "key long, doc_id long")
 
 
 def _near(threshold: int):
@@ -333,48 +311,97 @@ def _near(threshold: int):
     return run
 
 
-def _across(threshold: int):
-    """Sorted rows (key, p, q, side, doc_id, comp, n, sketch) to pairs of different components that may link.
+def near_pairs(side: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], threshold: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row those rows of another component, and of the other side if there are two, that may link, and how many cells differ.
 
-    Rows of one (key, p, q) are the members of blocks p and q of a list, at most about 2 * BLOCK.
+    Every pair comes once. Sets that link differ in size so little that one has at most twice the cells of the other.
+    """
+    two = side.min() != side.max()
+    cells = np.array([len(x) for x in sketches])
+    tables = {}
+    for c in np.unique(cells).tolist():
+        for of in (c, 2 * c):
+            rows = np.flatnonzero(cells == of)
+            rows = rows[np.argsort(n[rows], kind="stable")]
+            if len(rows):
+                tables[c, of] = rows, _folded(np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), of), c)
+    for (c, of), (rows, m) in tables.items():
+        left, own = tables[c, c]
+        size = n[rows]
+        for k, i in enumerate(left):
+            # partners are larger, or as large and later
+            lo = np.searchsorted(size, n[i], "left") if of > c else k + 1
+            hi = np.searchsorted(size, 100 * n[i] // threshold, "right")
+            if hi <= lo:
+                continue
+            j = rows[lo:hi]
+            ok = comp[j] != comp[i]
+            if two:
+                ok &= side[j] != side[i]
+            if not ok.any():
+                continue
+            at = np.flatnonzero(ok)
+            far = np.count_nonzero(m[lo + at] != own[k], axis=1)
+            hit = far <= (100 - threshold) * (n[j[at]] + n[i]) // (100 + threshold)
+            if hit.any():
+                yield int(i), j[at[hit]], far[hit]
+
+
+def _across(threshold: int, first: bool):
+    """Sorted rows (lead, p, q, side, doc_id, comp, n, sketch, keys) to pairs of different components that may link.
+
+    Rows of one (lead, p, q) are the members of tiles p and q of the open lists of one lead. They are compared list by list,
+    or all at once if that is less. With ``first`` only the nearest pair of each two components of the rows comes, and
+    whether there are more.
     """
-
-    def compare(rows: list[tuple], sizes: Sizes) -> Iterator[tuple[int, int]]:
-        side, ids, comp, n, sketch = zip(*rows)
-        cells = min(map(len, sketch))
-        side, ids, comp, n = map(np.array, (side, ids, comp, n))
-        m = np.stack([_folded(np.frombuffer(x, np.uint8), cells) for x in sketch])
-        same = side[0] == side[-1] and (side == side[0]).all()
-        left = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        for i in left:
-            j = right[right > i] if same else right
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
-            if len(j):
-                far = np.count_nonzero(m[j] != m[i], axis=1)
-                for x in j[far <= (100 - threshold) * (n[j] + n[i]) // (100 + threshold)]:
-                    yield min(int(ids[i]), int(ids[x])), max(int(ids[i]), int(ids[x]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(threshold)
-        held, at, out = [], None, set()
+        held, at, out = [], None, {}
+
+        def close():
+            side, ids, comp, n, sketch, keys = zip(*held)
+            side, ids, comp, n = map(np.array, (side, ids, comp, n))
+            member = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            cuts = np.flatnonzero(np.diff(keys[order])) + 1
+            lists = np.split(member[order], cuts)
+            if sum(len(x) ** 2 for x in lists) >= len(ids) ** 2:
+                lists = [np.arange(len(ids))]
+            for x in lists:
+                if len(x) > 1 and (comp[x] != comp[x[0]]).any():
+                    for i, others, far in near_pairs(side[x], comp[x], n[x], [sketch[i] for i in x], threshold):
+                        add(ids[x], comp[x], i, others, far)
+
+        def add(ids, comp, i, others, far):
+            for j, d in zip(others.tolist(), far.tolist()):
+                pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+                two = (int(min(comp[i], comp[j])), int(max(comp[i], comp[j])))
+                if not first:
+                    out[pair] = (*two, d, *pair, False)
+                elif two not in out:
+                    out[two] = (*two, d, *pair, False)
+                elif out[two][3:5] != pair:
+                    out[two] = (*min(out[two][:5], (*two, d, *pair)), True)
 
         def flush():
-            got = np.array(sorted(out), np.int64).reshape(-1, 2)
+            rows = list(zip(*out.values())) or [()] * 6
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:5]), pa.array(rows[5], pa.bool_())], ["ca", "cb", "far", "a", "b", "more"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            keys = b.column(8)
+            flat, off = keys.values.to_numpy(zero_copy_only=False), keys.offsets.to_numpy()
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(8)))):
                 if row[:3] != at:
                     if len(held) > 1:
-                        out.update(compare(held, sizes))
+                        close()
                     held, at = [], row[:3]
                     if len(out) > 50_000:
                         yield flush()
-                held.append(row[3:])
+                held.append((*row[3:], flat[off[i] : off[i + 1]]))
         if len(held) > 1:
-            out.update(compare(held, sizes))
+            close()
         yield flush()
 
     return run
@@ -394,15 +421,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("component"))
 
 
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """The components after joining those of (ca, cb)."""
+    top = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("old", "new")
+    known = comps.select(F.col("doc_id"), F.col("component").alias("old"))
+    alone = top.select(F.col("old").alias("doc_id"), F.col("old")).join(known.select("doc_id"), "doc_id", "left_anti")
+    return written(known.union(alone).join(top, "old", "left").select("doc_id", F.coalesce("new", "old").alias("component")), "components")
+
+
+def _attached(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with the columns of ``values`` of both, as structs va and vb.
+
+    A document of very many pairs is copied to several tasks, each for its share of the pairs.
+    """
+    out = pairs
+    for side, other in ("ab", "ba"):
+        hot = pairs.groupBy(side).count().where(F.col("count") > HOT).select(side, F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+        hot = written(hot, "hot")  # at most a thousandth of the pairs
+        own = values.select(F.col("doc_id").alias(side), F.struct(*(c for c in values.columns if c != "doc_id")).alias(f"v{side}"))
+        own = join_sized(own, hot, [side], "left", None).withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        out = join_sized(out, hot, [side], "left", None).withColumn("at", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        out = out.join(own, [side, "at"]).drop("at")
+    return out
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """The pairs whose whole sets link, by the texts of the documents in pairs alone."""
+    """The pairs (a, b, ..) whose whole sets link, by the texts of the documents in pairs alone."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = keep_ids(docs, ids, "doc_id")
-    sets = texts.mapInArrow(_sets(n_words), "doc_id long, shingles array<long>")
+    sets = keep_ids(docs, ids, "doc_id").mapInArrow(_sets(n_words), "doc_id long, shingles array<long>")
     sets = sets.withColumn("h", F.xxhash64("shingles")).dropDuplicates(["doc_id", "h"]).drop("h")  # an id may have several sets
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * threshold).select("a", "b").distinct()
+    both = _attached(pairs, written(sets, "whole-sets")).withColumn("common", F.size(F.array_intersect("va.shingles", "vb.shingles")))
+    return both.where(F.col("common") * 100 >= (F.size("va.shingles") + F.size("vb.shingles") - F.col("common")) * threshold).select(*pairs.columns).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: int = 80) -> DataFrame:
@@ -416,40 +465,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_sets = written(docs.mapInArrow(_signatures(n_words, threshold), "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"), "sets")
     sets = all_sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    one = ["n_shingles", "k1", "k2"]
+    classes = written(sets.groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "classes")
     # an id with different sets is no copy of another: as a node of its own it keeps the links of all its sets
-    one = F.struct("n_shingles", "k1", "k2")
-    mixed = written(sets.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("doc_id"), "mixed")
-    copies = sets.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"]).where("doc_id != rep").select("doc_id", "rep").distinct()
+    mixed = written(sets.groupBy("doc_id").agg(F.min(F.struct(*one)).alias("lo"), F.max(F.struct(*one)).alias("hi")).where("lo != hi").select("doc_id"), "mixed")
+    copies = join_sized(sets.select("doc_id", *one), classes, one).where("doc_id != rep").select("doc_id", "rep").distinct()
     copies = written(drop_ids(copies, mixed, "doc_id"), "copies")
     reps = drop_ids(sets, copies, "doc_id")
-    histogram = {r["n_shingles"]: r["n"] for r in reps.where(F.col("n_shingles") <= SMALL).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
+    sized = reps.groupBy(F.least("n_shingles", F.lit(SMALL + 1)).alias("size")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).collect()  # SMALL + 1 rows
+    boundary = boundary_by_cost({r["size"]: r["n"] for r in sized}, threshold)
     # keys are made twice, once for counting and once for the members of lists, as they are larger than the texts
     rest = drop_ids(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), copies, "doc_id").select("doc_id", "text")
-    listed = written(_list_members(rest, _list_keys(n_words, threshold, boundary_by_cost(histogram, threshold))), "listed")
-    heads = listed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead != last").drop("last")
-    members = written(listed.join(heads, "key"), "members")
+    listed = written(list_members(rest, _keys_of(n_words, threshold, boundary), sum(r["shingles"] for r in sized)), "listed")
+    heads = written(listed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("lead != last").drop("last"), "heads")
+    members = written(join_sized(listed, heads, ["key"]).select("key", "lead", "doc_id"), "members")
     light = reps.select("doc_id", "n_shingles", "sketch")
-    star = members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
-    star = written(star.mapInArrow(_near(threshold), "a long, b long"), "pairs")
-    links = written(_verified(docs, star, n_words, threshold), "links")
-    comps = components(links)
-    # members of different components in one list
-    named = members.join(comps, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    open_lists = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    rows = named.join(open_lists, "key")
-    few = rows.where(F.col("n") <= FEW).select("key", "doc_id", "comp").repartition("key").sortWithinPartitions("key")
-    few = few.mapInArrow(_few_pairs, "a long, b long").distinct()
-    few = few.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_near(threshold), "a long, b long")
-    rows = rows.where(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "comp").join(light, "doc_id")
-    rows = rows.select("key", "p", "q", "side", "doc_id", "comp", "n_shingles", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    rest = written(few.union(rows.mapInArrow(_across(threshold), "a long, b long")).distinct(), "pairs")
-    more = written(_verified(docs, rest, n_words, threshold), "links")
-    if more.limit(1).count():
-        comps = components(links.union(more))
+    cells = written(keep_ids(light, members, "doc_id"), "cells")
+    star = written(members.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    star = _attached(star, cells).select("a", "b", F.col("va.n_shingles").alias("na"), F.col("va.sketch").alias("sa"), F.col("vb.n_shingles").alias("nb"), F.col("vb.sketch").alias("sb"))
+    star = written(star.mapInArrow(_near(threshold), "a long, b long").distinct(), "pairs")
+    comps, tested = components(written(_verified(docs, star, n_words, threshold), "links")), star
+    # members of different components in one list: the nearest of each two components, then what is still apart
+    for first in (True, False):
+        named = members.join(comps, "doc_id", "left").select("key", "lead", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        open_lists = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
+        rows = join_sized(named, written(open_lists, "open"), ["key"]).groupBy("lead", "doc_id", "comp").agg(F.collect_list("key").alias("keys"))  # the lists of one document
+        rows = written(rows.join(cells, "doc_id"), "open-rows")
+        sized = rows.groupBy("lead").agg(F.ceil(F.sum(F.length("sketch")) / TILE).cast("int").alias("parts"), F.count("*").alias("n"))
+        rows = join_sized(rows, written(sized, "tiles"), ["lead"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("lead", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "comp", "n_shingles", "sketch", "keys")
+        found = rows.repartition("lead", "p", "q").sortWithinPartitions("lead", "p", "q").mapInArrow(_across(threshold, first), "ca long, cb long, far long, a long, b long, more boolean")
+        pair = F.struct("a", "b")
+        if first:
+            best = F.min(F.struct("far", "a", "b")).alias("x")
+            found = found.groupBy("ca", "cb").agg(best, (F.max("more") | (F.min(pair) != F.max(pair))).alias("more")).select("ca", "cb", "x.a", "x.b", "more")
+        else:
+            found = found.select("ca", "cb", "a", "b", "more").distinct()
+        found = written(found, "pairs")
+        new = found.select("ca", "cb", "a", "b").join(tested, ["a", "b"], "left_anti")
+        more = written(_verified(docs, written(new, "pairs"), n_words, threshold), "links")
+        if more.limit(1).count():
+            comps = _joined(comps, more)
+        if not found.where("more").limit(1).count():
+            break
+        tested = tested.union(found.select("a", "b"))
     out = all_sets.select("doc_id", "n_shingles").join(copies, "doc_id", "left")
     out = out.withColumn("node", F.coalesce("rep", "doc_id")).join(comps.toDF("node", "component"), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

@@ -180,6 +180,43 @@ def test_jaccard_across_components(spark):
     assert got == {i: c for i, (_, c) in brute_components(table, 3, 90).items()}
 
 
+def near_group(n):
+    """Copies of one text with up to five changed words; that with the smallest id is far from all others."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(104)]
+    table = {}
+    for k in range(n):
+        w = list(base)
+        for _ in range(12 if k == 0 else rng.choice([1, 1, 2, 2, 3, 5])):
+            w[rng.randrange(104)] = f"x{rng.randrange(400)}"
+        table[7 + k] = " ".join(w)
+    for k in range(12):  # texts of which half is a common passage, and texts with half of the passage
+        table[5000 + k] = " ".join(base[:52] + [f"y{k}.{j}" for j in range(52)])
+        table[6000 + k] = " ".join(base[: 26 + k] + [f"z{j}" for j in range(26)])
+    return table
+
+
+@pytest.mark.parametrize(("mounted", "tile", "hot"), [(True, 8 << 20, 1000), (True, 3000, 20), (False, 8 << 20, 1000)])
+def test_jaccard_in_a_large_near_group(spark, monkeypatch, mounted, tile, hot):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    if not mounted:
+        monkeypatch.setattr(jaccard_join, "is_mounted", lambda spark: False)
+    table = near_group(300)
+    want = {i: c for i, (_, c) in brute_components(table, 5, 80).items()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(list(table.items()), "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(set(want.values())) > 20 and max(collections.Counter(want.values()).values()) > 100
+
+
+def test_jaccard_needs_whole_files(tmp_path):
+    jaccard_join.save(str(tmp_path), "shared.0", np.arange(4, dtype=np.uint64))
+    assert jaccard_join.mapped(str(tmp_path), "shared.0", np.uint64, 4).tolist() == [0, 1, 2, 3]
+    for name, n in (("shared.0", 5), ("shared.1", 0)):
+        with pytest.raises(OSError):
+            jaccard_join.mapped(str(tmp_path), name, np.uint64, n)
+
+
 # 3 and 7
 
 
