@@ -3,7 +3,8 @@
 ``sentencepiece_model`` writes the model's protocol buffer directly: one piece per rank, its bytes mapped to
 printable characters, scored by the negative rank, with identity normalisation. Best score first, leftmost first
 is then the same merge order as lowest rank first. Texts are cut by the vocabulary's own pattern and each pre-token
-is encoded by itself; a pre-token that is a piece is its id. Decoding maps ids to bytes, the inverse of the mapping.
+is encoded by itself; a pre-token that is a piece is its id. Decoding takes the pieces of the model and maps their
+characters back to bytes.
 """
 
 from __future__ import annotations
@@ -90,10 +91,12 @@ class Codec:
         import sentencepiece
 
         self.find = regex.compile(pattern).findall
-        self.pieces = vocabulary
         self.ids = {p: i for i, p in enumerate(vocabulary)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(vocabulary))
-        self.map = {b: c for b, c in enumerate(byte_characters())}
+        self.map = dict(enumerate(byte_characters()))
+        back = {ord(c): b for b, c in self.map.items()}
+        # the bytes of each piece of the model, by the inverse mapping of its characters
+        self.bytes_of = [self.model.IdToPiece(i).translate(back).encode("latin-1") for i in range(len(vocabulary))]
         self.known = _Known(self)
 
     def learn(self, token: str) -> bytes:
@@ -112,7 +115,7 @@ class Codec:
         return b"".join(map(self.known.__getitem__, self.find(text)))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.pieces[i] for i in ids])
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 _CODECS: dict[str, Codec] = {}
