@@ -26,9 +26,16 @@ from atlasweave.llm.bpe import encode, share
 BLOCK = 1 << 20  # ids in a block
 
 
+def width_of(vocabulary: int, eod: int) -> str:
+    """The narrowest type of ids that holds a vocabulary and its separator."""
+    return "<u2" if max(vocabulary, eod + 1) <= 1 << 16 else "<u4"
+
+
 def write_token_files(encoded: DataFrame, folder: str, eod: int, dtype: str = "<u2") -> DataFrame:
     """Writes (doc_id, ids) as one flat file per task into a mounted folder; returns (file, ordinal, doc_id).
 
+    An id that doesn't fit the type, or a text that holds the separator, is an error.
+
     A file appears under its name only when whole, so a task that is run again replaces it by the same bytes.
     """
 
@@ -38,7 +45,10 @@ def write_token_files(encoded: DataFrame, folder: str, eod: int, dtype: str = "<
         end = np.array([eod], dtype).tobytes()
         with open(own, "wb") as out:
             for b in batches:
-                flat, off = b.column(1).values.to_numpy().astype(dtype), np.asarray(b.column(1).offsets)
+                ids, off = b.column(1).values.to_numpy(), np.asarray(b.column(1).offsets)
+                flat = ids.astype(dtype)
+                if (flat != ids).any() or (flat[off[0] : off[-1]] == eod).any():
+                    raise ValueError("an id doesn't fit the token files, or is the separator")
                 for i in range(b.num_rows):
                     out.write(flat[off[i] : off[i + 1]].tobytes())
                     out.write(end)
@@ -104,10 +114,11 @@ def document_token_counts(docs: DataFrame, vocabulary: str | None = None, eod: i
 
     spark = docs.sparkSession
     shared = share(spark, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    dtype = width_of(len(shared.value[1]), eod)
     folder = posix_dir(spark, "tokens")
-    index = write_token_files(encode(docs, shared), folder, eod)
+    index = write_token_files(encode(docs, shared), folder, eod, dtype)
     # merged by a shuffle: Parquet packs the index so well that its size on disk would pass for one to broadcast
-    return index.hint("merge").join(count_tokens(spark, folder, eod, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens", "complete")
+    return index.hint("merge").join(count_tokens(spark, folder, eod, dtype, block), ["file", "ordinal"]).select("doc_id", "n_tokens", "complete")
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
