@@ -64,9 +64,10 @@ def posix_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of df whose key is among ids: broadcast after counting the ids, or by a shuffled join beyond the limit."""
-    ids = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    key = [key] if isinstance(key, str) else key
+    ids = ids.select(*key).dropna().distinct()
     if ids.limit(limit + 1).count() <= limit:
         ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")

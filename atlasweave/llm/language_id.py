@@ -2,7 +2,7 @@
 
 A text is the average of the embeddings of its hashed byte n-grams (after lower-casing A-Z), a linear layer and a
 softmax give the languages. It is trained in NumPy by stochastic gradient descent with adaptive steps on a sample of at
-most ``SAMPLE`` documents a language (the only use of a sample; the smallest hashes of their ids). A part of the sample
+most ``SAMPLE`` different documents a language (the only use of a sample; the smallest hashes of id and text). A part of the sample
 is set aside: a temperature is fitted on it, and the threshold of rejection is the confidence that all but a share
 ``REJECT`` of its correctly predicted texts reach, at most 0.5. As all is linear before the softmax, embeddings times
 layer is one table that workers sum over the n-grams of a text.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atlasweave.llm._hashed import counted, softmax, sums
-from atlasweave.llm._spark import bounded, keep_ids
+from atlasweave.llm._spark import bounded, keep_ids, written
 from atlasweave.llm._text import column_bytes, pieces
 
 SAMPLE = 400  # documents a language
@@ -79,13 +79,20 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
 
 def train(docs: DataFrame) -> dict:
     """Fits on (doc_id, text, lang); null languages and texts aren't used."""
-    known = bounded(docs).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
-    if sample.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+    key = ["doc_id", "lang", "h"]
+    known = bounded(docs).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    rows = written(known.select(*key), "known")
+    at = F.xxhash64(*key)
+    counts = written(rows.groupBy("lang").agg(F.approx_count_distinct(at).alias("n")), "languages")
+    if (languages := counts.limit(LANGUAGES + 1).count()) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    found = keep_ids(known, sample, "doc_id").select("doc_id", "lang", "text").mapInArrow(_examples, "doc_id long, lang string, ids binary, shares binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], len(r["ids"])))  # at most SAMPLE * LANGUAGES, of 2**BITS values
+    # rows of small hashes alone are ordered: about 4 * SAMPLE of a language, whatever its share of all rows is
+    few = rows.join(F.broadcast(counts), "lang").where(F.pmod(at, F.lit(1 << 30)) * F.col("n").cast("double") < float(4 * SAMPLE << 30)).select(*key).distinct()
+    order = W.partitionBy("lang").orderBy(at, "doc_id", "h")
+    sample = written(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select(*key), "sample")
+    found = keep_ids(known, sample, key).dropDuplicates(key).limit(SAMPLE * max(1, languages)).select("doc_id", "lang", "text")
+    found = found.mapInArrow(_examples, "doc_id long, lang string, ids binary, shares binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], r["ids"]))  # at most SAMPLE * LANGUAGES, of 2**BITS values
     return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
 
 

@@ -4,7 +4,7 @@ Seven overlapping heuristics look at the bytes of a whole text and vote good, ba
 by their pattern of votes (at most 3**7), and EM over these counts estimates each heuristic's accuracy for good and for
 bad texts and the share of good ones, without any labels. The posterior of a document's pattern is its weak label.
 A logistic scorer of hashed byte n-grams and hashed levels of the measures is then trained on the posteriors of a sample
-of at most ``SAMPLE`` documents of each side (the only use of a sample; smallest hashes of the ids). A document is
+of at most ``SAMPLE`` different documents of each side (the only use of a sample; smallest hashes of id and text). A document is
 accepted if its score is ``ACCEPT`` or more.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,7 +119,7 @@ def _levels(m: np.ndarray) -> np.ndarray:
 
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 1):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pattern(votes(measures(*column_bytes(b.column(1))))), pa.int64())], ["doc_id", "pattern"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(_pattern(votes(measures(*column_bytes(b.column(1))))), pa.int64())], ["doc_id", "h", "pattern"])
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,19 +151,27 @@ def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray, np.ndarray]], see
     return {"table": w.astype(np.float32)[:, None], "levels": lv, "bias": float(b)}
 
 
+def _sampled(rows: DataFrame, at: Column) -> DataFrame:
+    """(doc_id, h) of the SAMPLE different rows with the smallest hashes."""
+    return rows.select("doc_id", "h").distinct().orderBy(at, "doc_id", "h").limit(SAMPLE)
+
+
 def train(docs: DataFrame) -> tuple[dict, dict]:
     """Fits the weak-label model on all of (doc_id, text) and the scorer on its sample; returns scorer and weak model."""
-    voted = written(bounded(docs).select("doc_id", "text").mapInArrow(_vote_rows, "doc_id long, pattern long"), "votes")
+    docs = bounded(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    voted = written(docs.mapInArrow(_vote_rows, "doc_id long, h long, pattern long"), "votes")
     patterns = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     if not patterns:
         return {"table": np.zeros((1 << BITS, 1), np.float32), "levels": np.zeros(len(NAMES) * LEVELS), "bias": 0.0}, {"good_share": 0.5, "accuracy": {}, "posterior": {}}
     post, weak = expectation_maximisation(patterns)
     bad = [p for p, x in post.items() if x < 0.5]
     known = voted.where("doc_id IS NOT NULL")
-    side = lambda c: known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = side(F.col("pattern").isin(bad)).union(side(~F.col("pattern").isin(bad)))
-    found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, "doc_id").select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids binary, shares binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], len(r["ids"])))  # at most 2 * SAMPLE, of 2**BITS values
+    at = F.xxhash64("doc_id", "h")
+    side = lambda c: _sampled(known.where(c), at)
+    sample = written(side(F.col("pattern").isin(bad)).union(side(~F.col("pattern").isin(bad))), "sample")
+    found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).limit(2 * SAMPLE)
+    found = found.select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids binary, shares binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], r["ids"]))  # at most 2 * SAMPLE, of 2**BITS values
     scorer = fit_scorer([(post[r["pattern"]], np.array(r["levels"]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
     return scorer, weak | {"posterior": post}
 
