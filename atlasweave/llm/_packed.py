@@ -55,6 +55,14 @@ def save(folder: str, name: str, a: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}")
 
 
+def mapped(folder: str, name: str, dtype, n: int) -> np.ndarray:
+    """A file of n values, mapped; one that isn't there whole is an error, as its values would be lost silently."""
+    path, want = f"{folder}/{name}", n * np.dtype(dtype).itemsize
+    if (size := os.path.getsize(path)) != want:
+        raise OSError(f"{path} has {size} bytes in place of {want}")
+    return np.memmap(path, dtype, "r") if n else np.zeros(0, dtype)
+
+
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows sorted by (shard, kind) to one sum of blocks for each; held blocks are merged from time to time."""
     at, keys, counts = None, [], []

@@ -26,7 +26,6 @@ Every step is exact: no cap on candidates, lists or sizes. Tables are cut at the
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,14 +36,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasweave.llm._packed import BLOCK as BLOCK_ROW
-from atlasweave.llm._packed import HELD, block_rows, blocks, merged, save
+from atlasweave.llm._packed import HELD, block_rows, blocks, mapped, merged, save
 from atlasweave.llm._spark import bounded, drop_ids, is_mounted, join_sized, keep_ids, posix_dir, written
 from atlasweave.llm._text import column_bytes, hash_words, mix, ngrams, pieces
 
 SMALL = 32  # the boundary is searched up to this size
 TILE = 8 << 20  # bytes of sketches of an open list that one task compares with as many others
 HOT = 1000  # a document in more pairs than this is dealt over several tasks
-KEY_BITS, SHARD_KEYS = 40, 4_000_000  # keys are counted by so many bits, in shards for about so many keys
+KEY_BITS, SHARD_KEYS = 40, 2_000_000  # keys are counted by so many bits, in shards for about so many keys
 
 
 class Sizes:
@@ -225,15 +224,6 @@ def _save_shared(folder: str):
     return run
 
 
-def mapped(folder: str, name: str, dtype, n: int) -> np.ndarray:
-    """A file of n values, mapped; one that isn't there whole is an error, as its keys would be lost silently."""
-    path = f"{folder}/{name}"
-    size = os.path.getsize(path)
-    if size != n * np.dtype(dtype).itemsize:
-        raise OSError(f"{path} has {size} bytes in place of {n * np.dtype(dtype).itemsize}")
-    return np.memmap(path, dtype, "r") if n else np.zeros(0, dtype)
-
-
 def _in_lists(folder: str, of, bits: int, n_of: dict[int, int]):
     """(doc_id, text) to the (key, doc_id) of its lists; ``n_of`` tells how many keys the file of a shard has."""
 
@@ -285,9 +275,9 @@ def list_members(docs: DataFrame, of, n_keys: int) -> DataFrame:
         counted = join_sized(keys, common, ["key"], how="left").withColumn("n", F.coalesce("n", F.lit(1)))
         place = F.row_number().over(W.partitionBy("task", "row", F.col("rank") > 0).orderBy("n", "key"))  # the keys of one set
         return counted.withColumn("place", place).where("n > 1 AND (rank = 0 OR place <= rank)").select("key", "doc_id")
-    bits = min(20, max(6, (n_keys // SHARD_KEYS).bit_length()))
+    bits = min(20, max(3, (n_keys // SHARD_KEYS).bit_length()))
     folder = posix_dir(spark, "list-keys")
-    dealt = docs.mapInArrow(_key_blocks(of, bits), BLOCK_ROW).repartition(1 << bits, "shard").sortWithinPartitions("shard", "kind")
+    dealt = docs.mapInArrow(_key_blocks(of, bits), BLOCK_ROW).repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind")
     n_of = {r["shard"]: r["n"] for r in dealt.mapInArrow(_save_shared(folder), "shard long, n long").collect()}  # a row a shard
     return docs.mapInArrow(_in_lists(folder, of, bits, n_of), "key long, doc_id long")
 

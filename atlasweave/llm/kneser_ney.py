@@ -13,12 +13,12 @@ shared folder:
 
 Scoring maps the arrays read-only, so all workers of a machine share one copy in the page cache and read only the pages
 they need. All counts cover the whole training part; nothing is pruned. Losing an executor repeats tasks, which replace
-their files by equal ones. The vocabulary may have up to 2**32 - 2 words. Words are told apart by 64-bit hashes.
+their files by equal ones. What the writers report tells how long each file must be; a file that isn't there whole is an
+error. The vocabulary may have up to 2**32 - 2 words. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasweave.llm._spark import bounded, posix_dir
-from atlasweave.llm._packed import BLOCK, HELD, block_rows, blocks, merged, pack, save, summed
+from atlasweave.llm._packed import BLOCK, HELD, block_rows, blocks, mapped, merged, pack, save, summed
 from atlasweave.llm._text import column_bytes, hash_words, mix, pieces
 
 SHARD = 2_000_000  # tokens a shard of bigrams is made for
@@ -82,24 +82,25 @@ class Model:
         self.first = np.array(head["first"], np.int64)  # number of the first word of each shard
         self.hot = np.array(sorted(head.get("hot", ())), np.int64)
 
-    def map(self, name: str, dtype) -> np.ndarray:
-        if name not in self.maps:
-            p = f"{self.folder}/{name}"
-            self.maps[name] = np.memmap(p, dtype, "r") if os.path.exists(p) and os.path.getsize(p) else np.zeros(0, dtype)
-        return self.maps[name]
+    def map(self, kind: str, part: int, dtype, n: int) -> np.ndarray:
+        """The n values of a part of the model."""
+        if (kind, part) not in self.maps:
+            self.maps[kind, part] = mapped(self.folder, f"{kind}.{part}", dtype, n) if n else np.zeros(0, dtype)
+        return self.maps[kind, part]
 
     def numbers(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sorted distinct hashes: word numbers (-1: not known) and counts."""
         out, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
         bits = self.head["bits"]
-        cut = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(words)])
-        for s in range(1 << bits):
-            own = words[cut[s] : cut[s + 1]]
-            if len(own) and len(table := self.map(f"word.{s}", np.uint64)):
-                at = np.minimum(np.searchsorted(table, own), len(table) - 1)
+        shards, cut = np.unique(words >> np.uint64(64 - bits), return_index=True)
+        for s, lo, hi in zip(shards.tolist(), cut, [*cut[1:], len(words)]):
+            n = self.head["types"][s]
+            if n:
+                own, table = words[lo:hi], self.map("word", s, np.uint64, n)
+                at = np.minimum(np.searchsorted(table, own), n - 1)
                 hit = table[at] == own
-                out[cut[s] : cut[s + 1]] = np.where(hit, at + self.first[s], -1)
-                counts[cut[s] : cut[s + 1]] = np.where(hit, self.map(f"word-count.{s}", np.uint64)[at].astype(np.int64), 0)
+                out[lo:hi] = np.where(hit, at + self.first[s], -1)
+                counts[lo:hi] = np.where(hit, self.map("word-count", s, np.uint64, n)[at].astype(np.int64), 0)
         return out, counts
 
     def shards(self, keys: np.ndarray) -> np.ndarray:
@@ -114,24 +115,26 @@ class Model:
         """Counts of sorted distinct keys."""
         out, shard = np.zeros(len(keys), np.int64), self.shards(keys)
         order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.head["shards"] + 1))
-        for s in range(self.head["shards"]):
-            i = order[cut[s] : cut[s + 1]]
-            if len(i) and len(table := self.map(f"pair.{s}", np.uint64)):
-                at = np.minimum(np.searchsorted(table, keys[i]), len(table) - 1)
-                out[i] = np.where(table[at] == keys[i], self.map(f"pair-count.{s}", np.uint32)[at], 0)
+        shards, cut = np.unique(shard[order], return_index=True)
+        for s, lo, hi in zip(shards.tolist(), cut, [*cut[1:], len(keys)]):
+            n, i = self.head["pairs"].get(s, 0), order[lo:hi]
+            if n:
+                table = self.map("pair", s, np.uint64, n)
+                at = np.minimum(np.searchsorted(table, keys[i]), n - 1)
+                out[i] = np.where(table[at] == keys[i], self.map("pair-count", s, np.uint32, n)[at], 0)
         return out
 
     def dense(self, kind: str, numbers: np.ndarray) -> np.ndarray:
         """Values of a dense array at word numbers (sorted or not)."""
         width = 3 if kind == "context" else 1
         out = np.zeros((len(numbers), width), np.int64)
+        if not self.head["pairs"]:
+            return out
         part = numbers // RANGE
-        for r in np.unique(part):
+        for r in np.unique(part).tolist():
             m = part == r
-            a = self.map(f"{kind}.{r}", np.uint32).reshape(-1, width)
-            if len(a):
-                out[m] = a[numbers[m] - r * RANGE]
+            n = min(RANGE, self.head["words"] + 1 - r * RANGE)
+            out[m] = self.map(kind, r, np.uint32, n * width).reshape(-1, width)[numbers[m] - r * RANGE]
         return out
 
 
@@ -203,6 +206,7 @@ def _save_bigrams(folder: str):
                 out += blocks(x, c, (x // np.uint64(RANGE)).astype(np.int64), kind)
             of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
             out.append((-1, 0, pack(np.arange(4, dtype=np.uint64), of)))
+            out.append((-1, 1, pack(np.array([s], np.uint64), np.array([len(keys)]))))  # the file's length
             yield block_rows(out)
 
     return run
@@ -231,6 +235,9 @@ def _save_dense(folder: str, words: int):
 
         at, own = None, []
         for s, kind, keys, counts in merged(batches):
+            if s == -1 and kind:
+                yield row(2, np.stack([keys.astype(np.int64), counts], axis=1).ravel())
+                continue
             if s == -1:
                 of = np.zeros(5, np.int64)
                 of[keys.astype(int)] = counts
@@ -264,7 +271,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
     spark = docs.sparkSession
     folder = posix_dir(spark, "kneser-ney")
     bits = max(2, (docs.rdd.getNumPartitions() - 1).bit_length())
-    dealt = lambda df, n: df.repartition(n, "shard").sortWithinPartitions("shard", "kind")
+    dealt = lambda df, n: df.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "kind")
     saved = dealt(docs.mapInArrow(_words_of(bits), BLOCK), 1 << bits).mapInArrow(_save_words(folder), "shard long, kind long, types long, tokens long").collect()
     sizes = {r["shard"]: r for r in saved if r["kind"] == 0}
     texts = sum(r["tokens"] for r in saved if r["kind"] == 1)
@@ -272,21 +279,22 @@ def train(docs: DataFrame) -> tuple[str, dict]:
     words, tokens = sum(types), sum(r["tokens"] for r in sizes.values()) + texts
     if words > (1 << 32) - 2:
         raise ValueError("more words than 32-bit numbers")
-    head = {"bits": bits, "first": [1 + int(x) for x in np.cumsum([0, *types[:-1]])], "words": words, "tokens": tokens, "docs": texts, "shards": 1 << max(3, (tokens // SHARD).bit_length())}
+    head = {"bits": bits, "first": [1 + int(x) for x in np.cumsum([0, *types[:-1]])], "types": types, "words": words, "tokens": tokens, "docs": texts, "shards": 1 << max(3, (tokens // SHARD).bit_length())}
     most = max(1, tokens // (4 * head["shards"]))
     first = head["first"]
 
     def hot(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for s in b.column(0).to_pylist():
-                c = Model(folder, head).map(f"word-count.{s}", np.uint64)
+                c = Model(folder, head).map("word-count", s, np.uint64, types[s])
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(c > most) + first[s])], ["id"])
 
     found = spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(hot, "id long").collect()  # fewer than 4 * shards
     head["hot"] = [0, *(r["id"] for r in found)]
     pairs = dealt(docs.mapInArrow(_bigrams_of(folder, head), BLOCK), head["shards"]).mapInArrow(_save_bigrams(folder), BLOCK)
-    known = dealt(pairs, max(8, words // RANGE + 1)).mapInArrow(_save_dense(folder, words), "kind int, n array<long>").groupBy("kind").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(5))).collect()
-    n = {r["kind"]: [r[f"n{i}"] for i in range(5)] for r in known}
+    known = dealt(pairs, max(8, words // RANGE + 1)).mapInArrow(_save_dense(folder, words), "kind int, n array<long>").collect()  # a row a range, and a number a shard
+    n = {kind: np.sum([r["n"] for r in known if r["kind"] == kind], axis=0).tolist() for kind in {r["kind"] for r in known} - {2}}
+    head["pairs"] = {s: size for r in known if r["kind"] == 2 for s, size in zip(r["n"][::2], r["n"][1::2])}
     head["pair_discounts"], head["word_discounts"] = discounts(n.get(0, [0] * 5)), discounts(n.get(1, [0] * 5))
     head["pair_types"] = n.get(1, [0] * 5)[4]
     head["word_seen"] = n.get(1, [0] * 5)[:4]
