@@ -141,7 +141,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # slots of matched documents and of items, aligned by the diagonal
     slots = lambda df, key: df.select(key, F.posexplode("tokens").alias("pos", "x")).select(key, "pos", "x.t", "x.v").where(F.startswith("t", F.lit("\x02")))
     theirs = slots(keep_ids(docs, hits, "doc_id").select("doc_id", template_tokens(raw_tokens(F.col("text"))).alias("tokens")), "doc_id").distinct()
-    ours = slots(items, "item_id").distinct()
+    ours = written(slots(items, "item_id").distinct(), "slots")
+    if ours.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        ours = F.broadcast(ours)  # an item that very many documents hold isn't one task's
     met = lines.join(ours, "item_id").where("pos >= lo AND pos < hi").withColumn("dpos", F.col("pos") + F.col("diagonal"))
     met = met.join(theirs.select("doc_id", F.col("pos").alias("dpos"), F.col("t").alias("dt"), F.col("v").alias("dv")), ["doc_id", "dpos"]).where("t = dt")
     pairs = met.groupBy(*line, "t", "v", "dv").agg(F.count("*").alias("n"))
