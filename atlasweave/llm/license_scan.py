@@ -37,7 +37,20 @@ TEMPLATES = {
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.',
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
     "bsd": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;words="0-1">> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;words="0-1">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
-    "mpl-2.0": 'subject to the terms of the Mozilla Public License, v. 2.0',
+    "mit-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;words="1-6">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "mit-0": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED',
+    "isc-whole": 'Permission to use, copy, modify, <<beginOptional>>and/or<<endOptional>> <<beginOptional>>and<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;words="1-6">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "bsd-2-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;words="0-1">> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;words="0-1">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<var;words="1-8">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-3-clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<var;words="0-1">> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var;words="0-1">> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<var;words="0-1">> Neither the name of <<var;words="1-12">> nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>the<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission.',
+    "zlib": 'This software is provided as-is, without any express or implied warranty. In no event will <<var;words="1-6">> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:',
+    "bsl-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so',
+    "unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.',
+    "cc0-1.0": 'CC0 1.0 <<beginOptional>>Universal<<endOptional>>',
+    "apache-2.0-whole": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this <<var;words="1-3">> except in compliance with the License. You may obtain a copy of the License at <<var;words="1-10">> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "gpl-notice": '<<var;words="0-3">> is free software <<var;words="0-1">> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation <<beginOptional>>, either<<endOptional>> version <<var;words="1-1">> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>, or (at your option) any later version<<endOptional>>',
+    "lgpl-notice": '<<var;words="0-3">> is free software <<var;words="0-1">> you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation <<beginOptional>>, either<<endOptional>> version <<var;words="1-2">> <<beginOptional>>of the License<<endOptional>> <<beginOptional>>, or (at your option) any later version<<endOptional>>',
+    "mpl-2.0": 'subject to the terms of the Mozilla Public License, v. 2.0 <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at <<var;words="1-8">><<endOptional>>',
+    "epl-2.0": 'made available under the terms of the Eclipse Public License <<beginOptional>>v<<endOptional>> 2.0',
     "copyright-reserved": 'copyright <<var;words="0-8">> all rights reserved',
     "spdx-identifier": 'SPDX License Identifier <<var;words="1-1">>',
 }
