@@ -446,6 +446,107 @@ def test_decontamination_of_copies_inside_a_line(spark):
     assert all(r[0] == r[1] for r in got.values())
 
 
+def plain_template(text):
+    """(template token, lower-cased word) of a text, word by word."""
+    t = re.sub(r"([0-9])[.,]([0-9])", r"\1\2", text)
+    t = re.sub(r"[.!?:]+\s|\n", " \x01 ", t)
+    raw = [w for w in re.split("[^\x01A-Za-z0-9äöüß]+", t) if w]
+    out = []
+    for i, w in enumerate(raw):
+        if w == "\x01":
+            continue
+        low, before = w.lower(), raw[i - 1] if i else None
+        if w.isdigit():
+            kind = "#number"
+        elif w[0] != low[0] and i and before != "\x01":
+            kind = "#name"
+        elif before and before[0].isdigit() and low in decontamination.UNITS:
+            kind = "#unit"
+        else:
+            kind = low
+        out.append((kind, low))
+    return out
+
+
+def plain_contaminated(docs, items):
+    """Every window of every item at every place of every document, then slot by slot."""
+    found = set()
+    for i, item in items:
+        own = plain_template(item)
+        width = min(len(own), decontamination.WINDOW)
+        if not width:
+            continue
+        starts = range(len(own) - width + 1)
+        need = min(decontamination.LITERALS, width)
+        literal = [s for s in starts if sum(t[0] != "#" for t, _ in own[s : s + width]) >= need] if width >= decontamination.SHORT else []
+        copied = not literal
+        windows = list(starts) if copied else literal
+        for d, text in docs:
+            theirs = plain_template(text or "")
+            lines = collections.defaultdict(set)
+            for s in windows:
+                for p in range(len(theirs) - width + 1):
+                    mine, other = own[s : s + width], theirs[p : p + width]
+                    if copied:
+                        same = [v for _, v in mine] == [v for _, v in other]
+                    else:
+                        same = all(a == b for (a, _), (b, _) in zip(mine[1:], other[1:])) and (mine[0][0] == other[0][0] or other[0][0] in ("#name", "#unit") and mine[0][0] == other[0][1])
+                    if same:
+                        lines[p - s].add(s)
+            covered = set()
+            for shift, at in lines.items():
+                forth, back = collections.defaultdict(set), collections.defaultdict(set)
+                for k in range(min(at), max(at) + width):
+                    if 0 <= k + shift < len(theirs) and own[k][0][0] == "#" and own[k][0] == theirs[k + shift][0]:
+                        forth[own[k]].add(theirs[k + shift][1])
+                        if own[k][0] == "#name":
+                            back[theirs[k + shift][1]].add(own[k][1])
+                if copied or all(len(x) == 1 for x in [*forth.values(), *back.values()]):
+                    covered |= at
+            if covered and (100 * len(covered) >= decontamination.COVERAGE * len(windows) or len(covered) >= decontamination.RUN):
+                found.add((d, i))
+    return found
+
+
+def test_decontamination_against_a_plain_matcher(spark):
+    rng = random.Random(12)
+    names, units = "Anna Bert Carl Dora Emil".split(), "km kg days cm".split()
+
+    def sentence(n):
+        words = []
+        for _ in range(n):
+            k = rng.random()
+            words.append(rng.choice(names) if k < 0.15 else f"{rng.randint(1, 30)} {rng.choice(units)}" if k < 0.3 else str(rng.randint(1, 9)) if k < 0.4 else rng.choice("the of walks with gives apples from to and back home".split()))
+        return " ".join(words)
+
+    def altered(text):
+        to = dict(zip(names, rng.sample(names, len(names)) if rng.random() < 0.7 else [rng.choice(names) for _ in names]))
+        up = rng.randint(0, 3)
+        out = [to.get(w, str(int(w) + up) if w.isdigit() and rng.random() < 0.98 else w) for w in text.split()]
+        if rng.random() < 0.3:
+            out[rng.randrange(len(out))] = "other"
+        return " ".join(out)
+
+    items = [(i, sentence(rng.choice([1, 3, 6, 8, 12, 20, 45])).capitalize()) for i in range(30)]
+    docs = []
+    for d in range(240):
+        i, text = rng.choice(items)
+        body = altered(text) if rng.random() < 0.8 else text
+        docs.append((d, rng.choice(["", "Intro text. ", "so, "]) + sentence(rng.randint(0, 6)) + rng.choice([" ", ". ", ", ", "\n"]) + body + rng.choice(["", ". ", " and "]) + sentence(rng.randint(0, 30))))
+    docs += [(1000, " ".join(x for _, x in docs) * 3), (1001, "")]  # a long text that holds all
+    want = plain_contaminated(docs, items)
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 50 < len(want) and any(d not in {x for x, _ in want} for d, _ in docs[:240])
+
+
+def test_decontamination_finds_every_planted_item(spark):
+    """Verbatim, with numbers, of three words, and in German, where nouns look like names."""
+    items = ["What is 12 times 7 plus 5?", "Compute 17 + 25 - 9 * 4 for x", "who wrote it?", "Welche Stadt liegt am Fluss Spree und ist die Hauptstadt?", "How many apples do 5 boys and 6 girls have if each has 3?", "Die Katze, der Hund, das Pferd und die Kuh", "Name Name Name"]
+    docs = [(k, f"Some page with text. {t}\nMore of it.") for k, t in enumerate(items)] + [(100 + k, f"and inside of a line, {t} more") for k, t in enumerate(items)] + [(200, "nothing here of the kind")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert {(k, k) for k in range(len(items))} | {(100 + k, k) for k in range(len(items))} <= got and all(d % 100 == i for d, i in got)
+
+
 def test_decontamination_on_tables(spark):
     d = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
@@ -480,6 +581,50 @@ def test_template_automaton():
     assert [match(t) for t in ("alpha x omega", "Alpha, beta gamma x y omega!", "alpha omega", "alpha beta x y omega", "alpha beta omega", "alpha x y z omega", "alpha x omega omega")] == [3, 6, -1, -1, 3, -1, 4]
 
 
+def plain_pattern(template):
+    """The template as a regular expression over words with a space behind each."""
+    out, pos = "", 0
+    for m in [*license_scan._MARKUP.finditer(template), None]:
+        words = license_scan.words_of(template[pos : m.start() if m else len(template)])
+        out += "".join(re.escape(w.decode()) + " " for w in words)
+        if m:
+            out += "(?:" if m[1] == "beginOptional" else ")?" if m[1] == "endOptional" else rf"(?:[^ ]+ ){{{m[2]},{m[3]}}}"
+            pos = m.end()
+    return re.compile(out)
+
+
+def test_templates_against_regular_expressions():
+    """All templates on texts made from their markup, whole and damaged."""
+    rng = random.Random(6)
+    automata = {k: license_scan.Automaton(t) for k, t in license_scan.TEMPLATES.items()}
+    patterns = {k: plain_pattern(t) for k, t in license_scan.TEMPLATES.items()}
+    hits = collections.Counter()
+    for label, template in license_scan.TEMPLATES.items():
+        for _ in range(12):
+            text = re.sub("<<beginOptional>>(.*?)<<endOptional>>", lambda m: m[1] if rng.random() < 0.5 else "", template)
+            text = re.sub(r'<<var;words="(\d+)-(\d+)">>', lambda m: " ".join(rng.choice(["Some", "One", "x1", "über"]) for _ in range(rng.randint(int(m[1]), int(m[2])))), text)
+            words = license_scan.words_of(text)
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = b"damaged"
+            words = [b"before"] * rng.randint(0, 2) + words + [b"after"] * rng.randint(0, 2)
+            _, _, found = license_scan.scan(b" ".join(words).decode(), automata)
+            # each automaton starts at its leading mandatory words
+            flat = [w.decode() + " " for w in words]
+            for other, a in automata.items():
+                lead = a.lead.decode().strip().split()
+                want = []
+                for s in range(len(words)):
+                    if [x.strip() for x in flat[s : s + len(lead)]] == lead:
+                        tail = patterns[other].pattern
+                        tail = tail[tail.index("".join(re.escape(x) + " " for x in lead)) :]
+                        depth = tail.count(")") - tail.count("(")
+                        ends = [e for e in range(s + 1, len(words) + 1) if re.fullmatch("(?:" * max(0, depth) + tail, "".join(flat[s:e]))]
+                        want += [(s, max(ends), other)] if ends else []
+                assert [x for x in found if x[2] == other] == want, (label, other)
+            hits[label] += any(x[2] == label for x in found)
+    assert all(hits[k] for k in license_scan.TEMPLATES), [k for k in license_scan.TEMPLATES if not hits[k]]
+
+
 # 10
 
 PAGES = [
