@@ -105,6 +105,23 @@ def cell_level(cell: int) -> int:
     return 30 - ((cell & -cell).bit_length() - 1) // 2
 
 
+def levels_of(cells: np.ndarray) -> np.ndarray:
+    """Levels of many cells, by their lowest bit."""
+    return 30 - np.log2((cells & -cells).view(np.uint64).astype(float)).astype(np.int64) // 2
+
+
+def parents_at(cells: np.ndarray, level: int) -> np.ndarray:
+    """The ancestors of cells at a level."""
+    low = np.int64(1 << (2 * (30 - level)))
+    return (cells & -low) | low
+
+
+def box_ring(south: float, west: float, north: float, east: float) -> np.ndarray:
+    """The corners of a box; one that crosses the antimeridian goes on beyond 180 degrees."""
+    east = east + 360 if east < west else east
+    return np.array([[west, south], [east, south], [east, north], [west, north]])
+
+
 # well-known binary, and planar predicates over rings of (lng, lat)
 
 
@@ -148,6 +165,14 @@ def read_wkb(b: bytes) -> list[list[np.ndarray]]:
         raise ValueError("cut off") from e
 
 
+def shape_of(wkb: bytes | None) -> list[list[np.ndarray]]:
+    """The polygons of a binary; none if it can't be read."""
+    try:
+        return read_wkb(bytes(wkb))
+    except (ValueError, TypeError, IndexError):
+        return []
+
+
 def write_wkb(polygons: list[list[np.ndarray]]) -> bytes:
     """Little-endian WKB of a polygon, or of a multipolygon if there are several."""
     one = lambda rings: struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.asarray(r, "<f8").tobytes() for r in rings)
@@ -181,27 +206,60 @@ def contains(polygons: list[list[np.ndarray]], x, y) -> np.ndarray:
     return out
 
 
-def clip_box(ring: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
-    """The part of a ring inside a box, by cutting at each side in turn."""
-    for axis, bound, keep_low in ((0, west, False), (0, east, True), (1, south, False), (1, north, True)):
-        out = []
-        for a, b in zip(ring, np.roll(ring, -1, axis=0)):
-            ia, ib = (a[axis] <= bound, b[axis] <= bound) if keep_low else (a[axis] >= bound, b[axis] >= bound)
-            if ia:
-                out.append(a)
-            if ia != ib:
-                t = (bound - a[axis]) / (b[axis] - a[axis])
-                out.append(a + t * (b - a))
-        ring = np.array(out).reshape(-1, 2)
+def clip(ring: np.ndarray, convex: np.ndarray) -> np.ndarray:
+    """The part of a ring inside a convex ring, by cutting at each side in turn; neither repeats its first vertex."""
+    turn = 1.0 if _signed_area(convex) >= 0 else -1.0
+    for a, b in zip(convex, np.roll(convex, -1, axis=0)):
         if not len(ring):
             break
+        side = turn * ((b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0]))
+        inside = side >= 0
+        if inside.all():
+            continue
+        to, after = np.roll(ring, -1, axis=0), np.roll(side, -1)
+        crosses = inside != np.roll(inside, -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = ring + (side / (side - after))[:, None] * (to - ring)
+        both = np.stack([ring, cut], axis=1).reshape(-1, 2)
+        ring = both[np.stack([inside, crosses], axis=1).ravel()]
     return ring
 
 
+def clip_box(ring: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
+    """The part of a ring inside a box."""
+    return clip(ring, np.array([[west, south], [east, south], [east, north], [west, north]]))
+
+
+def opened(ring: np.ndarray) -> np.ndarray:
+    """A ring without the repetition of its first vertex."""
+    return ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+
+
+def overlap(polygons: list[list[np.ndarray]], convex: np.ndarray) -> tuple[float, float]:
+    """(area that polygons share with a convex ring, area of the polygons), holes taken out, in square degrees."""
+    low, high = convex.min(axis=0), convex.max(axis=0)
+    both = total = 0.0
+    for rings in polygons:
+        for k, ring in enumerate(rings):
+            r, sign = opened(ring), -1 if k else 1
+            total += sign * area(r)
+            to = np.roll(r, -1, axis=0)
+            near = ((np.minimum(r, to) <= high) & (np.maximum(r, to) >= low)).all(axis=1)
+            if near.any():
+                both += sign * area(clip(r, convex))
+            elif contains([[r]], [(low[0] + high[0]) / 2], [(low[1] + high[1]) / 2])[0]:
+                both += sign * area(convex)
+    return both, total
+
+
+def _signed_area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]  # near to 0, so that small rings keep their digits
+    return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
 def area(ring: np.ndarray) -> float:
     """Unsigned area by the shoelace formula."""
-    x, y = ring[:, 0], ring[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2 if len(ring) > 2 else 0.0
+    return abs(_signed_area(ring)) if len(ring) > 2 else 0.0
 
 
 def simplify(ring: np.ndarray, tolerance: float = 0.0001) -> np.ndarray:
@@ -232,43 +290,3 @@ def circle(lat: float, lng: float, meters: float) -> np.ndarray:
     b = q + np.arctan2(np.sin(t) * np.sin(d) * np.cos(p), np.cos(d) - np.sin(p) * np.sin(a))
     out = np.degrees(np.stack([b, a], axis=1))
     return np.concatenate([out, out[:1]])
-
-
-def cover(polygons: list[list[np.ndarray]], levels: tuple[int, ...] = S.REVGEO_LEVELS, most: int = S.REVGEO_MAX_CELLS) -> list[int]:
-    """Cells at the finest level that may meet the polygons, and their ancestors at the other levels.
-
-    Complete by construction: a grid finer than the cells (with a margin) is laid over each outer ring's box and every
-    cell with a grid point near the ring or in it is taken; if there would be more than ``most``, the coarser level serves.
-    """
-    levels = tuple(sorted(levels))
-    for i in range(len(levels) - 1, -1, -1):
-        found: set[int] = set()
-        step = 45.0 / (1 << levels[i])
-        for rings in polygons:
-            r = rings[0]
-            if len(r) == 1:
-                found.add(int(cell_ids(r[:, 1], r[:, 0], levels[i])[0]))
-                continue
-            (w, s), (e, n) = r.min(axis=0), r.max(axis=0)
-            if ((e - w) / step + 3) * ((n - s) / step + 3) > 400 * most:
-                found = set(range(most + 1))
-                break
-            xs, ys = np.arange(w - step, e + 2 * step, step), np.arange(max(-90, s - step), min(90, n + 2 * step), step)
-            gx, gy = (g.ravel() for g in np.meshgrid(xs, ys))
-            near = contains([[r]], gx, gy)
-            to = np.roll(r, -1, axis=0) - r
-            n_steps = np.maximum(2, (np.hypot(to[:, 0], to[:, 1]) / step * 2).astype(int) + 2)
-            of = np.repeat(np.arange(len(r)), n_steps)
-            along = (np.arange(len(of)) - np.repeat(np.cumsum(n_steps) - n_steps, n_steps)) / (n_steps[of] - 1)
-            edge = r[of] + along[:, None] * to[of]
-            around = (edge[:, None, :] + np.array([[dx, dy] for dx in (-step / 2, 0, step / 2) for dy in (-step / 2, 0, step / 2)])).reshape(-1, 2)
-            pts = np.concatenate([np.stack([gx[near], gy[near]], axis=1), around])
-            pts[:, 1] = np.clip(pts[:, 1], -90, 90)
-            found |= set(cell_ids(pts[:, 1], pts[:, 0], levels[i]).tolist())
-        if len(found) <= most or i == 0:
-            out = set(found)
-            for up in levels[:i]:
-                low = 1 << (2 * (30 - up))
-                out |= {(c & -low) | low for c in found}
-            return sorted(out)
-    return []

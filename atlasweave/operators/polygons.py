@@ -10,18 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasweave.functions import geo
+from atlasweave.functions import cover, geo
 from atlasweave.functions.names import apply_deletes, apply_rewrites, deaccent, normalize, similarity
 from atlasweave.operators.enrich import best_level, best_polygons
 
 
 def _covered(polygons: DataFrame) -> DataFrame:
-    """(polygon, woe, wkb) to (polygon, woe, cell) at the level of the type."""
+    """(polygon, woe, wkb) to (polygon, woe, cell): cells at the level of the type, or coarser ones of the ladder that leads to it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            out = [(p, w, lv, c) for p, w, b, lv in zip(df["polygon"], df["woe"], df["wkb"], df["cell_level"]) for c in geo.cover([r for r in geo.read_wkb(bytes(b))], (int(lv),))]
-            yield pd.DataFrame([(p, w, c) for p, w, _, c in out], columns=["polygon", "woe", "cell"])
+            out = [(p, w, c) for p, w, b, lv in zip(df["polygon"], df["woe"], df["wkb"], df["cell_level"]) for c in cover.cover(geo.shape_of(b), (int(lv),))]
+            yield pd.DataFrame(out, columns=["polygon", "woe", "cell"])
 
     return polygons.withColumn("cell_level", geo.level_of(F.col("woe"))).select("polygon", "woe", "wkb", "cell_level").mapInPandas(run, "polygon bigint, woe int, cell bigint")
 
@@ -50,7 +50,10 @@ def match_polygons(polygons: DataFrame, features: DataFrame, names: DataFrame, r
             out[m] = geo.cell_ids(lat[m].to_numpy(), lng[m].to_numpy(), int(lv))
         return out
 
-    centres = features.where("NOT has_poly").select("fid", "woe", cell_of("lat", "lng", geo.level_of(F.col("woe"))).alias("cell"))
+    level = geo.level_of(F.col("woe"))
+    centres = features.where("NOT has_poly").select("fid", "woe", level.alias("level"), cell_of("lat", "lng", level).alias("own"))
+    above = F.array(*(F.when(F.col("level") >= lv, geo.cell_parent(F.col("own"), lv)) for lv in cover.ladder((10,))))
+    centres = centres.select("fid", "woe", F.explode(above).alias("cell")).where("cell IS NOT NULL")
     pairs = cells.join(centres, ["cell", "woe"]).select("polygon", "level", "fid").distinct()
     pn = _variants(bare.select("polygon", F.explode("names.name").alias("name")), "polygon", rules)
     fn = _variants(names.join(pairs.select("fid").distinct(), "fid", "left_semi").select("fid", "name"), "fid", rules)
@@ -73,7 +76,7 @@ def attach_polygons(features: DataFrame, polygons: DataFrame, matched: DataFrame
         def one(b, y, x):
             if b is None:
                 return False
-            p = geo.read_wkb(bytes(b))
+            p = geo.shape_of(b)
             if geo.contains(p, [x], [y])[0]:
                 return True
             best = float("inf")
@@ -99,11 +102,12 @@ def features_of_unmatched(polygons: DataFrame, matched: DataFrame) -> DataFrame:
     def middle(wkb: pd.Series) -> pd.Series:
         import numpy as np
 
-        def one(b: bytes) -> list[float]:
-            a = np.concatenate([r for p in geo.read_wkb(bytes(b)) for r in p])
-            return ((a.min(axis=0) + a.max(axis=0)) / 2).tolist()
+        def one(b: bytes) -> list[float] | None:
+            rings = [r for p in geo.shape_of(b) for r in p if len(r)]
+            a = np.concatenate(rings) if rings else None
+            return ((a.min(axis=0) + a.max(axis=0)) / 2).tolist() if rings else None
 
         return pd.Series([one(b) for b in wkb])
 
     at = middle("wkb")
-    return rest.withColumn("at", at).select(((F.lit(3 << 56)) + F.col("polygon")).alias("fid"), F.get("names", F.lit(0))["name"].alias("name"), F.get(F.get("levels", F.lit(0)), F.lit(0)).alias("woe"), F.get("at", F.lit(1)).alias("lat"), F.get("at", F.lit(0)).alias("lng"), "wkb")
+    return rest.withColumn("at", at).where("at IS NOT NULL").select(((F.lit(3 << 56)) + F.col("polygon")).alias("fid"), F.get("names", F.lit(0))["name"].alias("name"), F.get(F.get("levels", F.lit(0)), F.lit(0)).alias("woe"), F.get("at", F.lit(1)).alias("lat"), F.get("at", F.lit(0)).alias("lng"), "wkb")

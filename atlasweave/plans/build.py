@@ -9,7 +9,7 @@ from atlasweave import schema as S
 from atlasweave.operators import enrich, polygons
 from atlasweave.operators.expand import expand_names
 from atlasweave.plans.geocode import Store
-from atlasweave.plans.reverse import cell_index, repair_parents
+from atlasweave.plans.reverse import CellIndex, cell_index, repair_parents
 from atlasweave.session import cut
 from atlasweave.sources import readers as R
 
@@ -22,7 +22,7 @@ def _features(df: DataFrame, priority: int) -> DataFrame:
     return df.select("fid", col("cc", "string", F.lit("XX")), F.col("woe").cast("int").alias("woe"), "lat", "lng", col("population", "bigint", F.lit(0)), col("boost", "bigint", F.lit(0)), col("parents", "array<bigint>", empty), empty.alias("extras"), F.lit(False).alias("has_poly"), col("can_geocode", "boolean", F.lit(True)), col("wkb", "binary", none("binary")), F.lit(priority).alias("priority"))
 
 
-def build(spark: SparkSession, files: dict[str, list[str]]) -> tuple[Store, DataFrame]:
+def build(spark: SparkSession, files: dict[str, list[str]]) -> tuple[Store, CellIndex]:
     """(store, polygon cell index) of the files by kind; kinds that aren't given are empty.
 
     Kinds: places, buildings, postal, getty, names, hierarchy, relations, boosts, ignores, moves, deletes_of_names,
@@ -51,7 +51,7 @@ def build(spark: SparkSession, files: dict[str, list[str]]) -> tuple[Store, Data
     shapes = cut(R.flattened_polygons(spark, at("polygons")), "polygons")
     matched = cut(polygons.match_polygons(shapes, features, names, rules), "matched")
     features = cut(polygons.attach_polygons(features.drop("wkb"), shapes, matched), "features")
-    index = cut(cell_index(features.where("wkb IS NOT NULL").select("fid", "wkb")), "cells")
+    index = cell_index(features.where("wkb IS NOT NULL").select("fid", "wkb")).written()
     known_ids = features.select(F.col("fid").alias("parent"))
     flat = features.select("fid", F.posexplode("parents").alias("p", "parent")).join(known_ids, "parent", "left_semi").groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "parent"))), lambda x: x["parent"]).alias("kept"))
     features = features.join(flat, "fid", "left").withColumn("parents", F.coalesce("kept", F.array().cast("array<bigint>"))).drop("kept")

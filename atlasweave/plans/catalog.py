@@ -419,14 +419,14 @@ def s2_coverings(spark, d) -> DataFrame:
 
 @query
 def rev_geo_index_build(spark, d) -> DataFrame:
-    return cell_index(_polygons(spark, d)).groupBy("cell").agg(F.count("*").alias("places"))
+    return cell_index(_polygons(spark, d)).cells.where("leaf").groupBy("cell").agg(F.count("*").alias("places"), F.sum(F.col("full").cast("int")).alias("full"))
 
 
 @query
 def reverse_geocode_points(spark, d) -> DataFrame:
     f = gz.features(spark, d)
     points = f.where(f"woe IN ({S.SUBURB}, {S.POI})").select(F.col("fid").alias("qid"), "lat", "lng", F.when(F.col("fid") % 2 == 0, 800.0).alias("radius"))
-    return reverse_geocode(points, cell_index(_polygons(spark, d)), f, 5)
+    return reverse_geocode(points, cell_index(_polygons(spark, d)).written(), f, 5)
 
 
 @query

@@ -1,123 +1,222 @@
-"""Reverse geocoding: points, circles and boxes to the places whose polygons hold or meet them."""
+"""Reverse geocoding: points, circles and boxes to the places whose polygons hold or meet them.
+
+Polygons are kept as an index of cells: each polygon has disjoint cells at several levels, coarse ones where it is wide. A cell
+that lies wholly inside tells so; the others keep the few edges of the polygon that meet them, which decide exactly for
+any point of the cell. Whole geometries lie apart and are read for circles and boxes alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasweave import schema as S
+from atlasweave.functions import cover as C
 from atlasweave.functions import geo
 from atlasweave.functions.ids import namespace_order
+from atlasweave.session import cut
 
+CELLS = "cell bigint, fid bigint, level int, leaf boolean, full boolean, inside boolean, local binary"
+HELD = 500  # geometries that a task keeps parsed
 
-def cell_index(polygons: DataFrame) -> DataFrame:
-    """(fid, wkb) to (cell, fid, wkb): each polygon under every cell that covers it, at all levels of the index.
 
-    Polygons that can't be read give no row.
-    """
+@dataclass
+class CellIndex:
+    """cells (see CELLS) and the whole geometries (fid, wkb)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            rows = []
-            for fid, wkb in zip(df["fid"], df["wkb"]):
-                try:
-                    p = geo.read_wkb(bytes(wkb))
-                except (ValueError, TypeError, IndexError):
-                    continue
-                rows += [(c, fid, wkb) for c in geo.cover(p)]
-            yield pd.DataFrame(rows, columns=["cell", "fid", "wkb"])
+    cells: DataFrame
+    polygons: DataFrame
+
+    def written(self) -> CellIndex:
+        """The index with its tables written to the shared folder."""
+        return CellIndex(cut(self.cells, "cells"), cut(self.polygons, "polygons"))
+
+
+def _indexed(levels: tuple[int, ...], most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fids = b.column(0).to_numpy(zero_copy_only=False)
+            for first, c, e in C.cover_many([geo.shape_of(w) for w in b.column(1).to_pylist()], levels, most):
+                ids, fid = c.ids(), fids[first + e.owner[c.part]]
+                level = geo.levels_of(ids)
+                w, s, east, n = c.boxes()
+                # the middle of the cell's box and the edges that meet it
+                order = np.argsort(c.pair_cell, kind="stable")
+                own = np.concatenate([e.a, e.b], axis=1)[c.pair_edge[order]]
+                size = np.bincount(c.pair_cell, minlength=len(ids))
+                flat = np.zeros(2 * len(ids) + own.size)
+                at = 2 * np.arange(len(ids)) + 4 * (np.cumsum(size) - size)
+                flat[at], flat[at + 1] = (w + east) / 2, (s + n) / 2
+                if len(own):
+                    flat[(np.repeat(at + 2, 4 * size) + np.arange(own.size) - np.repeat(4 * (np.cumsum(size) - size), 4 * size)).astype(np.int64)] = own.ravel()
+                off = np.concatenate([8 * at, [8 * len(flat)]]).astype(np.int32)
+                local = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fid), pa.array(level.astype(np.int32)), pa.array(np.ones(len(ids), bool)), pa.array(c.full), pa.array(c.mid), local], CELL_NAMES)
+                # the cells above, which requests that are cells themselves look up
+                for up in C.ladder(levels)[:-1]:
+                    m = level > up
+                    pairs = pd.DataFrame({"cell": geo.parents_at(ids[m], up), "fid": fid[m]}).drop_duplicates()
+                    k = len(pairs)
+                    no = pa.array(np.zeros(k, bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs["cell"].to_numpy()), pa.array(pairs["fid"].to_numpy()), pa.array(np.full(k, up, np.int32)), no, no, no, pa.nulls(k, pa.binary())], CELL_NAMES)
 
-    return polygons.select("fid", "wkb").mapInPandas(run, "cell bigint, fid bigint, wkb binary")
+    return run
 
 
-def coverings(polygons: DataFrame, levels: tuple[int, int] = S.COVER_LEVELS, most: int = S.COVER_MAX_CELLS) -> DataFrame:
-    """(fid, cells): the finest covering of each polygon with at most ``most`` cells."""
+CELL_NAMES = [c.split()[0] for c in CELLS.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            out = []
-            for w in df["wkb"]:
-                p = geo.read_wkb(bytes(w))
-                for level in range(levels[1], levels[0] - 1, -1):
-                    cells = geo.cover(p, (level,), most)
-                    if len(cells) <= most or level == levels[0]:
-                        out.append(cells)
-                        break
-            yield pd.DataFrame({"fid": df["fid"], "cells": out})
 
-    return polygons.select("fid", "wkb").mapInPandas(run, "fid bigint, cells array<bigint>")
+def cell_index(polygons: DataFrame, levels: tuple[int, ...] = S.REVGEO_LEVELS, most: int = S.REVGEO_MAX_CELLS) -> CellIndex:
+    """The index of (fid, wkb). Polygons that can't be read or have no part on the globe have no cells."""
+    polygons = polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col("wkb").cast("binary").alias("wkb"))
+    return CellIndex(polygons.mapInArrow(_indexed(levels, most), CELLS), polygons)
 
 
-def request_cells(points: DataFrame) -> DataFrame:
-    """(qid, lat, lng, radius) to (qid, lat, lng, radius, cell): one row a level for a point, a covering for a circle."""
+def coverings(polygons: DataFrame, levels: tuple[int, int] = S.COVER_LEVELS, most: int = S.COVER_MAX_CELLS, interior: bool = False) -> DataFrame:
+    """(fid, cells): a covering of each polygon of (fid, wkb) by at most ``most`` cells, or of its interior by full cells alone.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            out = []
-            for level in S.REVGEO_LEVELS:
-                own = df[df["radius"].isna() | (df["radius"] <= 0)]
-                out.append(own.assign(cell=geo.cell_ids(own["lat"].to_numpy(), own["lng"].to_numpy(), level)))
-            for r in df[df["radius"] > 0].itertuples():
-                cells = geo.cover([[geo.circle(r.lat, r.lng, r.radius)]])
-                out.append(pd.DataFrame({"qid": r.qid, "lat": r.lat, "lng": r.lng, "radius": r.radius, "cell": cells}))
-            yield pd.concat(out)[["qid", "lat", "lng", "radius", "cell"]]
+    Polygons that can't be read have no cells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[np.ndarray] = [np.zeros(0, np.int64)] * b.num_rows
+            for first, c, e in C.cover_many([geo.shape_of(w) for w in b.column(1).to_pylist()], tuple(range(levels[0], levels[1] + 1)), most, interior):
+                ids, owner = c.ids(), e.owner[c.part]
+                order = np.lexsort((ids, owner))
+                cuts = np.searchsorted(owner[order], np.arange(int(owner.max(initial=-1)) + 2))
+                for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    found[first + k] = np.unique(ids[order[lo:hi]])
+            off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["fid", "cells"])
+
+    return polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col("wkb").cast("binary").alias("wkb")).mapInArrow(run, "fid bigint, cells array<bigint>")
 
-    points = points.where("lat IS NOT NULL AND lng IS NOT NULL AND abs(lat) <= 90")
-    return points.select("qid", "lat", "lng", F.col("radius").cast("double").alias("radius")).mapInPandas(run, "qid bigint, lat double, lng double, radius double, cell bigint")
 
+def request_shapes(points: DataFrame) -> DataFrame:
+    """(qid, lat, lng, radius, south, west, north, east, kind): bounds go before a circle, a circle before a point.
 
-def _hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact test of (qid, lat, lng, radius, fid, wkb), with the shares of request and place that overlap."""
+    Bounds together with a radius, and coordinates off the globe, give no row; longitudes are turned into -180 to 180.
+    """
+    out = points
+    for c in ("radius", "south", "west", "north", "east"):
+        out = out.withColumn(c, F.col(c).cast("double") if c in points.columns else F.lit(None).cast("double"))
+    box = F.col("south").isNotNull() & F.col("west").isNotNull() & F.col("north").isNotNull() & F.col("east").isNotNull()
+    circle = F.coalesce(F.col("radius") > 0, F.lit(False)) & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    out = out.withColumn("kind", F.when(box & circle, F.lit(None)).when(box, "box").when(circle, "circle").when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), "point"))
+    on_globe = F.when(F.col("kind") == "box", (F.abs("south") <= 90) & (F.abs("north") <= 90) & (F.col("south") <= F.col("north")) & (F.abs("west") <= 180) & (F.abs("east") <= 180)).otherwise(F.abs("lat") <= 90)
+    out = out.where(F.col("kind").isNotNull() & on_globe)
+    # the middle of a box stands for it where a distance is wanted
+    turned = lambda x: F.pmod(x + 180, F.lit(360.0)) - 180
+    wide = F.when(F.col("east") < F.col("west"), F.col("east") + 360).otherwise(F.col("east"))
+    lat = F.when(F.col("kind") == "box", (F.col("south") + F.col("north")) / 2).otherwise(F.col("lat"))
+    lng = turned(F.when(F.col("kind") == "box", (F.col("west") + wide) / 2).otherwise(F.col("lng")))
+    return out.select("qid", lat.alias("lat"), lng.alias("lng"), "radius", "south", "west", "north", "east", "kind")
+
+
+def _ring(r) -> np.ndarray:
+    return geo.box_ring(r.south, r.west, r.north, r.east) if r.kind == "box" else geo.circle(r.lat, r.lng, r.radius)[:-1]
+
+
+def _point_cells(levels: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            finest = geo.cell_ids(b.column(1).to_numpy(), b.column(2).to_numpy(), max(levels))
+            for level in levels:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(geo.parents_at(finest, level))], ["qid", "lat", "lng", "cell"])
+
+    return run
+
+
+def _shape_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of circles and boxes, and the cells above them."""
+    for df in frames:
+        rows = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]]
+        qids = df["qid"].to_numpy()
+        for first, c, e in C.cover_many([[[_ring(r)]] for r in df.itertuples()], S.REVGEO_LEVELS, S.REVGEO_MAX_CELLS):
+            ids, qid = c.ids(), qids[first + e.owner[c.part]]
+            level = geo.levels_of(ids)
+            rows.append([qid, ids, np.ones(len(ids), bool)])
+            for up in C.ladder(S.REVGEO_LEVELS)[:-1]:
+                m = level > up
+                rows.append([qid[m], geo.parents_at(ids[m], up), np.zeros(int(m.sum()), bool)])
+        out = pd.DataFrame({n: np.concatenate([r[i] for r in rows]) for i, n in enumerate(["qid", "cell", "asked"])})
+        yield out.drop_duplicates()
+
+
+def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (qid, lat, lng, fid, full, inside, local) of points in cells to those in the place, exactly."""
+    for b in batches:
+        x, y = b.column(2).to_numpy(), b.column(1).to_numpy()
+        local = b.column(6).cast(pa.large_binary())
+        off = np.frombuffer(local.buffers()[1], np.int64)[local.offset : local.offset + b.num_rows + 1] // 8
+        flat = np.frombuffer(local.buffers()[2] or b"", np.float64)
+        size = np.maximum(np.diff(off) - 2, 0) // 4
+        row = np.repeat(np.arange(b.num_rows), size)
+        at = C.spans(off[:-1] + 2, 4 * size).reshape(-1, 4)
+        edge = flat[at]
+        mid = np.where(np.diff(off) > 0, off[:-1], 0)
+        cx, cy = (flat[mid], flat[mid + 1]) if len(flat) else (x, y)
+        odd = np.zeros(b.num_rows, np.int64)
+        np.add.at(odd, row, C.crossings(edge[:, :2], edge[:, 2:], x[row], y[row], cx[row], cy[row]))
+        keep = b.column(4).to_numpy(zero_copy_only=False) | (b.column(5).to_numpy(zero_copy_only=False) ^ (odd & 1).astype(bool))
+        yield b.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+
+def _shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Circles and boxes that meet a place, and the shares of request and place that overlap."""
+    held: dict[int, C.Polygon] = {}
     for df in frames:
         keep, of_request, of_feature = [], [], []
-        for lat, lng, radius, wkb in zip(df["lat"], df["lng"], df["radius"], df["wkb"]):
-            p = geo.read_wkb(bytes(wkb))
-            if not radius > 0:
-                keep.append(bool(geo.contains(p, [lng], [lat])[0]))
-                of_request.append(0.0)
-                of_feature.append(0.0)
-                continue
-            ring = geo.circle(lat, lng, radius)[:-1]
+        for r in df.itertuples():
+            if r.fid not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[r.fid] = geo.shape_of(r.wkb)
+            ring, polygons = _ring(r), held[r.fid]
             both = total = 0.0
-            for rings in p:
-                # the circle is convex: its bounding box is cut from the place, then each edge cuts once more
-                part = rings[0][:-1] if len(rings[0]) > 1 and (rings[0][0] == rings[0][-1]).all() else rings[0]
-                total += geo.area(part)
-                for a, b in zip(ring, np.roll(ring, -1, axis=0)):
-                    if not len(part):
-                        break
-                    side = lambda q, a=a, b=b: (b[0] - a[0]) * (q[1] - a[1]) - (b[1] - a[1]) * (q[0] - a[0])
-                    out = []
-                    orient = 1 if side(np.array([lng, lat])) >= 0 else -1
-                    for u, v in zip(part, np.roll(part, -1, axis=0)):
-                        x, y = orient * side(u), orient * side(v)
-                        if x >= 0:
-                            out.append(u)
-                        if (x >= 0) != (y >= 0):
-                            out.append(u + x / (x - y) * (v - u))
-                    part = np.array(out).reshape(-1, 2)
-                both += geo.area(part)
-            keep.append(both > 0 or bool(geo.contains(p, [lng], [lat])[0]))
-            of_request.append(100 * both / geo.area(ring))
-            of_feature.append(100 * both / total if total else 0.0)
-        df = df.assign(request_share=of_request, feature_share=of_feature)[keep]
-        yield df[["qid", "lat", "lng", "fid", "request_share", "feature_share"]]
-
-
-def reverse_geocode(points: DataFrame, index: DataFrame, features: DataFrame, limit: int | None = None) -> DataFrame:
-    """(qid, rank, fid, request_share, feature_share) of (qid, lat, lng, radius): the most specific places first.
-
-    An equi-join on cells finds candidates, an exact planar test decides; places are ranked by type, quality of their
-    namespace, distance of the centres, boost and overlap, and limited after filtering. Points off the globe have no rows.
+            meets = False
+            for turn in (0.0, -360.0, 360.0):
+                if turn and (ring[:, 0] + turn).max() < -180 or turn and (ring[:, 0] + turn).min() > 180:
+                    continue
+                own = ring + np.array([turn, 0.0])
+                part, total = geo.overlap(polygons, own)
+                both += part
+                # a place without an area, or one that only touches, meets by a vertex
+                inner = np.concatenate([np.zeros((0, 2)), *(x for rings in polygons for x in rings)])
+                meets = meets or part > 0 or bool(len(inner)) and bool(geo.contains([[own]], inner[:, 0], inner[:, 1]).any())
+            keep.append(meets)
+            # parts that overlap count twice
+            of_request.append(min(100.0, 100 * both / geo.area(ring)) if geo.area(ring) else 0.0)
+            of_feature.append(min(100.0, 100 * both / total) if total else 0.0)
+        yield df.assign(request_share=of_request, feature_share=of_feature)[keep][["qid", "lat", "lng", "fid", "request_share", "feature_share"]]
+
+
+def reverse_geocode(points: DataFrame, index: CellIndex, features: DataFrame, limit: int | None = None) -> DataFrame:
+    """(qid, rank, fid, request_share, feature_share) of (qid, lat, lng) with radius or south, west, north and east: the most specific places first.
+
+    An equi-join on cells finds candidates; full cells decide at once, the edges of the others exactly. Places are ranked by
+    type, quality of their namespace, distance of the centres, boost and overlap, and limited after filtering. Requests off the
+    globe, and those with both bounds and a radius, have no rows.
     """
-    found = request_cells(points).join(index, "cell").drop("cell")
-    found = found.dropDuplicates(["qid", "fid"]).select("qid", "lat", "lng", "radius", "fid", "wkb")
-    hits = found.mapInPandas(_hits, "qid bigint, lat double, lng double, fid bigint, request_share double, feature_share double")
+    asked = request_shapes(points)
+    levels = sorted(r["level"] for r in index.cells.where("leaf").select("level").distinct().collect()) or [max(S.REVGEO_LEVELS)]  # at most 30
+    cells = asked.where("kind = 'point'").select("qid", "lat", "lng").mapInArrow(_point_cells(levels), "qid bigint, lat double, lng double, cell bigint")
+    leaves = index.cells.where("leaf").select("cell", "fid", "full", "inside", "local")
+    hits = cells.join(leaves, "cell").select("qid", "lat", "lng", "fid", "full", "inside", "local").mapInArrow(_inside, "qid bigint, lat double, lng double, fid bigint")
+    hits = hits.distinct().select("*", F.lit(0.0).alias("request_share"), F.lit(0.0).alias("feature_share"))  # parts of a place may share a cell
+    shapes = asked.where("kind <> 'point'")
+    laid = shapes.mapInPandas(_shape_cells, "qid bigint, cell bigint, asked boolean")
+    met = laid.join(index.cells.select("cell", "fid", "leaf"), "cell").where("asked OR leaf").select("qid", "fid").distinct()
+    met = met.join(shapes, "qid").join(index.polygons, "fid").select("qid", "lat", "lng", "radius", "south", "west", "north", "east", "kind", "fid", "wkb")
+    hits = hits.unionByName(met.mapInPandas(_shares, "qid bigint, lat double, lng double, fid bigint, request_share double, feature_share double"))
     rows = hits.join(features.select("fid", "woe", "boost", "can_geocode", F.col("lat").alias("flat"), F.col("lng").alias("flng")), "fid").where("coalesce(can_geocode, true)")
     far = F.when(F.col("request_share") > 0, geo.distance_meters(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))).otherwise(0)
     order = W.partitionBy("qid").orderBy(geo.woe_order(F.col("woe")), -namespace_order(F.col("fid")), far, -F.col("boost"), -F.col("feature_share"), "fid")
@@ -139,8 +238,8 @@ def grid_boxes(points: DataFrame, boxes: DataFrame, size: float = 5.0) -> DataFr
     return points.withColumn("gy", cell("lat")).withColumn("gx", cell("lng")).join(laid, ["gy", "gx"]).where(geo.in_bounds(F.col("lat"), F.col("lng"), F.col("south"), F.col("west"), F.col("north"), F.col("east"))).select("qid", "fid")
 
 
-def repair_parents(features: DataFrame, index: DataFrame) -> DataFrame:
+def repair_parents(features: DataFrame, index: CellIndex) -> DataFrame:
     """Places without parents (but countries) get those whose polygons hold their centre."""
-    bare = features.where((F.size("parents") == 0) & (F.col("woe") != S.COUNTRY)).select(F.col("fid").alias("qid"), "lat", "lng", F.lit(None).cast("double").alias("radius"))
+    bare = features.where((F.size("parents") == 0) & (F.col("woe") != S.COUNTRY)).select(F.col("fid").alias("qid"), "lat", "lng")
     found = reverse_geocode(bare, index, features).where("qid <> fid").groupBy("qid").agg(F.array_sort(F.collect_set("fid")).alias("found"))
     return features.join(found, F.col("fid") == F.col("qid"), "left").withColumn("parents", F.coalesce("found", "parents")).drop("qid", "found")

@@ -78,18 +78,6 @@ def test_cells():
     assert hex(int(geo.cell_ids(np.array([0.0]), np.array([0.0]))[0]) & (1 << 64) - 1) == "0x1000000000000001"
 
 
-def test_cover_is_complete():
-    rng = np.random.default_rng(2)
-    for lat, lng in ((40.7, -74.0), (-33.9, 151.2), (0.01, 0.02), (64.1, -21.9)):
-        ring = geo.circle(lat, lng, 5000)
-        cells = set(geo.cover([[ring]]))
-        (w, s), (e, n) = ring.min(axis=0), ring.max(axis=0)
-        x, y = rng.uniform(w, e, 3000), rng.uniform(s, n, 3000)
-        m = geo.contains([[ring]], x, y)
-        for level in S.REVGEO_LEVELS:
-            assert set(geo.cell_ids(y[m], x[m], level).tolist()) <= cells
-
-
 def test_geometry_codec_and_predicates():
     outer, hole = np.array([[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], float), np.array([[4, 4], [6, 4], [6, 6], [4, 6], [4, 4]], float)
     for polygons in ([[outer, hole]], [[outer, hole], [hole + 20]]):
