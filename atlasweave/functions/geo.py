@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import struct
 
 import numpy as np
@@ -34,6 +36,26 @@ def in_bounds(lat: Column, lng: Column, south: Column, west: Column, north: Colu
     return lat.between(south, north) & F.when(west <= east, lng.between(west, east)).otherwise((lng >= west) | (lng <= east))
 
 
+def middle(box: Column) -> Column:
+    """The centre of a box (south, west, north, east) that may cross the antimeridian, as a struct of lat and lng."""
+    east = F.when(box["east"] < box["west"], box["east"] + 360).otherwise(box["east"])
+    lng = (box["west"] + east) / 2
+    return F.struct(((box["south"] + box["north"]) / 2).alias("lat"), F.when(lng > 180, lng - 360).otherwise(lng).alias("lng"))
+
+
+def boxes_meet(a: Column, b: Column) -> Column:
+    """Whether two boxes that may cross the antimeridian share a point."""
+    at = lambda box, x: F.when(box["west"] <= box["east"], x.between(box["west"], box["east"])).otherwise((x >= box["west"]) | (x <= box["east"]))
+    return (a["south"] <= b["north"]) & (b["south"] <= a["north"]) & (at(a, b["west"]) | at(b, a["west"]))
+
+
+def box_wkt(box: Column) -> Column:
+    """A box as the text of a polygon."""
+    corner = lambda x, y: F.concat(box[x].cast("string"), F.lit(" "), box[y].cast("string"))
+    ring = [corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"), corner("west", "south")]
+    return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *ring), F.lit("))"))
+
+
 def bucket(x: Column, size: float = 0.15) -> Column:
     """The quantised coordinate, truncated toward zero."""
     q = x / size
@@ -173,6 +195,44 @@ def shape_of(wkb: bytes | None) -> list[list[np.ndarray]]:
         return []
 
 
+def read_text(text: str | None) -> list[list[np.ndarray]]:
+    """The polygons of well-known text or a GeoJSON geometry; none if it can't be read."""
+    try:
+        if text.lstrip().startswith("{"):
+            g = json.loads(text)
+            kind, at = g["type"].upper(), g["coordinates"]
+        else:
+            kind, rest = re.fullmatch(r"\s*([A-Za-z]+)\s*(?:Z|M)?\s*(\(.*\))\s*", text, re.S).groups()
+            kind = kind.upper()
+            rest = re.sub(r"[-+0-9.eE]+(?:\s+[-+0-9.eE]+)+", lambda m: "[" + ",".join(m[0].split()) + "]", rest)
+            at = json.loads(rest.replace("(", "[").replace(")", "]"))
+            at = at[0] if kind == "POINT" else at
+        ring = lambda r: np.array([p[:2] for p in r], float).reshape(-1, 2)
+        if kind == "POINT":
+            return [[ring([at])]]
+        if kind == "LINESTRING":
+            return [[ring(at)]]
+        if kind == "POLYGON":
+            return [[ring(r) for r in at]]
+        if kind == "MULTIPOLYGON":
+            return [[ring(r) for r in p] for p in at]
+    except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+        pass
+    return []
+
+
+def write_text(polygons: list[list[np.ndarray]]) -> str:
+    """Well-known text of a polygon, or of a multipolygon if there are several."""
+    one = lambda rings: "(" + ", ".join("(" + ", ".join(f"{x:.12g} {y:.12g}" for x, y in r) + ")" for r in rings) + ")"
+    return f"POLYGON {one(polygons[0])}" if len(polygons) == 1 else "MULTIPOLYGON (" + ", ".join(map(one, polygons)) + ")"
+
+
+@F.pandas_udf(T.BinaryType())
+def wkb_of_text(text: pd.Series) -> pd.Series:
+    """Well-known binary of well-known text or GeoJSON; null if it can't be read."""
+    return text.map(lambda t: write_wkb(p) if (p := read_text(t)) else None)
+
+
 def write_wkb(polygons: list[list[np.ndarray]]) -> bytes:
     """Little-endian WKB of a polygon, or of a multipolygon if there are several."""
     one = lambda rings: struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + np.asarray(r, "<f8").tobytes() for r in rings)

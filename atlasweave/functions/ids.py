@@ -20,6 +20,14 @@ def namespace_of(fid: Column) -> Column:
     return F.shiftright(fid, 56).cast("int")
 
 
+def namespace_name(fid: Column) -> Column:
+    """The name of an id's namespace, null for others."""
+    out = F.lit(None).cast("string")
+    for name, code in NAMESPACES.items():
+        out = F.when(namespace_of(fid) == code, name).otherwise(out)
+    return out
+
+
 def local_of(fid: Column) -> Column:
     return fid.bitwiseAND(F.lit(LOW))
 

@@ -31,6 +31,26 @@ def deaccent(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ"))
 
 
+# Greek and Cyrillic letters as Latin ones, one letter each and several.
+_SINGLE = ("αβγδεζηικλμνξοπρστυωάέήίόύώςабвгдезийклмнопрстуфыэґії", "abgdeziiklmnxoprstyoaeiioyosabvgdezijklmnoprstufyegii")
+_SEVERAL = {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya", "ё": "yo", "є": "ye"}
+
+
+def transliterate(name: Column) -> Column:
+    """Greek and Cyrillic letters by Latin ones, upper case as it was for single letters, capitalised for several; others stay."""
+    lower, to = _SINGLE
+    # letters of old words with two signs fold to one of the table
+    out = F.translate(F.translate(name, lower, to), lower.upper(), to.upper())
+    for letter, many in _SEVERAL.items():
+        out = F.replace(F.replace(out, F.lit(letter), F.lit(many)), F.lit(letter.upper()), F.lit(many.capitalize()))
+    return out
+
+
+def language_of(name: Column) -> Column:
+    """The language a name without one counts as: English if it is plain ASCII, else unknown."""
+    return F.when(name.rlike(r"^[\x00-\x7F]*$"), "en").otherwise("unk")
+
+
 def apply_rewrites(name: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """All variants that one rule makes of a name, itself first, without repeats; ß is also ss."""
     made = [F.regexp_replace(name, pattern, to) for pattern, many in rules for to in many]

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from atlasweave import schema as S
+from atlasweave.functions.geo import wkb_of_text
 
 
 def union_first(sources: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
@@ -19,9 +21,14 @@ def union_first(sources: list[DataFrame], key: str, order: list[Column]) -> Data
     return rows.groupBy(key).agg(best.alias("#")).select(key, *(F.col("#")[c].alias(c) for c in rows.columns if c != key))
 
 
+def sum_boosts(boosts: DataFrame, key: str = "fid") -> DataFrame:
+    """(key, boost): the sum of all boosts of a place."""
+    return boosts.groupBy(key).agg(F.sum("boost").alias("boost"))
+
+
 def join_boosts(features: DataFrame, boosts: DataFrame) -> DataFrame:
     """(fid, boost) rows are summed and replace a feature's own boost."""
-    total = boosts.groupBy("fid").agg(F.sum("boost").alias("new"))
+    total = sum_boosts(boosts).withColumnRenamed("boost", "new")
     return features.join(total, "fid", "left").withColumn("boost", F.coalesce("new", "boost")).drop("new")
 
 
@@ -99,6 +106,30 @@ def merge_names(names: DataFrame) -> DataFrame:
     return out.select("fid", "lang", "name", F.when(keeps, F.col("flags")).otherwise(F.col("flags").bitwiseAND(F.lit(~S.ALIAS))).alias("flags"))
 
 
+def promote_primary(names: DataFrame, alternates: DataFrame, features: DataFrame, countries: DataFrame | None = None) -> DataFrame:
+    """(fid, name, lang, flags): the own names of places and their alternate names, with the primary name as an English one.
+
+    The primary name (English and PREFERRED) is left out if an alternate English PREFERRED name equals it; it stays PREFERRED if
+    the place has no alternate English name, or none that is PREFERRED but an equal plain one; else it loses the flag. Places
+    without alternate names keep theirs. ``countries`` (cc, name) adds a country's name, PREFERRED and COLLOQUIAL.
+    """
+    names, alternates = names.select("fid", "name", "lang", "flags"), alternates.select("fid", "name", "lang", "flags")
+    preferred = lambda c: c.bitwiseAND(F.lit(S.PREFERRED)) != 0
+    english = alternates.where("lang = 'en'").groupBy("fid").agg(F.collect_set(F.when(preferred(F.col("flags")), F.col("name"))).alias("best"), F.collect_set(F.when(~preferred(F.col("flags")), F.col("name"))).alias("plain"))
+    has = alternates.groupBy("fid").agg(F.lit(True).alias("#has"))
+    rows = names.join(english, "fid", "left").join(has, "fid", "left")
+    primary = (F.col("lang") == "en") & preferred(F.col("flags")) & F.coalesce(F.col("#has"), F.lit(False))
+    none = F.coalesce(F.size("best"), F.lit(0)) + F.coalesce(F.size("plain"), F.lit(0)) <= 0
+    same = F.coalesce(F.array_contains("best", F.col("name")), F.lit(False))
+    stays = none | (F.size("best") == 0) & F.array_contains("plain", F.col("name"))
+    flags = F.when(primary & ~F.coalesce(stays, F.lit(False)), F.col("flags").bitwiseAND(F.lit(~S.PREFERRED))).otherwise(F.col("flags"))
+    out = rows.where(~(primary & same)).select("fid", "name", "lang", flags.alias("flags")).unionByName(alternates)
+    if countries is not None:
+        named = features.where(F.col("woe") == S.COUNTRY).join(countries.select("cc", "name"), "cc").join(has, "fid", "left_semi")
+        out = out.unionByName(named.select("fid", "name", F.lit("en").alias("lang"), F.lit(S.PREFERRED | S.COLLOQUIAL).alias("flags")))
+    return out
+
+
 def shadow_deaccented(names: DataFrame) -> DataFrame:
     """Drops deaccented names that equal another name of the place and language."""
     plain = names.where(F.col("flags").bitwiseAND(F.lit(S.DEACCENT)) == 0).select("fid", "lang", "name").distinct()
@@ -118,17 +149,58 @@ def best_level(matches: DataFrame, by: list[str], level: str) -> DataFrame:
     return matches.withColumn("#", F.min(level).over(W.partitionBy(*by))).where(F.col(level) == F.col("#")).drop("#")
 
 
+def list_edit(values: Column, kind: Column, value: Column) -> Column:
+    """One edit of a list: Add removes and appends, Remove removes, anything else leaves it."""
+    less = F.filter(F.coalesce(values, F.array(value)), lambda x: ~x.eqNullSafe(value))
+    return F.when(kind == "Add", F.concat(less, F.array(value))).when(kind == "Remove", less).otherwise(values)
+
+
+LISTS = {"parents": "parents_edits", "extras": "extras_edits", "urls": "urls_edits"}
+
+
 def apply_edits(features: DataFrame, edits: DataFrame) -> DataFrame:
-    """(fid, seq, kind, population, lat, lng): any Remove drops the feature; the last Modify of each field holds.
+    """Edits (fid, seq, kind, fields): any Remove drops the feature; of the Modify ones the last of each field holds.
 
-    Adds concern overlays and are ignored here.
+    Fields are any columns that both tables have; a struct is merged field by field. parents_edits, extras_edits and urls_edits
+    (arrays of kind and value) edit those lists in the order of seq. geometry, well-known text or GeoJSON, replaces wkb
+    (with has_poly and source), and an empty one removes it; one that can't be read changes nothing. Adds concern overlays
+    and are ignored here, as is any other kind.
     """
-    last = lambda c: F.max_by(c, F.when(F.col("kind") == "Modify", F.when(F.col(c).isNotNull(), F.col("seq")))).alias(f"new_{c}")
-    per = edits.groupBy("fid").agg(F.bool_or(F.col("kind") == "Remove").alias("gone"), last("population"), last("lat"), last("lng"))
+    fields = [c for c in edits.columns if c in features.columns and c not in ("fid", "seq", "kind")]
+    lists = [c for c, e in LISTS.items() if c in features.columns and e in edits.columns]
+    shaped = "geometry" in edits.columns and "wkb" in features.columns
+    own = F.col("kind") == "Modify"
+    last = lambda c: F.max_by(c, F.when(own & F.col(c).isNotNull(), F.col("seq")))
+    parts = {c: f.dataType.names if isinstance((f := features.schema[c]).dataType, T.StructType) else None for c in fields}
+    picks = [F.bool_or(F.col("kind") == "Remove").alias("gone")]
+    for c, names in parts.items():
+        flat = [f"{c}.{n}" for n in names] if names else [c]
+        picks += [F.max_by(F.col(x), F.when(own & F.col(x).isNotNull(), F.col("seq"))).alias(f"new_{x}") for x in flat]
+    picks += [F.array_sort(F.collect_list(F.when(own & F.col(LISTS[c]).isNotNull(), F.struct("seq", F.col(LISTS[c]).alias("e"))))).alias(f"new_{c}") for c in lists]
+    if shaped:
+        picks.append(last("geometry").alias("new_geometry"))
+    per = edits.groupBy("fid").agg(*picks)
     out = features.join(per, "fid", "left").where("NOT coalesce(gone, false)")
-    for c in ("population", "lat", "lng"):
-        out = out.withColumn(c, F.coalesce(f"new_{c}", c))
-    return out.drop("gone", "new_population", "new_lat", "new_lng")
+    for c, names in parts.items():
+        if names:
+            merged = F.struct(*(F.coalesce(F.col(f"`new_{c}.{n}`"), F.col(c)[n]).alias(n) for n in names))
+            some = F.coalesce(*(F.col(f"`new_{c}.{n}`").cast("string") for n in names)).isNotNull() | F.col(c).isNotNull()
+            out = out.withColumn(c, F.when(some, merged))
+        else:
+            out = out.withColumn(c, F.coalesce(f"new_{c}", c))
+    for c in lists:
+        steps = F.flatten(F.transform(F.coalesce(f"new_{c}", F.array()), lambda x: x["e"]))
+        kind = dict(features.dtypes)[c]
+        out = out.withColumn(c, F.when(F.size(f"new_{c}") > 0, F.aggregate(steps, F.coalesce(F.col(c), F.array().cast(kind)), lambda a, e: list_edit(a, e["kind"], e["value"]))).otherwise(F.col(c)))
+    if shaped:
+        text = F.col("new_geometry")
+        out = out.withColumn("new_wkb", wkb_of_text(text)).withColumn("is_new", F.col("new_wkb").isNotNull())
+        removed = F.coalesce(F.trim(text) == "", F.lit(False))
+        out = out.withColumn("wkb", F.when(removed, F.lit(None)).when(F.col("is_new"), F.col("new_wkb")).otherwise(F.col("wkb")))
+        for c, value in (("has_poly", F.lit(True)), ("source", F.lit("index-build-override"))):
+            if c in features.columns:
+                out = out.withColumn(c, F.when(removed, F.lit(False) if c == "has_poly" else F.col(c)).when(F.col("is_new"), value).otherwise(F.col(c)))
+    return out.select(*features.columns)
 
 
 def edit_names(names: Column, kind: Column, name: Column, lang: Column, flags: Column) -> Column:

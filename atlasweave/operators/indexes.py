@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from atlasweave import schema as S
 from atlasweave.functions.names import normalize, prefixes
+from atlasweave.session import cut, small
+
+LONGEST_HEAD = 5  # characters of a prefix that names are looked up by
 
 
 def name_rows(names: DataFrame, features: DataFrame) -> DataFrame:
@@ -51,16 +54,21 @@ def prefix_lookup(queries: DataFrame, rows: DataFrame, most: int = 2500) -> Data
     If there are over ``most``, each of n names gives its best most/n places (at least one) if n is at most ten times
     ``most`` and none otherwise; a prefix under three characters meets only names at most twice as long. At most ``most``.
     """
-    heads = rows.withColumn("size", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where(F.length("name") >= F.col("size")).withColumn("head", F.left("name", F.col("size")))
-    asked = queries.where("prefix <> ''").withColumn("size", F.least(F.lit(3), F.length("prefix"))).withColumn("head", F.left("prefix", F.col("size")))
-    hit = asked.join(heads, ["size", "head"]).where(F.col("name").startswith(F.col("prefix")))
-    hit = hit.where((F.length("prefix") >= 3) | (2 * F.length("prefix") >= F.length("name"))).select("qid", "name", "fid", "score")
-    q = W.partitionBy("qid")
-    hit = hit.withColumn("total", F.count("*").over(q)).withColumn("first", (F.row_number().over(W.partitionBy("qid", "name").orderBy(F.desc("score"), "fid"))))
-    hit = hit.withColumn("names", F.sum((F.col("first") == 1).cast("int")).over(q))
+    asked = queries.where("prefix <> ''").select("qid", "prefix")
+    different = cut(asked.select("prefix", F.least(F.lit(LONGEST_HEAD), F.length("prefix")).alias("size")).distinct().withColumn("head", F.expr("left(prefix, size)")), "prefixes")
+    sizes = [r["size"] for r in different.select("size").distinct().collect()] or [1]  # at most LONGEST_HEAD
+    # names that begin like a prefix, each once, to find out how many places there are before any is fetched
+    sized = F.filter(F.array(*map(F.lit, sorted(sizes))), lambda n: n <= F.length("name"))
+    named = rows.groupBy("name").agg(F.count("*").alias("n")).withColumn("size", F.explode(sized)).withColumn("head", F.expr("left(name, size)"))
+    fits = F.col("name").startswith(F.col("prefix")) & ((F.length("prefix") >= 3) | (2 * F.length("prefix") >= F.length("name")))
+    named = cut(named.join(small(different), ["size", "head"]).where(fits).select("prefix", "name", "n"), "named")
+    totals = named.groupBy("prefix").agg(F.sum("n").alias("total"), F.count("*").alias("names")).where((F.col("total") <= most) | (F.col("names") <= 10 * most))
+    hit = rows.join(named.join(totals, "prefix").drop("n"), "name").select("prefix", "name", "fid", "score", "total", "names")
+    first = F.row_number().over(W.partitionBy("prefix", "name").orderBy(F.desc("score"), "fid"))
     each = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("names"))).cast("int")
-    hit = hit.where((F.col("total") <= most) | ((F.col("names") <= 10 * most) & (F.col("first") <= each)))
-    return hit.withColumn("n", F.row_number().over(q.orderBy("name", F.desc("score"), "fid"))).where(F.col("n") <= most).select("qid", "name", "fid")
+    hit = hit.withColumn("first", first).where((F.col("total") <= most) | (F.col("first") <= each))
+    hit = hit.withColumn("n", F.row_number().over(W.partitionBy("prefix").orderBy("name", F.desc("score"), "fid"))).where(F.col("n") <= most)
+    return asked.join(hit.select("prefix", "name", "fid"), "prefix").select("qid", "name", "fid")
 
 
 def id_mapping(features: DataFrame, slugs: DataFrame, others: DataFrame) -> DataFrame:
@@ -74,26 +82,43 @@ def resolve(keys: DataFrame, mapping: DataFrame, parsed) -> DataFrame:
     return keys.join(mapping, "key", "left").select("qid", "key", F.coalesce("fid", parsed).alias("fid"))
 
 
-def assign_slugs(candidates: DataFrame, rounds: int = 18) -> DataFrame:
-    """(fid, option, slug, score): each place takes the first of its options that no better place takes, in rounds.
+def slug_eligible(features: DataFrame) -> DataFrame:
+    """Places that get slugs: populous, boosted, with a polygon, or of a type above the town."""
+    return features.where((F.col("population") > 0) | (F.col("boost") > 0) | F.col("has_poly") | F.col("woe").isin(S.COUNTRY, S.ADMIN1, S.ADMIN2, S.ADMIN3))
 
-    In a round every place without a slug asks for its next option; of those who ask for one slug the best score keeps it,
-    ties to the smaller id, and a holder with a lower score is put out and asks for its next in the following round.
-    """
-    from atlasweave.session import cut
 
-    options = candidates.select("fid", "option", "slug", "score")
-    state = options.groupBy("fid").agg(F.min("option").alias("option"))
-    for _ in range(rounds):
-        asked = state.join(options, ["fid", "option"])
+def assign_slugs(candidates: DataFrame, permanent: DataFrame | None = None) -> DataFrame:
+    """(fid, option, slug, score): each place takes the first of its options that no better place takes.
+
+    Slugs of ``permanent`` (slug, fid) stay with their places, which get no other. In a round every place without a slug asks for
+    its next option; of those who ask for one slug the best score keeps it, ties to the smaller id, and a holder with a lower
+    score is put out and asks for its next in the following round. A place whose options are all taken gets its last
+    one with the first free number from 2 on. Rounds go on until nobody is put out, so every place has a slug; as each
+    moves only down its own list, they end.
+    """
+    options = candidates.select("fid", F.col("option").cast("bigint").alias("option"), "slug", F.col("score").cast("bigint").alias("score"))
+    if permanent is not None:
+        held = permanent.groupBy("slug").agg(F.min("fid").alias("fid"))
+        options = options.join(held.select("fid"), "fid", "left_anti").join(held.select("slug"), "slug", "left_anti").unionByName(held.select("fid", F.lit(0).cast("bigint").alias("option"), "slug", F.lit((1 << 63) - 1).alias("score")))
+        lost = candidates.select("fid", "score", "option", "slug").join(held.select("fid"), "fid", "left_anti")
+    else:
+        lost = candidates
+    options = cut(options, "options")
+    last = cut(lost.groupBy("fid").agg(F.max("score").cast("bigint").alias("score"), F.max_by("slug", "option").alias("base"), F.max("option").cast("bigint").alias("most")), "last")
+    state = options.groupBy("fid").agg(F.min(F.struct("option", "slug", "score")).alias("x")).select("fid", "x.*")
+    if permanent is not None:  # all options of a place were held by others
+        state = state.unionByName(last.join(state.select("fid"), "fid", "left_anti").select("fid", (F.col("most") + 1).alias("option"), F.concat("base", F.lit("-2")).alias("slug"), "score"))
+    state = cut(state, "slugs")
+    while True:
         rank = F.row_number().over(W.partitionBy("slug").orderBy(F.desc("score"), "fid"))
-        judged = cut(asked.withColumn("n", rank), "slugs")
+        judged = cut(state.withColumn("n", rank), "slugs")
         lost = judged.where("n > 1")
         if not lost.limit(1).count():
-            break
-        following = lost.select("fid", F.col("option").alias("was")).join(options, "fid").where("option > was").groupBy("fid").agg(F.min("option").alias("option"))
-        state = judged.where("n = 1").select("fid", "option").unionByName(following)
-    return judged.where("n = 1").select("fid", "slug")
+            return judged.select("fid", "slug")
+        was = lost.select("fid", F.col("option").alias("was"))
+        following = was.join(options, "fid").where("option > was").groupBy("fid").agg(F.min(F.struct("option", "slug", "score")).alias("x")).select("fid", "x.*")
+        numbered = was.join(following.select("fid"), "fid", "left_anti").join(last, "fid").select("fid", (F.greatest("was", "most") + 1).alias("option"), F.concat("base", F.lit("-"), (F.greatest("was", "most") - F.col("most") + 2).cast("string")).alias("slug"), "score")
+        state = judged.where("n = 1").select("fid", "option", "slug", "score").unionByName(following).unionByName(numbered)
 
 
 def round_robin(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from atlasweave import schema as S
 from atlasweave.functions import geo, ids, names
-from atlasweave.operators import enrich, indexes
+from atlasweave.operators import compare, enrich, indexes
 from atlasweave.plans import gazetteer as gz
 from atlasweave.plans import geocode as gc
+from atlasweave.plans import requests as rq
 from atlasweave.plans.autocomplete import autocomplete as complete
 from atlasweave.plans.reverse import bulk_index, cell_index, coverings, grid_boxes, reverse_geocode
+from atlasweave.session import with_columns
 
 QUERIES: dict = {}
 REWRITES = [(r"widget\b", ["gadget", "wdgt"]), (r"bolt\b", ["screw"]), (r"small\b", ["sm"])]
@@ -76,7 +78,7 @@ def enrich_left_joins(spark, d) -> DataFrame:
 @query
 def boost_sum(spark, d) -> DataFrame:
     li = gz.table(spark, d, "lineitem")
-    return li.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("boost"))
+    return enrich.sum_boosts(li.select("l_partkey", F.col("l_quantity").cast("bigint").alias("boost")), "l_partkey")
 
 
 @query
@@ -177,6 +179,40 @@ def _requests(spark, d) -> DataFrame:
     return c.select(F.col("c_custkey").alias("qid"), q.alias("query"), cc.alias("cc"), F.lit("en").alias("lang"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.lit(None).cast("array<int>").alias("woe_hint"), F.lit(3).alias("max_interpretations"))
 
 
+@query
+def request_filters(spark, d) -> DataFrame:
+    """Requests that restrict types, sources, or strictly country and bounds."""
+    q = _requests(spark, d)
+    k = F.col("qid") % 4
+    box = F.struct(F.lit(-80.0).alias("south"), F.lit(-180.0).alias("west"), F.lit(0.0).alias("north"), F.lit(180.0).alias("east"))
+    q = q.withColumn("woe_restrict", F.when(k == 1, F.array(F.lit(S.TOWN)))).withColumn("allowed_sources", F.when(k == 2, F.array(F.lit("geonameid"), F.lit("none")))).withColumn("strict", k == 3).withColumn("bounds", F.when(k == 3, box))
+    return gc.geocode(q, _store(spark, d)).select("qid", "rank", "fid", "score")
+
+
+@query
+def request_parse(spark, d) -> DataFrame:
+    """Requests from parameters (odd customers) and JSON (even ones), and how each is answered."""
+    c = gz.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    name = F.replace("c_name", F.lit("#"), F.lit("%23"))
+    nation = F.col("c_nationkey").cast("string")
+    odd = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("query="), name, F.lit("+x&ll=1.5,"), nation, F.lit("&woeHint=7,SUBURB,NOPE&radius=30&maxInterpretations="), nation, F.when(F.col("c_nationkey") % 2 == 0, "&autocomplete=true&autocompleteBias=LOCAL").otherwise("&slug=s"), F.lit("&allowedSources=osm,tgn&responseIncludes=2,PARENTS")).alias("parameters"))
+    text = F.concat(F.lit('{"query":"'), "c_name", F.lit(' x","ll":{"lat":1.5,"lng":'), nation, F.lit('},"woeHint":["TOWN","22","NOPE"],"radius":30,"maxInterpretations":'), nation, F.when(F.col("c_nationkey") % 2 == 0, ',"autocomplete":true,"autocompleteBias":"2"').otherwise(',"slug":"s"'), F.lit(',"allowedSources":["osm","tgn"],"responseIncludes":["ALL_NAMES",1],"bounds":{"ne":{"lat":2,"lng":3},"sw":{"lat":0,"lng":1}}}'))
+    even = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("qid"), text.alias("json"))
+    rows = rq.parse_parameters(odd).unionByName(rq.parse_json(even))
+    return rows.select("qid", "query", "lat", "lng", F.array_join(F.transform("woe_hint", lambda x: x.cast("string")), ",").alias("hints"), "radius", "max_interpretations", F.array_join("allowed_sources", ",").alias("sources"), F.array_join("includes", ",").alias("includes"), "bias", rq.mode().alias("mode"), F.col("bounds.west").alias("west"))
+
+
+@query
+def primary_promotion(spark, d) -> DataFrame:
+    """Names of towns after their alternate names are known."""
+    c = gz.table(spark, d, "customer")
+    k, fid = F.col("c_custkey") % 5, ids.feature_id(3, F.col("c_custkey"))
+    own = c.select(fid.alias("fid"), F.col("c_name").alias("name"), F.lit("en").alias("lang"), F.lit(S.PREFERRED).alias("flags"))
+    other = F.when(k == 1, F.struct(F.col("c_name").alias("name"), F.lit("en").alias("lang"), F.lit(S.PREFERRED).alias("flags"))).when(k == 2, F.struct(F.col("c_name").alias("name"), F.lit("en").alias("lang"), F.lit(0).alias("flags"))).when(k == 3, F.struct(F.col("c_mktsegment").alias("name"), F.lit("en").alias("lang"), F.lit(S.PREFERRED).alias("flags"))).when(k == 4, F.struct(F.col("c_mktsegment").alias("name"), F.lit("fr").alias("lang"), F.lit(0).alias("flags")))
+    alternates = c.select(fid.alias("fid"), other.alias("o")).where("o IS NOT NULL").select("fid", "o.*")
+    return enrich.promote_primary(own, alternates, gz.features(spark, d).select("fid", "woe", "cc"))
+
+
 @query
 def phrase_match(spark, d) -> DataFrame:
     parsed = gc.parse_requests(_requests(spark, d))
@@ -188,30 +224,70 @@ def geocode_requests(spark, d) -> DataFrame:
     return gc.geocode(_requests(spark, d), _store(spark, d)).select("qid", "rank", "fid", "score", "what", F.col("where").alias("place"), "display_name", "fids")
 
 
+def _varied(spark, d) -> DataFrame:
+    """Places of every type, language, flag, boost and country that a score looks at, by their keys."""
+    f = gz.features(spark, d)
+    k = F.col("key")
+    every = lambda n: k % n == 0
+    woe = F.when(every(19), S.UNKNOWN).when(every(17), S.AIRPORT).when(every(10), S.ADMIN2).when(every(9), S.POSTAL_CODE).otherwise(F.col("woe")).cast("int")
+    box = F.when(every(7), F.struct((F.col("lat") - 0.1).alias("south"), (F.col("lng") - 0.1).alias("west"), (F.col("lat") + 0.1).alias("north"), (F.col("lng") + 0.1).alias("east")))
+    return f.select(
+        "fid", "key", F.when(every(5), "US").otherwise(F.col("cc")).alias("cc"), woe.alias("woe"), "lat", "lng", "population", (k % 100).cast("bigint").alias("boost"), "parents", "extras", every(3).alias("has_poly"), "can_geocode",
+        box.alias("box"), F.when(every(23), F.lit(True)).alias("world_city"), F.lit(None).cast("array<string>").alias("other_ids"), F.array(F.when(every(13), "xx").otherwise("en")).alias("langs"),
+        F.array(F.when(every(11), S.NEVER_DISPLAY).otherwise(S.PREFERRED)).alias("flags"), F.lit(0).alias("start"), F.lit(1).alias("end"),
+    )
+
+
 @query
 def score_profiles(spark, d) -> DataFrame:
-    """Scores of single places under each profile, with a hint of place and country."""
-    f = gz.features(spark, d)
-    feat = F.struct(geo.woe_order(F.col("woe")).alias("ord"), F.lit(0).alias("start"), F.lit(1).alias("end"), "fid", F.col("cc"), "woe", "parents", "extras", "lat", "lng", "population", "boost", "has_poly", "can_geocode", F.array(F.lit("en")).alias("langs"), F.array(F.lit(1)).alias("flags"))
-    rows = f.select("fid", F.array(feat).alias("feats"), F.lit("AF").alias("cc"), F.lit("en").alias("lang"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lng"), F.array(F.lit(S.SUBURB)).alias("woe_hint"))
-    return rows.select("fid", *(gc.score(p).alias(p) for p in S.PROFILES))
+    """Scores of places under each profile, with a hint of place and country; some are repeated, some have a division."""
+    f = _varied(spark, d)
+    division = F.struct(*(F.lit(7).cast("int").alias(n) if n == "ord" else F.lit(None if n != "fid" else -1).cast(f.select(gc.feat().alias("x")).schema["x"].dataType[n].dataType).alias(n) for n in f.select(gc.feat().alias("x")).schema["x"].dataType.names))
+    feats = F.when(F.col("key") % 29 == 0, F.array(gc.feat(), gc.feat())).when(F.col("key") % 2 == 0, F.array(gc.feat(), division)).otherwise(F.array(gc.feat()))
+    rows = f.select("fid", feats.alias("feats"), F.lit("AF").alias("cc"), F.lit("en").alias("lang"), F.lit(10.0).alias("lat"), F.lit(20.0).alias("lng"), F.array(F.lit(S.SUBURB)).alias("woe_hint"))
+    return with_columns(rows, S.REQUEST_OPTIONS).select("fid", *(gc.score(p).alias(p) for p in S.PROFILES))
+
+
+@query
+def bounds_distance(spark, d) -> DataFrame:
+    """Scores with bounds in place of a point: small ones that hold the centre, that meet the place's own, and wide ones."""
+    f = _varied(spark, d)
+    off = F.when(F.col("key") % 4 == 0, 0.0).when(F.col("key") % 4 == 1, 0.75).when(F.col("key") % 4 == 2, 5.0).otherwise(0.0)
+    half = F.when(F.col("key") % 4 == 3, 20.0).otherwise(0.7)
+    y = F.col("lat") + off
+    box = F.struct((y - half).alias("south"), (F.col("lng") - half).alias("west"), (y + half).alias("north"), (F.col("lng") + half).alias("east"))
+    none = lambda t: F.lit(None).cast(t)
+    rows = f.select("fid", F.array(gc.feat()).alias("feats"), none("string").alias("cc"), F.lit("en").alias("lang"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lng"), none("array<int>").alias("woe_hint"), box.alias("bounds"))
+    return with_columns(rows, S.REQUEST_OPTIONS).select("fid", gc.score("geocode").alias("score"), gc.score("local").alias("local"))
+
+
+@query
+def dedupe_interpretations(spark, d) -> DataFrame:
+    """Parts as places on a small grid, asked for by brand: those of one name that lie together are one."""
+    k = F.col("p_partkey")
+    p = gz.table(spark, d, "part").select(
+        F.col("p_brand").alias("brand"), ids.feature_id(6, k).alias("fid"), F.lit("US").alias("cc"), F.when(k % 3 == 0, S.TOWN).when(k % 3 == 1, S.ADMIN2).otherwise(S.SUBURB).cast("int").alias("woe"), ((k % 40) * 0.1 - 2).alias("lat"), ((k % 7) * 0.13 - 0.4).alias("lng"), F.floor("p_retailprice").alias("population"),
+        F.lit(0).cast("bigint").alias("boost"), F.array().cast("array<bigint>").alias("parents"), F.array().cast("array<bigint>").alias("extras"), (k % 5 == 0).alias("has_poly"), F.lit(True).alias("can_geocode"), F.col("p_name").alias("name"), F.when(k % 4 == 0, S.ALIAS).otherwise(S.PREFERRED).alias("flags"),
+    )
+    store = gc.Store.of(p, p.select("fid", "name", F.lit("en").alias("lang"), "flags", F.lit(0).alias("pos")))
+    q = F.substring("brand", 7, 5).cast("bigint")
+    rank = F.row_number().over(W.partitionBy("brand").orderBy(F.desc("population"), "fid"))
+    rows = with_columns(p, S.FEATURE_OPTIONS).withColumn("langs", F.array(F.lit("en"))).withColumn("flags", F.array("flags")).withColumn("start", F.lit(0)).withColumn("end", F.lit(1))
+    rows = rows.select(q.alias("qid"), rank.alias("rank"), "fid", F.array(gc.feat()).alias("feats"), F.array(F.lit(S.SUBURB)).alias("woe_hint"), F.lit("brand").alias("unused"))
+    return gc.merge_same_places(rows, store).select("qid", "rank", "fid", F.size("merged").alias("n"))
 
 
 @query
 def dedupe_by_primary(spark, d) -> DataFrame:
     """Line items as interpretations: the best of each part and order, then ranked."""
-    li = gz.table(spark, d, "lineitem")
-    own = F.row_number().over(W.partitionBy("l_orderkey", "l_partkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_suppkey"))
-    rows = li.withColumn("n", own).where("n = 1")
-    rank = F.row_number().over(W.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_partkey"))
-    return rows.withColumn("rank", rank).where("rank <= 3").select("l_orderkey", "rank", "l_partkey", F.col("l_quantity").cast("bigint").alias("score"))
+    rows = compare.best_of_each(gz.table(spark, d, "lineitem"), "l_orderkey", "l_partkey", [F.desc("l_quantity"), F.col("l_linenumber"), F.col("l_suppkey")], [F.desc("l_quantity"), F.col("l_partkey")], 3)
+    return rows.select("l_orderkey", "rank", "l_partkey", F.col("l_quantity").cast("bigint").alias("score"))
 
 
 @query
 def ambiguous_names(spark, d) -> DataFrame:
     """Places that share name and country with others, and how many do."""
-    f = gz.features(spark, d).withColumn("n", F.count("*").over(W.partitionBy("cc", F.lower("name"))))
-    return f.where("n > 1").select("fid", "n")
+    return compare.ambiguous(gz.features(spark, d).select("fid", "cc", F.lower("name").alias("label")), ["cc", "label"]).select("fid", "n")
 
 
 @query
@@ -308,33 +384,30 @@ def slug_lookup(spark, d) -> DataFrame:
 @query
 def semi_join_notable(spark, d) -> DataFrame:
     p, li = gz.table(spark, d, "part"), gz.table(spark, d, "lineitem")
-    return p.where("p_type = 'PROMO'").join(li.where("l_returnflag = 'R' AND l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+    return compare.notable(p.where("p_type = 'PROMO'"), li.where("l_returnflag = 'R' AND l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "p_name")
 
 
 @query
 def eval_diff_counts(spark, d) -> DataFrame:
     """Two rankings of the orders' parts, compared: outcome classes and how often each came. An order without a value isn't ranked."""
     li = gz.table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("x"))
-    top = lambda c, n: li.where(F.col(c).isNotNull()).groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct(c, "l_partkey")).alias(n))
-    both = top("q", "old").join(top("x", "new"), "l_orderkey", "full_outer")
-    kind = F.when(F.col("old").isNull(), "geocoded more").when(F.col("new").isNull(), "geocoded less").when(F.col("old") == F.col("new"), "same").otherwise("changed")
-    return both.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.count_distinct("old", "new").alias("pairs"))
+    return compare.outcomes(compare.top_of(li, "l_orderkey", "l_partkey", "q", "old"), compare.top_of(li, "l_orderkey", "l_partkey", "x", "new"), "l_orderkey")
 
 
 @query
 def missing_parents(spark, d) -> DataFrame:
     """Parents that are wanted but not in hand: divisions of towns without suppliers."""
     f = gz.features(spark, d)
-    want = f.where(f"woe = {S.TOWN}").select(F.explode("parents").alias("fid")).distinct()
+    want = f.where(f"woe = {S.TOWN}").select(F.explode("parents").alias("fid"))
     have = gz.table(spark, d, "supplier").where("s_acctbal > 5000").select(ids.feature_id(1, F.col("s_nationkey")).alias("fid"))
-    return want.join(have, "fid", "left_anti")
+    return compare.missing(want, have, "fid")
 
 
 @query
 def order_keys(spark, d) -> DataFrame:
     """Signed cell-like keys in unsigned order, by rank within their supplier."""
-    li = gz.table(spark, d, "lineitem").select("l_suppkey", ((F.col("l_orderkey") - 5000) * 7 + F.col("l_linenumber")).alias("cell")).distinct()
-    return li.withColumn("n", F.row_number().over(W.partitionBy("l_suppkey").orderBy(F.col("cell") < 0, "cell"))).select("l_suppkey", "n", "cell")
+    li = gz.table(spark, d, "lineitem").select("l_suppkey", ((F.col("l_orderkey") - 5000) * 7 + F.col("l_linenumber")).alias("cell"))
+    return compare.ordered_keys(li, "l_suppkey", "cell")
 
 
 @query
@@ -342,9 +415,9 @@ def list_edits(spark, d) -> DataFrame:
     """Parents of towns after one list edit each: add (remove and append) or remove a country or division."""
     f = gz.features(spark, d).where(f"woe = {S.TOWN}")
     k = F.col("key") if "key" in f.columns else ids.local_of(F.col("fid"))
-    v = F.get("parents", (k % 2).cast("int"))
-    done = F.when(k % 3 == 0, F.concat(F.array_remove("parents", v), F.array(v))).when(k % 3 == 1, F.array_remove("parents", v)).otherwise(F.col("parents"))
-    return f.select("fid", _csv(done).alias("parents"), F.coalesce(F.array_contains("parents", v) & (F.size(done) == 0), F.lit(False)).alias("emptied"))
+    f = f.select("fid", "parents", F.when(k % 3 == 0, "Add").when(k % 3 == 1, "Remove").otherwise("NoOp").alias("kind"), F.get("parents", (k % 2).cast("int")).alias("v"))
+    f = f.withColumn("done", enrich.list_edit(F.col("parents"), F.col("kind"), F.col("v")))
+    return f.select("fid", _csv(F.col("done")).alias("parents"), (F.size("done") == 0).alias("emptied"))
 
 
 @query
@@ -407,8 +480,9 @@ def _polygons(spark, d) -> DataFrame:
 
 @query
 def s2_cells(spark, d) -> DataFrame:
+    """Cells a little off the places, and their ancestors."""
     f = gz.features(spark, d)
-    cell = geo.cell_udf(12)(F.col("lat"), F.col("lng"))
+    cell = geo.cell_udf(12)(F.col("lat") + 0.0137, F.col("lng") + 0.0171)
     return f.select("fid", cell.alias("cell")).withColumn("parent", geo.cell_parent(F.col("cell"), 8))
 
 
@@ -429,6 +503,23 @@ def reverse_geocode_points(spark, d) -> DataFrame:
     return reverse_geocode(points, cell_index(_polygons(spark, d)).written(), f, 5)
 
 
+@query
+def reverse_geocode_boxes(spark, d) -> DataFrame:
+    """Suburbs and points of interest in squares around the towns and wide boxes around the divisions."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.BinaryType())
+    def square(lat, lng, half):
+        import pandas as pd
+
+        return pd.Series([geo.write_wkb([[geo.box_ring(max(-90.0, a - h), b - h, min(90.0, a + h), b + h)]]) for a, b, h in zip(lat, lng, half)])
+
+    f = gz.features(spark, d)
+    shapes = f.where(f"woe IN ({S.TOWN}, {S.ADMIN1})").select("fid", square(F.col("lat"), F.col("lng"), F.when(F.col("woe") == S.TOWN, 0.33).otherwise(21.07)).alias("wkb"))
+    points = f.where(f"woe IN ({S.SUBURB}, {S.POI})").select(F.col("fid").alias("qid"), "lat", "lng")
+    return reverse_geocode(points, cell_index(shapes).written(), f, 5).select("qid", "rank", "fid")
+
+
 @query
 def highlight_names(spark, d) -> DataFrame:
     c = gz.table(spark, d, "customer")

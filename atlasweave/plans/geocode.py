@@ -15,10 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasweave import schema as S
-from atlasweave.functions import geo
-from atlasweave.functions.names import best_name, normalize, tokens
+from atlasweave.functions import geo, ids
+from atlasweave.functions.names import best_name, highlight, normalize, tokens
 from atlasweave.operators.indexes import name_rows
-from atlasweave.session import cut
+from atlasweave.session import cut, small, with_columns
 
 MAX_TOKENS = 10
 
@@ -42,25 +42,49 @@ DEPENDENT = {
 
 @dataclass
 class Store:
-    """The tables that requests are answered from: features; names (fid, name, lang, flags, pos) and their index rows."""
+    """The tables that requests are answered from: features; names (fid, name, lang, flags, pos); their index rows (name, fid,
+    score); found, a row for each normal name of a place (phrase, fid, langs, flags); labels (fid, woe, names), a place's
+    names in their order; slugs (fid, slug), if any were made."""
 
     features: DataFrame
     names: DataFrame
     rows: DataFrame
+    found: DataFrame
+    labels: DataFrame
+    slugs: DataFrame | None = None
 
     @classmethod
     def of(cls, features: DataFrame, names: DataFrame) -> Store:
-        return cls(features.select(*[c.split()[0] for c in S.FEATURES.split(", ")]), names, name_rows(names, features))
+        own = with_columns(features, S.FEATURE_OPTIONS).select(*[c.split()[0] for c in S.FEATURES.split(", ")], *S.FEATURE_OPTIONS)
+        normal = names.select("fid", normalize(F.col("name")).alias("phrase"), "lang", "flags").where("phrase <> ''")
+        found = normal.groupBy("phrase", "fid").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set("flags")).alias("flags"))
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "lang", "flags"))), lambda x: F.struct(x["name"].alias("name"), x["lang"].alias("lang"), x["flags"].alias("flags")))
+        labels = names.groupBy("fid").agg(in_order.alias("names")).join(own.select("fid", "woe"), "fid")
+        return cls(own, names, name_rows(names, own), found, labels)
 
     def written(self) -> Store:
-        """The store with its tables written to the shared folder, for requests that read them several times."""
-        return Store(cut(self.features, "features"), cut(self.names, "names"), cut(self.rows, "rows"))
+        """The store with its tables written to the shared folder, so that names are normalised and grouped once."""
+        return Store(*(cut(getattr(self, t), t) for t in ("features", "names", "rows", "found", "labels")), self.slugs)
 
-    def with_edits(self, changed: DataFrame, deleted: DataFrame) -> Store:
-        """The store after an overlay of changed (a store's features) and deleted places."""
+    def with_edits(self, changed: DataFrame, deleted: DataFrame, names: DataFrame | None = None) -> Store:
+        """The store after an overlay of changed or added (a store's features) and deleted places.
+
+        Changed and added places have the given names (as in ``names``) in place of their old ones, if any are given for them.
+        """
         from atlasweave.operators.enrich import overlay
 
-        return Store.of(overlay(self.features, changed, deleted), self.names.join(deleted.select("fid"), "fid", "left_anti"))
+        kept = self.names.join(deleted.select("fid"), "fid", "left_anti")
+        if names is not None:
+            kept = kept.join(names.select("fid").distinct(), "fid", "left_anti").unionByName(names.select(*kept.columns))
+        return Store.of(overlay(self.features, with_columns(changed, S.FEATURE_OPTIONS).select(*self.features.columns), deleted), kept)
+
+
+FEAT = ["fid", "cc", "woe", "parents", "extras", "lat", "lng", "population", "boost", "has_poly", "can_geocode", *S.FEATURE_OPTIONS]
+
+
+def feat() -> Column:
+    """A place in a parse, from the columns of features, start, end, langs and flags."""
+    return F.struct(geo.woe_order(F.col("woe")).alias("ord"), "start", "end", *FEAT, "langs", "flags")
 
 
 def parse_requests(requests: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -68,7 +92,7 @@ def parse_requests(requests: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFra
 
     Requests with the token http or without tokens give no row.
     """
-    out = requests.withColumn("all_tokens", F.slice(tokens(normalize(F.col("query"))), 1, max_tokens)).where(~F.array_contains("all_tokens", "http") & (F.size("all_tokens") > 0))
+    out = with_columns(requests, S.REQUEST_OPTIONS).withColumn("all_tokens", F.slice(tokens(normalize(F.col("query"))), 1, max_tokens)).where(~F.array_contains("all_tokens", "http") & (F.size("all_tokens") > 0))
     at = F.array_position("all_tokens", F.lit("near")).cast("int")
     inner = (at > 1) & (at < F.size("all_tokens"))
     return out.withColumn("near", inner).withColumn("tokens", F.when(inner, F.slice("all_tokens", at + 1, F.size("all_tokens"))).otherwise(F.col("all_tokens"))).withColumn("n", F.size("tokens"))
@@ -82,12 +106,14 @@ def phrases(parsed: DataFrame) -> DataFrame:
 
 
 def matches(parsed: DataFrame, store: Store) -> DataFrame:
-    """(qid, start, end, cc, feat): places whose normal name is a run of the request's tokens."""
-    found = phrases(parsed).join(store.rows.select(F.col("name").alias("phrase"), "fid"), "phrase")
-    hits = store.names.select("fid", normalize(F.col("name")).alias("phrase"), "lang", "flags").groupBy("fid", "phrase").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set("flags")).alias("flags"))
-    rows = found.join(hits, ["fid", "phrase"]).join(store.features, "fid")
-    feat = F.struct(geo.woe_order(F.col("woe")).alias("ord"), "start", "end", "fid", "cc", "woe", "parents", "extras", "lat", "lng", "population", "boost", "has_poly", "can_geocode", "langs", "flags")
-    return rows.select("qid", "start", "end", "cc", feat.alias("feat"))
+    """(qid, start, end, cc, feat): places whose normal name is a run of the request's tokens.
+
+    Different phrases alone are looked up; what they name is joined back by a broadcast if it is small.
+    """
+    runs = phrases(parsed)
+    known = store.found.join(small(runs.select("phrase").distinct()), "phrase", "left_semi").join(store.features, "fid")
+    rows = runs.join(small(cut(known, "known")), "phrase")
+    return rows.select("qid", "start", "end", "cc", feat().alias("feat"))
 
 
 def _sorted(feats: Column) -> Column:
@@ -119,6 +145,21 @@ def _depends(child: Column, parent: Column) -> Column:
     return out
 
 
+def parent_country(cc: Column) -> Column:
+    """The country that a dependent one belongs to, null for others."""
+    out = F.lit(None).cast("string")
+    for p, children in DEPENDENT.items():
+        out = F.when(cc.isin(children), p).otherwise(out)
+    return out
+
+
+def _with_dependents(left: DataFrame, step: DataFrame) -> DataFrame:
+    """step, and for places of a dependent country without parses of its own those of the country it depends on."""
+    lone = left.where(parent_country(F.col("cc")).isNotNull()).select("qid", "start", "cc").distinct().join(step, ["qid", "start", "cc"], "left_anti")
+    lent = lone.select("qid", "start", F.col("cc").alias("own"), parent_country(F.col("cc")).alias("cc")).join(step, ["qid", "start", "cc"])
+    return step.unionByName(lent.drop("cc").withColumnRenamed("own", "cc"))
+
+
 def parses(found: DataFrame, parsed: DataFrame) -> DataFrame:
     """(qid, start, feats): all parses that reach the last token, their places sorted; start is the first token covered."""
     found = cut(found, "matches")
@@ -127,7 +168,7 @@ def parses(found: DataFrame, parsed: DataFrame) -> DataFrame:
     out = [step]
     for _ in range(MAX_TOKENS - 1):
         left = found.select("qid", F.col("end").alias("start"), F.col("start").alias("at"), "cc", "feat")
-        grown = left.join(step, ["qid", "start", "cc"]).where(~F.exists("feats", lambda f: (f["woe"] == F.col("feat")["woe"]) & (f["fid"] != F.col("feat")["fid"])))
+        grown = left.join(_with_dependents(left, step), ["qid", "start", "cc"]).where(~F.exists("feats", lambda f: (f["woe"] == F.col("feat")["woe"]) & (f["fid"] != F.col("feat")["fid"])))
         step = cut(grown.select("qid", F.col("at").alias("start"), "cc", _sorted(F.concat(F.array("feat"), "feats")).alias("feats")).where(valid(F.col("feats"))), "parses")
         if not step.limit(1).count():
             break
@@ -143,22 +184,26 @@ def term_columns(unclamped: bool = False) -> dict[str, Column]:
     langs = one["langs"]
     fine_lang = F.exists(langs, lambda x: x.isin("en", "abbr", "iata", "icao", "") | x.eqNullSafe(F.col("lang")))
     bad_flags = (F.size(one["flags"]) > 0) & F.forall(one["flags"], lambda f: f.isin(S.NEVER_DISPLAY, S.LOW_QUALITY))
-    m = geo.distance_meters(one["lat"], one["lng"], F.col("lat"), F.col("lng"))
+    # bounds go before a point; places in small bounds have the same bonus, else the middle of the bounds is the point
+    b, own = F.col("bounds"), one["box"]
+    lat, lng = F.when(b.isNotNull(), geo.middle(b)["lat"]).otherwise(F.col("lat")), F.when(b.isNotNull(), geo.middle(b)["lng"]).otherwise(F.col("lng"))
+    near = (geo.distance_meters(b["south"], b["west"], b["north"], b["east"]) < 200_000) & (geo.in_bounds(one["lat"], one["lng"], b["south"], b["west"], b["north"], b["east"]) | F.coalesce(geo.boxes_meet(b, own), F.lit(False)))
+    m = geo.distance_meters(one["lat"], one["lng"], lat, lng)
     close = lambda sub, other: F.when(one["woe"] == S.SUBURB, sub).otherwise(other)
-    distance = lambda far: F.when(F.col("lat").isNull() | F.col("lng").isNull(), 0).when(m < 5000, close(6_000_000, 4_000_000)).when(m < 10_000, close(3_000_000, 2_000_000)).when(m < 20_000, close(2_000_000, 1_000_000)).when(m < 100_000, -10_000).otherwise(far).cast("bigint")
+    distance = lambda far: F.when(lat.isNull() | lng.isNull(), 0).when(b.isNotNull() & near, close(5_000_000, 2_000_000)).when(m < 5000, close(6_000_000, 4_000_000)).when(m < 10_000, close(3_000_000, 2_000_000)).when(m < 20_000, close(2_000_000, 1_000_000)).when(m < 100_000, -10_000).otherwise(far).cast("bigint")
     hint = F.col("cc").isNotNull() & (one["cc"] == F.col("cc"))
     repeated = F.exists(rest, lambda f: f["fid"] == one["fid"])
     return {
         "population": one["population"],
         "repeated": L(repeated, -100_000_000),
-        "bounds": L(one["has_poly"], 1000),
+        "bounds": L(one["box"].isNotNull() | one["has_poly"], 1000),
         "woe_hint": L(F.coalesce(F.array_contains("woe_hint", one["woe"]), F.lit(False)), 50_000_000),
         "language": L(fine_lang, 0, -100_000_000),
         "bad_name": L(bad_flags, -100_000_000),
         "length": (-5000 * F.size("feats")).cast("bigint"),
         "country_hint": F.when(hint, F.when(one["woe"] == S.POSTAL_CODE, 11_000_000).otherwise(1_000_000)).otherwise(0).cast("bigint"),
         "country_mismatch": L(F.col("cc").isNotNull() & (one["cc"] != F.col("cc")), -100_000_000),
-        "world_city": L(F.lit(True), -100_000_000),
+        "world_city": L(~F.coalesce(one["world_city"], F.lit(False)), -100_000_000),
         "distance_clamped": distance(F.lit(-100_000)),
         "distance_unclamped": distance(-m),
         "boost": one["boost"],
@@ -181,18 +226,36 @@ def score(profile: str = "geocode") -> Column:
     return reduce(Column.__add__, parts)
 
 
-def ranked(found: DataFrame, parsed: DataFrame, profile: str = "geocode", restrict: str | None = None) -> DataFrame:
+def wanted(one: Column) -> Column:
+    """Whether a primary place is what its request asks for: geocodable, of a type and a source allowed, and if it is strict
+    inside of the request's bounds or circle and in its country."""
+    source = F.transform(F.coalesce(one["other_ids"], F.array().cast("array<string>")), lambda x: F.split(x, ":", 2)[0])
+    sources = F.concat(F.array(F.coalesce(ids.namespace_name(one["fid"]), F.lit(""))), source)
+    b, none = F.col("bounds"), lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    inside = F.when(b.isNotNull(), geo.in_bounds(one["lat"], one["lng"], b["south"], b["west"], b["north"], b["east"])).when(F.col("radius") > 0, geo.distance_meters(one["lat"], one["lng"], F.col("lat"), F.col("lng")) <= F.least(F.col("radius"), F.lit(5000.0)))
+    inside = inside.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), (one["lat"] == F.col("lat")) & (one["lng"] == F.col("lng"))).otherwise(True)
+    strict = inside & (F.col("cc").isNull() | (one["cc"] == F.col("cc")))
+    types = none("woe_restrict") | F.array_contains("woe_restrict", one["woe"])
+    allowed = none("allowed_sources") | F.arrays_overlap("allowed_sources", sources)
+    return F.coalesce(one["can_geocode"], F.lit(True)) & F.coalesce(types & allowed, F.lit(False)) & (~F.coalesce(F.col("strict"), F.lit(False)) | F.coalesce(strict, F.lit(False)))
+
+
+ASKED = ["n", "tokens", "all_tokens", "near", "cc", "lang", "lat", "lng", "woe_hint", "max_interpretations", "bounds", "radius", "strict", "woe_restrict", "allowed_sources"]
+
+
+def ranked(found: DataFrame, parsed: DataFrame, store: Store, profile: str = "geocode", restrict: str | None = None) -> DataFrame:
     """Parses with score and rank: longest first until there are twice as many as wanted, best score first, ties by id.
 
-    Of parses with the same primary place the one with more places, repeats and a shorter span stays.
+    Of parses with the same primary place the one with more places, repeats and a shorter span stays; of those whose places
+    have one name and lie together, the better (``merge_same_places``).
     """
     ask = F.coalesce("max_interpretations", F.lit(1))
-    rows = found.join(parsed.select("qid", "n", "all_tokens", "near", "cc", "lang", "lat", "lng", "woe_hint", "max_interpretations"), "qid")
-    rows = rows.where(F.coalesce(F.get("feats", F.lit(0))["can_geocode"], F.lit(True)))
+    rows = found.join(parsed.select("qid", *ASKED), "qid")
+    one = F.get("feats", F.lit(0))
+    rows = rows.where(wanted(one))
     if restrict:
         rows = rows.where(restrict)
     rows = rows.where(~F.col("near") | (F.col("start") == 0)).withColumn("score", score(profile))
-    one = F.get("feats", F.lit(0))
     weak = (F.size("feats") == 1) & (one["end"] - one["start"] == 1) & (F.col("start") > 0) & (one["population"] <= 50_000)
     rows = rows.where(~weak).withColumn("fid", one["fid"])
     repeats = F.size(F.filter(F.slice("feats", F.lit(2), F.size("feats")), lambda f: f["fid"] == one["fid"]))
@@ -200,7 +263,43 @@ def ranked(found: DataFrame, parsed: DataFrame, profile: str = "geocode", restri
     rows = rows.withColumn("#", own).where("`#` = 1")
     longer = F.count("*").over(W.partitionBy("qid").orderBy("start").rangeBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("#", longer).where(F.col("#") < 2 * ask)
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "fid"))).drop("#")
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "fid"))).drop("#")
+    return merge_same_places(rows.where(F.col("rank") <= 2 * ask), store)
+
+
+def merge_same_places(rows: DataFrame, store: Store) -> DataFrame:
+    """Ranked parses without those that show the same place as another, ranks closed up, and merged: the ids that were one.
+
+    In the order of ranks a place joins the first bucket of 0.15 degrees at or around its own that a place of the same
+    English name opened before, else it opens its own. The best of a bucket stays: of a hinted type, not found by an alias
+    alone, with a polygon, more specific, of a better rank.
+    """
+    rows = cut(rows, "ranked")
+    one = F.get("feats", F.lit(0))
+    shown = store.labels.join(small(rows.select("fid").distinct()), "fid", "left_semi").select("fid", F.lower(best_name(F.col("names"), F.lit("en"))).alias("label"))
+    flat = rows.join(small(shown), "fid", "left").withColumn("label", F.coalesce("label", F.lit("")))
+    flat = flat.select("qid", "label", "rank", "fid", F.struct(geo.bucket(one["lat"]).alias("y"), geo.bucket(one["lng"]).alias("x")).alias("at"), F.coalesce(F.array_contains("woe_hint", one["woe"]), F.lit(False)).alias("hinted"), _only_alias(one).alias("alias"), one["has_poly"].alias("poly"), F.when(one["ord"] < 0, 99).otherwise(one["ord"]).alias("ord"))
+    place = F.struct("rank", "at")
+    groups = flat.groupBy("qid", "label").agg(F.array_sort(F.collect_list(place)).alias("places"))  # at most twice what is asked for
+
+    around = [(y, x) for y in (0, -1, 1) for x in (0, -1, 1)]
+
+    def join(acc: Column, p: Column) -> Column:
+        near = [F.struct((p["at"]["y"] + y).alias("y"), (p["at"]["x"] + x).alias("x")) for y, x in around]
+        taken = F.transform(acc, lambda a: a["bucket"])
+        own = F.coalesce(*(F.when(F.array_contains(taken, n), n) for n in near), p["at"])
+        return F.concat(acc, F.array(F.struct(p["rank"].alias("rank"), own.alias("bucket"))))
+
+    none = F.array().cast("array<struct<rank:int,bucket:struct<y:bigint,x:bigint>>>")
+    laid = groups.select("qid", "label", F.explode(F.aggregate("places", none, join)).alias("b")).select("qid", "label", "b.rank", "b.bucket")
+    better = W.partitionBy("qid", "label", "bucket").orderBy(F.desc("hinted"), "alias", F.desc("poly"), "ord", "rank")
+    best = flat.join(laid, ["qid", "label", "rank"]).withColumn("n", F.row_number().over(better))
+    best = best.withColumn("merged", F.array_sort(F.collect_list("fid").over(W.partitionBy("qid", "label", "bucket")))).where("n = 1").select("qid", "rank", "merged")
+    return rows.join(best, ["qid", "rank"]).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
+
+
+def _only_alias(f: Column) -> Column:
+    return (F.size(f["flags"]) > 0) & F.forall(f["flags"], lambda x: x.bitwiseAND(F.lit(S.ALIAS)) != 0)
 
 
 def promote_city(rows: DataFrame) -> DataFrame:
@@ -214,17 +313,32 @@ def promote_city(rows: DataFrame) -> DataFrame:
 
 
 def display(rows: DataFrame, store: Store) -> DataFrame:
-    """Adds name and display_name: the place, its town and first division if it has them, and its country unless asked in it."""
-    best = store.names.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "lang", "flags"))), lambda x: F.struct(x["name"].alias("name"), x["lang"].alias("lang"), x["flags"].alias("flags"))).alias("names"))
+    """Adds name, display_name, matched_name and highlighted_name.
+
+    Shown are the place, its town and first division if it has them, and its country unless asked in it. Interpretations of one
+    request that would be shown alike have the most general of their other parents too. The matched name is the best one
+    that begins with what was asked, which is set in bold in the highlighted one.
+    """
     one = F.get("feats", F.lit(0))
-    own = rows.select("qid", "rank", F.col("cc").alias("asked"), F.coalesce("lang", F.lit("en")).alias("want"), one["fid"].alias("fid"), one["cc"].alias("cc"), one["parents"].alias("parents"))
-    of = best.join(store.features.select("fid", "woe"), "fid")
-    named = own.join(of, "fid").select("qid", "rank", "asked", "want", "cc", "parents", best_name(F.col("names"), F.col("want")).alias("name"))
-    kin = named.select("qid", "rank", "want", "cc", "asked", F.explode("parents").alias("fid")).join(of, "fid").where(F.col("woe").isin(S.TOWN, S.ADMIN1, S.COUNTRY))
+    phrase = F.array_join(F.slice("tokens", one["start"] + 1, one["end"] - one["start"]), " ")
+    own = rows.select("qid", "rank", F.col("cc").alias("asked"), F.coalesce("lang", F.lit("en")).alias("want"), phrase.alias("phrase"), one["fid"].alias("fid"), one["cc"].alias("cc"), one["parents"].alias("parents"))
+    needed = own.select("fid").union(own.select(F.explode("parents").alias("fid"))).distinct()
+    of = small(cut(store.labels.join(small(needed), "fid", "left_semi"), "labels"))
+    begins = F.filter("names", lambda n: normalize(n["name"]).startswith(F.col("phrase")))
+    named = own.join(of, "fid").select("qid", "rank", "asked", "want", "cc", "parents", "phrase", best_name(F.col("names"), F.col("want")).alias("name"), begins.alias("begins"))
+    named = named.withColumn("matched_name", F.when(F.size("begins") > 0, best_name(F.col("begins"), F.col("want"))).otherwise(F.col("name"))).drop("begins")
+    kin = named.select("qid", "rank", "want", "cc", "asked", F.explode("parents").alias("fid")).join(of, "fid")
     kin = kin.where((F.col("woe") != S.COUNTRY) | F.col("asked").isNull() | (F.col("asked") != F.col("cc")))
-    kin = kin.select("qid", "rank", F.struct(geo.woe_order(F.col("woe")).alias("o"), best_name(F.col("names"), F.col("want"), F.col("woe") == S.COUNTRY).alias("name")).alias("x")).groupBy("qid", "rank").agg(F.transform(F.array_sort(F.collect_set("x")), lambda x: x["name"]).alias("kin"))
-    full = named.join(kin, ["qid", "rank"], "left").select("qid", "rank", "name", F.array_join(F.array_distinct(F.concat(F.array("name"), F.coalesce("kin", F.array().cast("array<string>")))), ", ").alias("display_name"))
-    return rows.join(full, ["qid", "rank"])
+    shown = F.col("woe").isin(S.TOWN, S.ADMIN1, S.COUNTRY)
+    kin = kin.select("qid", "rank", F.struct(geo.woe_order(F.col("woe")).alias("o"), best_name(F.col("names"), F.col("want"), F.col("woe") == S.COUNTRY).alias("name"), shown.alias("shown")).alias("x")).groupBy("qid", "rank").agg(F.array_sort(F.collect_set("x")).alias("kin"))
+    full = named.join(kin, ["qid", "rank"], "left").withColumn("kin", F.coalesce("kin", F.array().cast("array<struct<o:int,name:string,shown:boolean>>")))
+    line = lambda head, keep: F.array_join(F.array_distinct(F.concat(F.array(head), F.transform(F.filter("kin", keep), lambda x: x["name"]))), ", ")
+    full = full.withColumn("plain", line("name", lambda x: x["shown"]))
+    full = full.withColumn("alike", F.count("*").over(W.partitionBy("qid", "plain")) > 1)
+    other = F.array_max(F.transform(F.filter("kin", lambda x: ~x["shown"] & (x["o"] >= 0)), lambda x: x["o"]))
+    keep = lambda x: x["shown"] | F.coalesce(F.col("alike") & (x["o"] == F.col("other")), F.lit(False))
+    full = full.withColumn("other", other).withColumn("display_name", line("name", keep)).withColumn("bold", highlight("matched_name", "phrase")).withColumn("highlighted_name", line("bold", keep))
+    return rows.join(full.select("qid", "rank", "name", "display_name", "matched_name", "highlighted_name"), ["qid", "rank"])
 
 
 def without_common_words(parsed: DataFrame, best: DataFrame) -> DataFrame:
@@ -236,7 +350,9 @@ def without_common_words(parsed: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def geocode(requests: DataFrame, store: Store, profile: str = "geocode", restrict: str | None = None) -> DataFrame:
-    """(qid, rank, fid, score, what, where, name, display_name, fids) of the best interpretations of each request.
+    """(qid, rank, fid, score, what, where, name, display_name, matched_name, highlighted_name, fids, merged) of the best interpretations of each request.
+
+    Requests have the columns of REQUESTS and any of REQUEST_OPTIONS. merged holds the ids of all places that were one.
 
     Empty queries, unknown names and the token http give no rows. A request without ``max_interpretations`` gets one.
     """
@@ -248,10 +364,10 @@ def geocode(requests: DataFrame, store: Store, profile: str = "geocode", restric
         better = second.join(again.select("qid", "n"), "qid").groupBy("qid").agg(F.min("start").alias("s")).where("s = 0").select("qid")
         found = found.join(better, "qid", "left_anti").unionByName(second.join(better, "qid", "left_semi"))
         parsed = parsed.join(better, "qid", "left_anti").unionByName(again.join(better, "qid", "left_semi"))
-    rows = promote_city(ranked(found, parsed, profile, restrict)).where(F.col("rank") <= F.coalesce("max_interpretations", F.lit(1)))
+    rows = promote_city(ranked(found, parsed, store, profile, restrict)).where(F.col("rank") <= F.coalesce("max_interpretations", F.lit(1)))
     rows = display(cut(rows, "ranked"), store)
     where = F.array_join(F.slice(F.slice("all_tokens", F.size("all_tokens") - F.col("n") + 1, F.col("n")), F.col("start") + 1, F.col("n")), " ")
     left = F.slice("all_tokens", 1, F.size("all_tokens") - F.col("n") + F.col("start"))
     ends = F.element_at(F.when(F.size(left) > 0, left), -1).isin("in", "near")
     what = F.array_join(F.when(F.coalesce(ends, F.lit(False)), F.slice(left, 1, F.size(left) - 1)).otherwise(left), " ")
-    return rows.select("qid", "rank", "fid", "score", what.alias("what"), where.alias("where"), "name", "display_name", F.array_join(F.transform("feats", lambda f: f["fid"].cast("string")), ",").alias("fids"))
+    return rows.select("qid", "rank", "fid", "score", what.alias("what"), where.alias("where"), "name", "display_name", "matched_name", "highlighted_name", F.array_join(F.transform("feats", lambda f: f["fid"].cast("string")), ",").alias("fids"), "merged")

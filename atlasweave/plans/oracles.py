@@ -42,6 +42,39 @@ _ORD = "CASE woe WHEN 12 THEN 8 WHEN 8 THEN 7 WHEN 7 THEN 4 WHEN 22 THEN 3 WHEN
 _DIST = f"CASE WHEN m < 5000 THEN CASE WHEN woe = 22 THEN 6000000 ELSE 4000000 END WHEN m < 10000 THEN CASE WHEN woe = 22 THEN 3000000 ELSE 2000000 END WHEN m < 20000 THEN CASE WHEN woe = 22 THEN 2000000 ELSE 1000000 END WHEN m < 100000 THEN -10000 ELSE FAR END"
 _REQ = """req AS (SELECT c_custkey AS qid, lower(replace(c_name, '#', ' ')) AS town, lower(replace(n_name, '_', ' ')) AS division, n_regionkey AS r, CASE WHEN c_custkey % 2 = 1 THEN ['AF', 'AM', 'AS', 'EU', 'MI'][n_regionkey + 1] END AS want FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
+# places of every kind, as _varied in the catalogue, and the terms of a score that all profiles share
+_VARIED = """v AS (SELECT *, CASE woe WHEN 11 THEN 0 WHEN 14 THEN 1 WHEN 20 THEN 2 WHEN 22 THEN 3 WHEN 7 THEN 4 WHEN 10 THEN 5 WHEN 9 THEN 6 WHEN 8 THEN 7 WHEN 12 THEN 8 ELSE -1 END AS ord FROM
+ (SELECT fid, key, CASE WHEN key % 5 = 0 THEN 'US' ELSE cc END AS cc, CASE WHEN key % 19 = 0 THEN 0 WHEN key % 17 = 0 THEN 14 WHEN key % 10 = 0 THEN 9 WHEN key % 9 = 0 THEN 11 ELSE woe END AS woe, lat, lng, population, key % 100 AS boost, key % 3 = 0 AS has_poly, key % 7 = 0 AS has_box, key % 23 = 0 AS world FROM f))"""
+_BASE_ALONE = "CASE WHEN has_box OR has_poly THEN 1000 ELSE 0 END - CASE WHEN key % 13 = 0 THEN 100000000 ELSE 0 END - CASE WHEN key % 11 = 0 THEN 100000000 ELSE 0 END - 5000 + CASE WHEN cc = 'US' THEN 1 ELSE 0 END - CASE WHEN cc = 'US' AND woe = 9 THEN 30000 ELSE 0 END - CASE WHEN woe = 0 THEN 1000000000 ELSE 0 END - ord"
+_BASE = _BASE_ALONE + " + CASE WHEN woe = 22 THEN 50000000 ELSE 0 END - CASE WHEN key % 29 = 0 THEN 100005000 + ord WHEN key % 2 = 0 THEN 5007 ELSE 0 END"
+# (score, least) of the rankers that a completion is merged from
+_RANKERS = [
+    ("base + trunc(population * 0.1::DOUBLE)::BIGINT - 100000000 + hint * 10", 0), ("base", 0), ("base + population + miss", 1_000_000),
+    ("base + population + trunc(hint * 0.001::DOUBLE)::BIGINT", 1_000_000), ("base + trunc(population * 0.001::DOUBLE)::BIGINT + hint * 10", 0),
+]
+
+
+def _rankers() -> str:
+    out = ""
+    for i, (score, least) in enumerate(_RANKERS):
+        out += f""", s{i} AS (SELECT *, {score} AS s, grp IS NULL AND {score} >= {least} AS free FROM t{i}), o{i} AS (SELECT *, free AND row_number() OVER (PARTITION BY qid ORDER BY free DESC, s DESC, fid) = 1 AS taken FROM s{i}),
+ t{i + 1} AS (SELECT qid, fid, name, hint, miss, population, base, CASE WHEN taken THEN {i} ELSE grp END AS grp, CASE WHEN taken THEN s ELSE score END AS score FROM o{i})"""
+    return out
+
+
+def _st(w: str) -> str:
+    return f"least(1073741823, greatest(0, floor(CASE WHEN {w} >= 0 THEN 0.5::DOUBLE * sqrt(1 + 3 * abs({w})) ELSE 1 - 0.5::DOUBLE * sqrt(1 + 3 * abs({w})) END * 1073741824)))::BIGINT"
+
+
+def _curve(levels: int) -> str:
+    """Steps along the curve: the quarter of each level, and how the next one is turned."""
+    out = ""
+    for k in range(levels):
+        bit = 29 - k
+        out += f""", g{k} AS (SELECT *, [[0, 1, 3, 2], [0, 3, 1, 2], [2, 3, 1, 0], [2, 1, 3, 0]][turn + 1][((i >> {bit}) & 1) * 2 + ((j >> {bit}) & 1) + 1] AS q FROM h{k}), h{k + 1} AS (SELECT fid, face, i, j, pos * 4 + q AS pos, xor(turn, [1, 0, 0, 3][q + 1]) AS turn FROM g{k})"""
+    return out
+
+
 ORACLES = {
     "feature_union_first": GAZ + " SELECT id, fid, woe, population, priority, key FROM (SELECT *, concat(cc, '|', lower(name)) AS id, row_number() OVER (PARTITION BY cc, lower(name) ORDER BY priority, key) AS n FROM f) WHERE n = 1",
     "classify_place_type": f"""WITH p AS (SELECT p_partkey, p_name, {_CODES}[p_partkey % 16 + 1] AS code, ['P', 'A', 'S', 'Z', 'T'][p_partkey % 5 + 1] AS cls, ['US', 'DE', 'FR'][p_partkey % 3 + 1] AS cc FROM part),
@@ -92,8 +125,40 @@ ORACLES = {
  s AS (SELECT *, base + CASE WHEN want = cc THEN 1000000 ELSE 0 END AS score FROM k), u AS (SELECT *, row_number() OVER (PARTITION BY qid, fid ORDER BY start) AS own FROM s),
  v AS (SELECT *, count(*) OVER (PARTITION BY qid ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longer FROM u WHERE own = 1), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fid) AS rank FROM v WHERE longer < 6)
  SELECT qid, rank::INT AS rank, fid, score::BIGINT AS score, what, place, array_to_string(list_filter([name, tail[1], CASE WHEN want IS NULL OR want <> cc THEN cc END], lambda x: x IS NOT NULL), ', ') AS display_name, fids FROM r WHERE rank <= 3""",
-    "score_profiles": GAZ + f""", p AS (SELECT *, {_meters('lat', 'lng', '10.0', '20.0')} AS m, {_ORD} AS ord FROM f), q AS (SELECT *, CASE WHEN woe = 22 THEN 50000000 ELSE 0 END - 5000 - ord AS base, CASE WHEN cc = 'AF' THEN 1000000 ELSE 0 END AS hint, CASE WHEN cc <> 'AF' THEN -100000000 ELSE 0 END AS miss, {_DIST.replace('FAR', '-100000')} AS dc, {_DIST.replace('FAR', '-m')} AS du FROM p)
- SELECT fid, (base + population + hint + dc)::BIGINT AS geocode, (base + trunc(population * 0.1::DOUBLE) + hint * 10 + dc)::BIGINT AS "default", (base + trunc(population * 0.1::DOUBLE) - 100000000 + hint * 10)::BIGINT AS world_city, (base + trunc(population * 0.001::DOUBLE) + hint * 10 + du)::BIGINT AS local, (base + population + trunc(hint * 0.001::DOUBLE) + trunc(dc * 0.0001::DOUBLE))::BIGINT AS "global", (base + dc)::BIGINT AS strict_local, (base + population + miss)::BIGINT AS in_country FROM q""",
+    "score_profiles": GAZ + f""", {_VARIED}, p AS (SELECT *, {_meters('lat', 'lng', '10.0', '20.0')} AS m FROM v), q AS (SELECT *, {_BASE} AS base, CASE WHEN cc = 'AF' THEN CASE WHEN woe = 11 THEN 11000000 ELSE 1000000 END ELSE 0 END AS hint, CASE WHEN cc <> 'AF' THEN -100000000 ELSE 0 END AS miss, {_DIST.replace('FAR', '-100000')} AS dc, {_DIST.replace('FAR', '-m')} AS du, CASE WHEN woe = 14 THEN -50000000 ELSE 0 END AS air, CASE WHEN world THEN 0 ELSE -100000000 END AS small_city FROM p)
+ SELECT fid, (base + population + hint + dc + boost)::BIGINT AS geocode, (base + trunc(population * 0.1::DOUBLE) + hint * 10 + dc + trunc(boost * 0.001::DOUBLE) + air)::BIGINT AS "default", (base + trunc(population * 0.1::DOUBLE) + small_city + hint * 10 + trunc(boost * 0.001::DOUBLE) + air)::BIGINT AS world_city, (base + trunc(population * 0.001::DOUBLE) + hint * 10 + du + trunc(boost * 0.00001::DOUBLE) + air)::BIGINT AS local, (base + population + trunc(hint * 0.001::DOUBLE) + trunc(dc * 0.0001::DOUBLE) + boost + air)::BIGINT AS "global", (base + dc + air)::BIGINT AS strict_local, (base + population + miss + boost + air)::BIGINT AS in_country FROM q""",
+    "bounds_distance": GAZ + f""", {_VARIED}, o AS (SELECT *, lat + CASE key % 4 WHEN 1 THEN 0.75::DOUBLE WHEN 2 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS y, CASE WHEN key % 4 = 3 THEN 20.0::DOUBLE ELSE 0.7::DOUBLE END AS h FROM v),
+ w AS (SELECT *, y - h AS s, y + h AS n, lng - h AS west, lng + h AS e FROM o), z AS (SELECT *, (s + n) / 2 AS cy, CASE WHEN (west + e) / 2 > 180 THEN (west + e) / 2 - 360 ELSE (west + e) / 2 END AS cx FROM w),
+ p AS (SELECT *, {_meters('lat', 'lng', 'cy', 'cx')} AS m, {_meters('s', 'west', 'n', 'e')} < 200000 AND (lat BETWEEN s AND n OR (has_box AND s <= lat + 0.1::DOUBLE AND lat - 0.1::DOUBLE <= n)) AS near FROM z),
+ q AS (SELECT *, {_BASE_ALONE} AS base, CASE WHEN near THEN CASE WHEN woe = 22 THEN 5000000 ELSE 2000000 END ELSE {_DIST.replace('FAR', '-100000')} END AS dc, CASE WHEN near THEN CASE WHEN woe = 22 THEN 5000000 ELSE 2000000 END ELSE {_DIST.replace('FAR', '-m')} END AS du, CASE WHEN woe = 14 THEN -50000000 ELSE 0 END AS air FROM p)
+ SELECT fid, (base + population + dc + boost)::BIGINT AS score, (base + trunc(population * 0.001::DOUBLE) + du + trunc(boost * 0.00001::DOUBLE) + air)::BIGINT AS local FROM q""",
+    "dedupe_interpretations": """WITH RECURSIVE p AS (SELECT substr(p_brand, 7, 5)::BIGINT AS qid, p_brand, (6::BIGINT << 56) + p_partkey AS fid, lower(p_name) AS label, floor(p_retailprice)::BIGINT AS population, p_partkey % 3 = 2 AS hinted, p_partkey % 4 = 0 AS alias, p_partkey % 5 = 0 AS poly, CASE p_partkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 3 END AS ord, ((p_partkey % 40)::DOUBLE * 0.1::DOUBLE - 2) / 0.15::DOUBLE AS fy, ((p_partkey % 7)::DOUBLE * 0.13::DOUBLE - 0.4::DOUBLE) / 0.15::DOUBLE AS fx FROM part),
+ ranked AS (SELECT *, trunc(fy)::BIGINT AS y, trunc(fx)::BIGINT AS x, row_number() OVER (PARTITION BY qid ORDER BY population DESC, fid) AS rank FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY rank) AS n FROM ranked),
+ laid AS (SELECT qid, label, n, rank, [y, x] AS b, [[y, x]] AS taken FROM o WHERE n = 1
+  UNION ALL SELECT qid, label, n, rank, c[1], list_append(taken, c[1]) FROM (SELECT o.qid, o.label, o.n, o.rank, l.taken, list_append(list_filter([[y, x], [y, x - 1], [y, x + 1], [y - 1, x], [y - 1, x - 1], [y - 1, x + 1], [y + 1, x], [y + 1, x - 1], [y + 1, x + 1]], lambda z: list_contains(l.taken, z)), [y, x]) AS c FROM laid l JOIN o ON o.qid = l.qid AND o.label = l.label AND o.n = l.n + 1)),
+ best AS (SELECT ranked.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY ranked.qid, ranked.label, laid.b) AS merged FROM ranked JOIN laid USING (qid, label, rank) WINDOW w AS (PARTITION BY ranked.qid, ranked.label, laid.b ORDER BY hinted DESC, alias, poly DESC, ord, rank))
+ SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY rank))::INT AS rank, fid, merged::INT AS n FROM best WHERE k = 1""",
+    "request_filters": GAZ + f""", {_REQ}, n2 AS (SELECT fid, name, cc, woe, population, parents, lat, lng, {_normal('name')} AS nn FROM f), d AS (SELECT qid, town, division, want, n2.* FROM req JOIN n2 ON nn = division), t AS (SELECT d.qid, d.want, x.fid, x.cc, x.population, x.lat, x.lng FROM d JOIN n2 x ON x.nn = d.town AND x.cc = d.cc AND list_contains(x.parents, d.fid)),
+ k AS (SELECT qid, want, fid, population - 5000 - 7 AS base, cc, 8 AS woe, lat, lng, 3 AS start FROM d UNION ALL SELECT qid, want, fid, population - 10000 - 4 - 7, cc, 7, lat, lng, 1 FROM t),
+ m AS (SELECT *, {_meters('lat', 'lng', '-40.0', '0.0')} AS m FROM k WHERE CASE qid % 4 WHEN 1 THEN woe = 7 WHEN 2 THEN fid >> 56 = 1 WHEN 3 THEN lat BETWEEN -80 AND 0 AND (want IS NULL OR cc = want) ELSE true END),
+ s AS (SELECT *, base + CASE WHEN want = cc THEN 1000000 ELSE 0 END + CASE WHEN qid % 4 = 3 THEN {_DIST.replace('FAR', '-100000')} ELSE 0 END AS score FROM m), u AS (SELECT *, row_number() OVER (PARTITION BY qid, fid ORDER BY start) AS own FROM s),
+ v AS (SELECT *, count(*) OVER (PARTITION BY qid ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longer FROM u WHERE own = 1), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fid) AS rank FROM v WHERE longer < 6) SELECT qid, rank::INT AS rank, fid, score::BIGINT AS score FROM r WHERE rank <= 3""",
+    "request_parse": """SELECT c_custkey AS qid, c_name || ' x' AS query, 1.5::DOUBLE AS lat, c_nationkey::DOUBLE AS lng, '7,22' AS hints, 30::DOUBLE AS radius, nullif(c_nationkey, 0)::INT AS max_interpretations, 'osm,tgn' AS sources, 'ALL_NAMES,PARENTS' AS includes, CASE WHEN c_nationkey % 2 = 0 THEN 'local' ELSE 'balanced' END AS bias, CASE WHEN c_nationkey % 2 = 0 THEN 'autocomplete' ELSE 'slug' END AS mode, CASE WHEN c_custkey % 2 = 0 THEN 1::DOUBLE END AS west FROM customer""",
+    "primary_promotion": """SELECT (3::BIGINT << 56) + c_custkey AS fid, c_name AS name, 'en' AS lang, CASE WHEN c_custkey % 5 = 3 THEN 0 ELSE 1 END AS flags FROM customer
+ UNION ALL SELECT (3::BIGINT << 56) + c_custkey, c_name, 'en', 0 FROM customer WHERE c_custkey % 5 = 2 UNION ALL SELECT (3::BIGINT << 56) + c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 = 3 THEN 'en' ELSE 'fr' END, CASE WHEN c_custkey % 5 = 3 THEN 1 ELSE 0 END FROM customer WHERE c_custkey % 5 > 2""",
+    "reverse_geocode_boxes": GAZ + """, b AS (SELECT *, CASE WHEN woe = 7 THEN 0.33 ELSE 21.07 END AS h FROM f WHERE woe IN (7, 8)), i AS (SELECT p.fid AS qid, b.fid, b.woe, CASE b.fid >> 56 WHEN 3 THEN 2 WHEN 1 THEN 3 WHEN 5 THEN 0 END AS quality FROM f p JOIN b ON p.woe IN (20, 22) AND abs(p.lat - b.lat) < h AND least(abs(p.lng - b.lng), 360 - abs(p.lng - b.lng)) < h),
+ r AS (SELECT qid, fid, row_number() OVER (PARTITION BY qid ORDER BY CASE woe WHEN 7 THEN 4 ELSE 7 END, quality DESC, fid) AS rank FROM i) SELECT qid, rank::INT AS rank, fid FROM r WHERE rank <= 5""",
+    "slug_assign": GAZ + """, b AS (SELECT *, replace(regexp_replace(lower(name), '[^a-z0-9 /-]', '', 'g'), ' ', '-') AS base FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY population DESC, fid) AS n FROM b),
+ t AS (SELECT *, row_number() OVER (PARTITION BY n > 1, base, cc ORDER BY population DESC, fid) AS m FROM o) SELECT fid, CASE WHEN n = 1 THEN base WHEN m = 1 THEN base || '-' || lower(cc) ELSE base || '-' || lower(cc) || '-' || woe || '-' || (fid & 72057594037927935) END AS slug FROM t""",
+    "highlight_names": "SELECT c_custkey, '<b>' || left(c_name, 11) || '</b>' || substr(c_name, 12) AS marked FROM customer",
+    "autocomplete_requests": GAZ + f""", ask AS (SELECT c_custkey AS qid, {_normal('left(c_name, length(c_name) - 1)')} AS prefix FROM customer), n2 AS (SELECT fid, name, cc, population, {_normal('name')} AS nn FROM f WHERE woe NOT IN (8, 12, 29)),
+ t0 AS (SELECT qid, fid, name, CASE WHEN cc = 'AF' THEN 1000000 ELSE 0 END AS hint, CASE WHEN cc = 'AF' THEN 0 ELSE -100000000 END AS miss, population, -5000 - 4 AS base, NULL::INT AS grp, NULL::BIGINT AS score FROM ask JOIN n2 ON starts_with(nn, prefix)){_rankers()}
+ , last AS (SELECT qid, fid, name, coalesce(grp, {len(_RANKERS)}) AS grp, coalesce(score, base + trunc(population * 0.1::DOUBLE)::BIGINT + hint * 10) AS score FROM t{len(_RANKERS)}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grp, score DESC, fid) AS rank FROM last) SELECT qid, rank::INT AS rank, fid, score::BIGINT AS score, name FROM r WHERE rank <= 3""",
+    "s2_cells": GAZ + f""", a AS (SELECT fid, radians(lat + 0.0137::DOUBLE) AS phi, radians(lng + 0.0171::DOUBLE) AS theta FROM f), b AS (SELECT fid, cos(phi) * cos(theta) AS x, cos(phi) * sin(theta) AS y, sin(phi) AS z FROM a),
+ c AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END WHEN abs(y) >= abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END AS face FROM b),
+ e AS (SELECT fid, face, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u, CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v FROM c),
+ h0 AS (SELECT fid, face, {_st('u')} AS i, {_st('v')} AS j, 0::BIGINT AS pos, face & 1 AS turn FROM e){_curve(12)},
+ k AS (SELECT fid, face::HUGEINT * 2305843009213693952 + pos::HUGEINT * 137438953472 + 68719476736 AS id FROM h12), s AS (SELECT fid, (CASE WHEN id >= 9223372036854775808 THEN id - 18446744073709551616 ELSE id END)::BIGINT AS cell FROM k) SELECT fid, cell, (cell & -17592186044416) | 17592186044416 AS parent FROM s""",
     "dedupe_by_primary": """WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity DESC, l_linenumber, l_suppkey) AS n FROM lineitem), b AS (SELECT l_orderkey, l_partkey, l_quantity::BIGINT AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey)::INT AS rank FROM a WHERE n = 1) SELECT l_orderkey, rank, l_partkey, score FROM b WHERE rank <= 3""",
     "ambiguous_names": GAZ + " SELECT fid, n FROM (SELECT fid, count(*) OVER (PARTITION BY cc, lower(name)) AS n FROM f) WHERE n > 1",
     "distance_buckets": GAZ + f""", r AS (SELECT a.fid AS a, least(20, {_meters('a.lat', 'a.lng', 'b.lat', 'b.lng')} // 1000000)::BIGINT AS bucket, {_miles('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS miles FROM f a JOIN f b ON a.woe = 8 AND b.woe = 7 AND a.parents[1] = b.parents[2]) SELECT a, bucket, count(*) AS n, floor(max(miles))::BIGINT AS miles FROM r GROUP BY 1, 2""",
@@ -111,16 +176,16 @@ ORACLES = {
  c AS (SELECT c_custkey AS qid, CASE WHEN c_custkey % 3 = 0 THEN regexp_replace(lower(c_name), '[ #]', '-', 'g') WHEN c_custkey % 3 = 1 THEN 'adhoc:' || c_custkey::VARCHAR ELSE 'no-such-place' END AS key FROM customer)
  SELECT qid, c.key, CASE WHEN m.fid IS NOT NULL THEN m.fid WHEN starts_with(c.key, 'adhoc:') THEN (3::BIGINT << 56) + qid END AS fid FROM c LEFT JOIN m ON c.key = m.key""",
     "semi_join_notable": "SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)",
-    "eval_diff_counts": """WITH l AS (SELECT l_orderkey, l_partkey, max(l_quantity) AS q, max(l_discount) AS x FROM lineitem GROUP BY 1, 2), a AS (SELECT l_orderkey, arg_max(l_partkey, {'q': q, 'p': l_partkey}) AS old FROM l WHERE l_orderkey % 10 <> 0 GROUP BY 1), b AS (SELECT l_orderkey, arg_max(l_partkey, {'x': x, 'p': l_partkey}) AS new FROM l WHERE l_orderkey % 11 <> 0 GROUP BY 1),
+    "eval_diff_counts": """WITH l AS (SELECT l_orderkey, l_partkey, max(l_quantity) AS q, max(l_discount) AS x FROM lineitem GROUP BY 1, 2), a AS (SELECT l_orderkey, arg_max(l_partkey, {'q': q, 'p': l_partkey}) AS old FROM l WHERE q IS NOT NULL GROUP BY 1), b AS (SELECT l_orderkey, arg_max(l_partkey, {'x': x, 'p': l_partkey}) AS new FROM l WHERE x IS NOT NULL GROUP BY 1),
  c AS (SELECT old, new, CASE WHEN old IS NULL THEN 'geocoded more' WHEN new IS NULL THEN 'geocoded less' WHEN old = new THEN 'same' ELSE 'changed' END AS outcome FROM a FULL JOIN b USING (l_orderkey)) SELECT outcome, count(*) AS n, count(DISTINCT CASE WHEN old IS NOT NULL AND new IS NOT NULL THEN old::VARCHAR || '-' || new::VARCHAR END) AS pairs FROM c GROUP BY 1""",
     "missing_parents": GAZ + " SELECT DISTINCT x AS fid FROM (SELECT unnest(parents) AS x FROM f WHERE woe = 7) WHERE x NOT IN (SELECT (1::BIGINT << 56) + s_nationkey FROM supplier WHERE s_acctbal > 5000)",
-    "order_keys": "SELECT l_suppkey, n::INT AS n, cell FROM (SELECT l_suppkey, cell, row_number() OVER (PARTITION BY l_suppkey ORDER BY cell < 0, cell) AS n FROM (SELECT DISTINCT l_suppkey, (l_orderkey - 5000) * 7 + l_linenumber AS cell FROM lineitem)) WHERE n <= 20",
+    "order_keys": "SELECT l_suppkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY cell < 0, cell))::INT AS n, cell FROM (SELECT DISTINCT l_suppkey, (l_orderkey - 5000) * 7 + l_linenumber AS cell FROM lineitem)",
     "list_edits": GAZ + """, t AS (SELECT fid, parents, fid & 72057594037927935 AS k FROM f WHERE woe = 7), v AS (SELECT *, parents[k % 2 + 1] AS v FROM t), e AS (SELECT *, CASE k % 3 WHEN 0 THEN list_append(list_filter(parents, lambda x: x <> v), v) WHEN 1 THEN list_filter(parents, lambda x: x <> v) ELSE parents END AS l FROM v)
  SELECT fid, array_to_string(l, ',') AS parents, len(l) = 0 AS emptied FROM e""",
     "concordances": GAZ + " SELECT f.fid, f.fid::VARCHAR || coalesce(',' || string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS ids FROM f LEFT JOIN supplier ON (1::BIGINT << 56) + s_nationkey = f.fid WHERE woe = 8 GROUP BY f.fid",
-    "slug_join": GAZ + """, o AS (SELECT (3::BIGINT << 56) + o_custkey AS fid, 's' || o_orderkey AS slug, floor(o_totalprice)::BIGINT AS score, o_orderstatus = 'F' AS gone FROM orders WHERE o_orderkey % 5 = 0), g AS (SELECT fid, string_agg(slug, ',' ORDER BY gone, score DESC, slug) AS slugs FROM o GROUP BY fid)
+    "slug_join": GAZ + """, o AS (SELECT (3::BIGINT << 56) + o_custkey AS fid, 's' || o_orderkey AS slug, floor(o_totalprice)::BIGINT AS score, o_orderstatus = 'F' AS gone FROM orders), g AS (SELECT fid, string_agg(slug, ',' ORDER BY gone, score DESC, slug) AS slugs FROM o GROUP BY fid)
  SELECT f.fid, string_split(slugs, ',')[1] AS slug, slugs FROM f LEFT JOIN g USING (fid) WHERE woe = 7""",
-    "attribute_join": GAZ + """, a AS (SELECT (6::BIGINT << 56) + l_partkey AS fid, l_linenumber AS s, CASE WHEN l_returnflag = 'R' THEN 1 END AS w FROM lineitem WHERE l_linenumber < 3), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY s, w NULLS FIRST) AS n FROM a) WHERE n = 1)
+    "attribute_join": GAZ + """, a AS (SELECT (6::BIGINT << 56) + l_partkey AS fid, l_linenumber AS s, CASE WHEN l_returnflag = 'R' THEN 1 END AS w FROM lineitem), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY s, w NULLS FIRST) AS n FROM a) WHERE n = 1)
  SELECT f.fid, coalesce(m.s, 20)::INT AS scalerank, m.w::INT AS worldcity FROM f LEFT JOIN m USING (fid) WHERE woe IN (20, 22)""",
     "extract_divisions": """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation), c AS (SELECT *, k % 4 + 1 AS level, CASE WHEN k % 2 = 1 THEN 2 ELSE 1 END AS depth FROM n WHERE k % 4 <> 3)
  SELECT 'US.S' || (k % 5)::VARCHAR || CASE WHEN depth = 2 THEN '.' || k::VARCHAR ELSE '' END AS path, n_name AS name, lower(n_name) AS ascii, k::VARCHAR AS id FROM c WHERE level = depth""",

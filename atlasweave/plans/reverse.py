@@ -21,7 +21,7 @@ from atlasweave import schema as S
 from atlasweave.functions import cover as C
 from atlasweave.functions import geo
 from atlasweave.functions.ids import namespace_order
-from atlasweave.session import cut
+from atlasweave.session import cut, spread
 
 CELLS = "cell bigint, fid bigint, level int, leaf boolean, full boolean, inside boolean, local binary"
 HELD = 500  # geometries that a task keeps parsed
@@ -76,7 +76,7 @@ CELL_NAMES = [c.split()[0] for c in CELLS.split(", ")]
 def cell_index(polygons: DataFrame, levels: tuple[int, ...] = S.REVGEO_LEVELS, most: int = S.REVGEO_MAX_CELLS) -> CellIndex:
     """The index of (fid, wkb). Polygons that can't be read or have no part on the globe have no cells."""
     polygons = polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col("wkb").cast("binary").alias("wkb"))
-    return CellIndex(polygons.mapInArrow(_indexed(levels, most), CELLS), polygons)
+    return CellIndex(spread(polygons).mapInArrow(_indexed(levels, most), CELLS), polygons)
 
 
 def coverings(polygons: DataFrame, levels: tuple[int, int] = S.COVER_LEVELS, most: int = S.COVER_MAX_CELLS, interior: bool = False) -> DataFrame:
@@ -97,7 +97,8 @@ def coverings(polygons: DataFrame, levels: tuple[int, int] = S.COVER_LEVELS, mos
             off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["fid", "cells"])
 
-    return polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col("wkb").cast("binary").alias("wkb")).mapInArrow(run, "fid bigint, cells array<bigint>")
+    polygons = polygons.select(F.col("fid").cast("bigint").alias("fid"), F.col("wkb").cast("binary").alias("wkb"))
+    return spread(polygons).mapInArrow(run, "fid bigint, cells array<bigint>")
 
 
 def request_shapes(points: DataFrame) -> DataFrame:
@@ -164,6 +165,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = flat[at]
         mid = np.where(np.diff(off) > 0, off[:-1], 0)
         cx, cy = (flat[mid], flat[mid + 1]) if len(flat) else (x, y)
+        x = x + 360 * np.round((cx - x) / 360)  # a point on the antimeridian may lie in a cell of either side
         odd = np.zeros(b.num_rows, np.int64)
         np.add.at(odd, row, C.crossings(edge[:, :2], edge[:, 2:], x[row], y[row], cx[row], cy[row]))
         keep = b.column(4).to_numpy(zero_copy_only=False) | (b.column(5).to_numpy(zero_copy_only=False) ^ (odd & 1).astype(bool))
@@ -213,10 +215,10 @@ def reverse_geocode(points: DataFrame, index: CellIndex, features: DataFrame, li
     hits = cells.join(leaves, "cell").select("qid", "lat", "lng", "fid", "full", "inside", "local").mapInArrow(_inside, "qid bigint, lat double, lng double, fid bigint")
     hits = hits.distinct().select("*", F.lit(0.0).alias("request_share"), F.lit(0.0).alias("feature_share"))  # parts of a place may share a cell
     shapes = asked.where("kind <> 'point'")
-    laid = shapes.mapInPandas(_shape_cells, "qid bigint, cell bigint, asked boolean")
+    laid = spread(shapes).mapInPandas(_shape_cells, "qid bigint, cell bigint, asked boolean")
     met = laid.join(index.cells.select("cell", "fid", "leaf"), "cell").where("asked OR leaf").select("qid", "fid").distinct()
     met = met.join(shapes, "qid").join(index.polygons, "fid").select("qid", "lat", "lng", "radius", "south", "west", "north", "east", "kind", "fid", "wkb")
-    hits = hits.unionByName(met.mapInPandas(_shares, "qid bigint, lat double, lng double, fid bigint, request_share double, feature_share double"))
+    hits = hits.unionByName(spread(met).mapInPandas(_shares, "qid bigint, lat double, lng double, fid bigint, request_share double, feature_share double"))
     rows = hits.join(features.select("fid", "woe", "boost", "can_geocode", F.col("lat").alias("flat"), F.col("lng").alias("flng")), "fid").where("coalesce(can_geocode, true)")
     far = F.when(F.col("request_share") > 0, geo.distance_meters(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))).otherwise(0)
     order = W.partitionBy("qid").orderBy(geo.woe_order(F.col("woe")), -namespace_order(F.col("fid")), far, -F.col("boost"), -F.col("feature_share"), "fid")
@@ -224,6 +226,31 @@ def reverse_geocode(points: DataFrame, index: CellIndex, features: DataFrame, li
     return (rows.where(F.col("rank") <= limit) if limit else rows).select("qid", "rank", "fid", "request_share", "feature_share")
 
 
+def country_codes(points: DataFrame, index: CellIndex, features: DataFrame) -> DataFrame:
+    """(qid, cc) of (qid, lat, lng): the country whose polygon holds the point, else that of the nearest centre of a place.
+
+    Centres are looked for in the point's cells, from fine to coarse ones; a point in a coarse cell without any has no row.
+    """
+    own = request_shapes(points.select("qid", "lat", "lng")).select("qid", "lat", "lng")
+    countries = features.where(F.col("woe") == S.COUNTRY)
+    inside = reverse_geocode(own, CellIndex(index.cells.join(countries.select("fid"), "fid", "left_semi").select(*index.cells.columns), index.polygons), countries, 1).join(countries.select("fid", "cc"), "fid").select("qid", "cc")
+    rest = cut(own.join(inside, "qid", "left_anti"), "rest")
+    levels = [10, 8, 6, 4, 2]
+    as_cells = lambda df, key: df.where("lat IS NOT NULL AND lng IS NOT NULL AND abs(lat) <= 90").select(F.col(key).alias("qid"), "lat", "lng").mapInArrow(_point_cells(levels), "qid bigint, lat double, lng double, cell bigint")
+    centres = as_cells(features.where("cc IS NOT NULL"), "fid").toDF("fid", "flat", "flng", "cell")
+    asked = as_cells(rest, "qid")
+    held = asked.join(centres.select("cell").distinct(), "cell", "left_semi")
+    finest = held.groupBy("qid", "lat", "lng").agg(F.max_by("cell", _level(F.col("cell"))).alias("cell"))
+    near = finest.join(centres, "cell").select("qid", "fid", geo.distance_meters(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng")).alias("m"))
+    best = near.groupBy("qid").agg(F.min_by("fid", F.struct("m", "fid")).alias("fid"))
+    return inside.unionByName(best.join(features.select("fid", "cc"), "fid").select("qid", "cc"))
+
+
+def _level(cell):
+    """An order of cells by level: the lower the lowest bit, the finer."""
+    return -F.log2((cell.bitwiseAND(-cell)).cast("double"))
+
+
 def bulk_index(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(batch, qid, rank, fid): the distinct places of each bulk request with a position, and each input's positions in order."""
     places = rows.select("batch", "fid").distinct().withColumn("pos", F.row_number().over(W.partitionBy("batch").orderBy("fid")) - 1)

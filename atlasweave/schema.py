@@ -6,6 +6,10 @@ from __future__ import annotations
 UNKNOWN, TOWN, ADMIN1, ADMIN2, ADMIN3, POSTAL_CODE, COUNTRY = 0, 7, 8, 9, 10, 11, 12
 ISLAND, AIRPORT, PARK, POI, SUBURB, CONTINENT = 13, 14, 16, 20, 22, 29
 
+# The names of place types and of the parts of a reply, with their numbers.
+WOE_NAMES = {"UNKNOWN": 0, "TOWN": 7, "ADMIN1": 8, "ADMIN2": 9, "ADMIN3": 10, "POSTAL_CODE": 11, "COUNTRY": 12, "ISLAND": 13, "AIRPORT": 14, "DRAINAGE": 15, "PARK": 16, "POI": 20, "SUBURB": 22, "SPORT": 23, "COLLOQUIAL": 24, "ZONE": 25, "HISTORICAL_STATE": 26, "HISTORICAL_COUNTY": 27, "CONTINENT": 29, "TIMEZONE": 31, "HISTORICAL_TOWN": 35, "STREET": 100}
+INCLUDES = {"EVERYTHING": 0, "PARENTS": 1, "ALL_NAMES": 2, "PARENT_ALL_NAMES": 3, "WKB_GEOMETRY": 4, "WKT_GEOMETRY": 5, "REVGEO_COVERAGE": 6, "DISPLAY_NAME": 7, "WKB_GEOMETRY_SIMPLIFIED": 8, "WKT_GEOMETRY_SIMPLIFIED": 9, "S2_COVERING": 10, "S2_INTERIOR": 11}
+
 #: From specific to general; a type that isn't listed sorts before all as an ordering (-1) and after all when compared.
 SPECIFIC_TO_GENERAL = [POSTAL_CODE, AIRPORT, POI, SUBURB, TOWN, ADMIN3, ADMIN2, ADMIN1, COUNTRY]
 
@@ -34,7 +38,14 @@ FEATURES = "fid bigint, cc string, woe int, lat double, lng double, population b
 NAMES = "fid bigint, name string, lang string, flags int"
 REQUESTS = "qid bigint, query string, cc string, lang string, lat double, lng double, woe_hint array<int>, max_interpretations int"
 
-#: Multipliers of scoring terms by profile; a term that isn't named has 0.
+_BOX = "struct<south:double,west:double,north:double,east:double>"
+#: Columns that features may have besides FEATURES: bounds, whether it is a world city, its ids at other sources as ``source:id``.
+FEATURE_OPTIONS = {"box": _BOX, "world_city": "boolean", "other_ids": "array<string>"}
+#: Columns that requests may have besides REQUESTS. Bounds go before lat and lng; strict keeps places inside of the request's
+#: bounds or circle and in its country alone; autocomplete and slug choose how a request is answered.
+REQUEST_OPTIONS = {"bounds": _BOX, "radius": "double", "strict": "boolean", "woe_restrict": "array<int>", "allowed_sources": "array<string>", "autocomplete": "boolean", "bias": "string", "slug": "string", "includes": "array<string>"}
+
+# Multipliers of scoring terms by profile; a term that isn't named has 0.
 PROFILES = {
     "geocode": {"population": 1.0, "country_hint": 1.0, "distance_clamped": 1.0, "boost": 1.0},
     "default": {"population": 0.1, "country_hint": 10.0, "distance_clamped": 1.0, "boost": 0.001, "airport": 1.0},

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a side table is broadcast after counting it.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
@@ -30,6 +30,17 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it has fewer: for rows that cost much more than their move."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def with_columns(df: DataFrame, options: dict[str, str]) -> DataFrame:
+    """df with the given columns, null where it hasn't them."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in options.items() if c not in df.columns})
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

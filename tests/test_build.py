@@ -60,3 +60,51 @@ def test_slug_templates(spark):
     assert {s for f, s in got if f == 1} == {"rego-park-new-york", "rego-park-new-york-united-states", "rego-park-united-states"}
     assert {s for f, s in got if f == 2} == {"france"} and {s for f, s in got if f == 3} == {"france/ile", "ile-france"}
     assert got[1, "rego-park-new-york"] < got[1, "rego-park-united-states"] and df.select(F.size("kin")).count() == 3
+
+
+def test_build_reads_every_kind_of_file(spark, tmp_path):
+    """Boxes, attributes, concordances, known slugs, and what places carry themselves; then all lookup tables."""
+    from atlasweave.plans.build import write_indexes
+
+    square = geo.write_text([[np.array([[-73.9, 40.7], [-73.8, 40.7], [-73.8, 40.8], [-73.9, 40.8], [-73.9, 40.7]])]])
+    files = {
+        "places": put(tmp_path, "p", place(1, "United States", 40, -100, "A", "PCLI", ""), place(2, "New York", 43, -75, "A", "ADM1"), place(3, "Rego Park", 40.72, -73.86, "P", "PPL", population=500012) + f"\tgeometry;{square}\tbbox;-73.9,40.7,-73.8,40.8", place(5, "Other Town", 41, -75, "P", "PPL", population=9)),
+        "admin": put(tmp_path, "a", "US.NY\tNew York\tNew York\t2"), "countries": put(tmp_path, "c", "\t".join(["US", "USA", "840", "US", "United States of America"] + [""] * 10 + ["en-US,es", "1", "", ""])),
+        "names": put(tmp_path, "n", "1\t3\ten\tRegoville\t1", "2\t1\tfr\tÉtats-Unis"), "boxes": put(tmp_path, "bb", "5\t-75.1\t40.9\t-74.9\t41.1"), "attributes": put(tmp_path, "at", "3\t0\t1\t1\t1\t1"), "concordances": put(tmp_path, "co", "3|woeid:77"),
+        "slugs": put(tmp_path, "sl", "old-town\t5\t1\tfalse", "gone\t3\t1\ttrue"),
+    }
+    store, index = build(spark, files)
+    rows = {r["fid"] - NS: r for r in store.features.collect()}
+    assert rows[3]["has_poly"] and rows[3]["world_city"] and rows[3]["box"]["south"] == 40.7 and rows[5]["box"]["west"] == -75.1 and not rows[5]["world_city"] and rows[1]["box"] is None
+    assert rows[3]["other_ids"] == ["woeid:77"] and rows[5]["other_ids"] == []
+    flags = {(r["fid"] - NS, r["name"]): r["flags"] for r in store.names.collect()}
+    assert not flags[3, "Rego Park"] & S.PREFERRED and flags[3, "Regoville"] & S.PREFERRED and flags[1, "United States of America"] & S.COLLOQUIAL and flags[1, "United States"] & S.PREFERRED
+    slugs = {r["fid"] - NS: r["slug"] for r in store.slugs.collect()}
+    assert slugs[5] == "old-town" and slugs[3].startswith("regoville-") and set(slugs) == {1, 2, 3, 5}
+    path = str(tmp_path / "indexes")
+    for name in write_indexes(store.written(), index, path):
+        assert spark.read.parquet(f"{path}/{name}").count() > 0, name
+    keys = {r["key"]: r["fid"] - NS for r in spark.read.parquet(f"{path}/ids").collect()}
+    assert keys["old-town"] == 5 and keys[str((4 << 56) + 77)] == 3
+    inside = spark.read.parquet(f"{path}/interiors").collect()
+    assert [r["fid"] - NS for r in inside] == [3] and len(inside[0]["cells"]) > 10
+
+
+def test_index_deltas(spark):
+    from atlasweave.operators import indexes
+    from atlasweave.plans.geocode import Store
+    from atlasweave.streaming.hotfix import index_deltas
+
+    f = spark.createDataFrame([(NS + k, "US", S.TOWN, 5.0, 6.0, 100 - k, 0, [], [], False, True) for k in range(6)], S.FEATURES)
+    n = spark.createDataFrame([(NS + k, name, "en", S.PREFERRED, 0) for k, name in enumerate(["Alpha", "Alphabet", "Beta", "Beta", "Gamma", "Delta"])], S.NAMES + ", pos int")
+    store = Store.of(f, n)
+    changed = spark.createDataFrame([(NS + 2, "US", S.TOWN, 5.0, 6.0, 1, 0, [], [], False, True), (NS + 9, "US", S.TOWN, 5.0, 6.0, 500, 0, [], [], False, True)], S.FEATURES)
+    deleted = spark.createDataFrame([(NS + 4,)], "fid bigint")
+    names = spark.createDataFrame([(NS + 2, "Alps", "en", S.PREFERRED, 0), (NS + 9, "Alpha", "en", S.PREFERRED, 0)], S.NAMES + ", pos int")
+    after = store.with_edits(changed, deleted, names)
+    whole = {"names": indexes.name_index, "prefixes": indexes.prefix_index}
+    for name, (gone, come) in index_deltas(store, after, changed, deleted).items():
+        rows = lambda df: {tuple(map(str, r)) for r in df.collect()}
+        before, now = rows(whole[name](store.names, store.features)), rows(whole[name](after.names, after.features))
+        assert (before - rows(gone)) | rows(come) == now and before != now
+        assert not any("delt" in x for r in rows(come) for x in r)

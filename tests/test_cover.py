@@ -93,16 +93,18 @@ def test_reverse_geocode_agrees_with_whole_polygons(spark):
     shapes = {NS + k: s for k, s in enumerate(SHAPES.values())}
     rng = np.random.default_rng(4)
     points = [(k, float(y), float(x)) for k, (x, y) in enumerate(zip(rng.uniform(-180, 180, 600), np.degrees(np.arcsin(rng.uniform(-1, 1, 600)))))]
-    points += [(1000 + k, float(y), float(x)) for k, (x, y) in enumerate(zip(rng.uniform(-2, 34, 600), rng.uniform(-2, 58, 600)))] + [(5000, 0.5, 180.0), (5001, 0.5, -180.0), (5002, 90.0, 12.0)]
+    points += [(1000 + k, float(y), float(x)) for k, (x, y) in enumerate(zip(rng.uniform(-2, 34, 600), rng.uniform(-2, 58, 600)))] + [(5000, 0.5, 180.0), (5001, 0.5, -180.0), (5002, 90.0, 12.0), (5003, 85.0, -180.0), (5004, 85.0, 180.0)]
     places = spark.createDataFrame([(f, "US", S.TOWN, 0.0, 0.0, 1, 0, [], [], True, True) for f in shapes], S.FEATURES)
     table = spark.createDataFrame([(f, geo.write_wkb(s)) for f, s in shapes.items()] + [(NS + 99, b"bad"), (NS + 98, None)], "fid bigint, wkb binary")
     index = reverse.cell_index(table).written()
     got = {}
     for r in reverse.reverse_geocode(spark.createDataFrame(points, "qid bigint, lat double, lng double"), index, places).collect():
         got.setdefault(r["qid"], set()).add(r["fid"])
-    for k, y, x in points[:-3]:
+    for k, y, x in points[:-5]:
         want = {f for f, s in shapes.items() if any(geo.contains(s, [x + t], [y])[0] for t in (0, 360, -360))}
         assert got.get(k, set()) == want, k
+    # on the antimeridian, where shapes end or go on
+    assert {list(SHAPES)[f - NS] for f in got[5000]} >= {"beyond it"} and got[5000] == got[5001] and got[5003] == got[5004]
     # boxes: over the antimeridian, inside, and together with a radius
     asked = [(1, None, None, None, -5.0, 175.0, 5.0, -175.0), (2, None, None, None, 4.0, 4.0, 5.0, 5.0), (3, 1.0, 1.0, 10.0, 0.0, 0.0, 1.0, 1.0), (4, 5.0, 5.0, None, 1.0, 1.0, 2.0, 2.0), (5, 5.0, 5.0, None, 2.0, 1.0, 1.0, 2.0)]
     rows = reverse.reverse_geocode(spark.createDataFrame(asked, "qid bigint, lat double, lng double, radius double, south double, west double, north double, east double"), index, places).collect()
@@ -118,3 +120,11 @@ def test_coverings_of_bad_shapes(spark):
     assert got[1] == got[3] == [] and 4 <= len(got[2]) <= 50 and 4 <= len(got[4]) <= 50
     inner = {r["fid"]: r["cells"] for r in reverse.coverings(df, S.INTERIOR_LEVELS, S.INTERIOR_MAX_CELLS, interior=True).collect()}
     assert inner[1] == [] and 10 < len(inner[2]) <= 100
+
+
+def test_country_codes(spark):
+    rows = [(NS + 1, "AA", S.COUNTRY, 5.0, 5.0, 1, 0, [], [], True, True), (NS + 2, "BB", S.TOWN, 20.0, 20.0, 1, 0, [], [], False, True), (NS + 3, "CC", S.TOWN, 20.0, 21.0, 1, 0, [], [], False, True)]
+    places = spark.createDataFrame(rows, S.FEATURES)
+    index = reverse.cell_index(spark.createDataFrame([(NS + 1, geo.write_wkb(box(0, 0, 10, 10)))], "fid bigint, wkb binary")).written()
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, 20.01, 20.01), (3, 20.02, 20.98), (4, 91.0, 0.0), (5, None, 1.0)], "qid bigint, lat double, lng double")
+    assert dict(map(tuple, reverse.country_codes(points, index, places).collect())) == {1: "AA", 2: "BB", 3: "CC"}

@@ -117,3 +117,58 @@ def test_short_prefixes(spark):
     q = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "")], "qid bigint, prefix string")
     got = {(r["qid"], r["fid"]) for r in indexes.prefix_lookup(q, rows).collect()}
     assert got == {(1, 1), (1, 3), (2, 2), (2, 3)}
+
+
+def test_slugs_go_on_until_all_have_one(spark):
+    """More places than rounds of old, all with the same few options; known slugs stay."""
+    c = [(k, o, s, 1000 - k) for k in range(30) for o, s in enumerate(["a", "a-b"])]
+    df = spark.createDataFrame(c, "fid bigint, option int, slug string, score bigint")
+    got = dict(map(tuple, indexes.assign_slugs(df).collect()))
+    assert len(got) == 30 and len(set(got.values())) == 30 and got[0] == "a" and got[1] == "a-b" and got[2] == "a-b-2" and got[29] == "a-b-29"
+    kept = dict(map(tuple, indexes.assign_slugs(df, spark.createDataFrame([("a", 7), ("old", 8), ("a-b", 99)], "slug string, fid bigint")).collect()))
+    assert kept[7] == "a" and kept[8] == "old" and kept[99] == "a-b" and len(kept) == 31 and len(set(kept.values())) == 31 and kept[0] == "a-b-2"
+    f = spark.createDataFrame([(1, 0, 0, False, S.TOWN), (2, 5, 0, False, S.TOWN), (3, 0, 1, False, S.POI), (4, 0, 0, True, S.POI), (5, 0, 0, False, S.ADMIN2)], "fid bigint, population bigint, boost bigint, has_poly boolean, woe int")
+    assert {r["fid"] for r in indexes.slug_eligible(f).collect()} == {2, 3, 4, 5}
+
+
+def test_edits_of_all_fields(spark):
+    from atlasweave.functions.geo import read_wkb, write_text
+
+    schema = "fid bigint, cc string, woe int, population bigint, parents array<bigint>, urls array<string>, box struct<south:double,north:double>, wkb binary, has_poly boolean, source string, slug string"
+    f = spark.createDataFrame([(1, "US", 7, 5, [1, 2], None, (0.0, 1.0), None, False, "x", None), (2, "US", 7, 5, [1, 2], ["a"], None, b"w", True, "x", "s"), (3, "US", 7, 5, [1, 2], ["a"], None, b"w", True, "x", "s")], schema)
+    square = "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))"
+    e = spark.createDataFrame(
+        [
+            (1, 1, "Modify", "FR", None, [("Add", 9), ("Remove", 1)], [("Add", "u")], (None, 5.0), square, "new"), (1, 2, "Modify", None, 8, [("Add", 2)], None, None, None, None), (1, 3, "NoOp", "XX", 99, None, None, None, "", None),
+            (2, 1, "Modify", None, None, None, [("Remove", "a")], (3.0, None), "", None), (3, 1, "Modify", "DE", None, None, None, None, "POLYGON ((bad", None),
+        ],
+        "fid bigint, seq bigint, kind string, cc string, woe int, parents_edits array<struct<kind:string,value:bigint>>, urls_edits array<struct<kind:string,value:string>>, box struct<south:double,north:double>, geometry string, slug string",
+    )
+    got = {r["fid"]: r for r in enrich.apply_edits(f, e).collect()}
+    assert tuple(got[1])[1:7] == ("FR", 8, 5, [9, 2], ["u"], (0.0, 5.0)) and got[1]["has_poly"] and got[1]["source"] == "index-build-override" and got[1]["slug"] == "new"
+    assert write_text(read_wkb(bytes(got[1]["wkb"]))) == square
+    assert tuple(got[2])[3:8] == (5, [1, 2], [], (3.0, None), None) and got[2]["has_poly"] is False and got[2]["slug"] == "s"
+    assert got[3]["cc"] == "DE" and bytes(got[3]["wkb"]) == b"w" and got[3]["has_poly"]
+    assert enrich.apply_edits(f, e.limit(0)).count() == 3
+
+
+def test_geometry_text():
+    for text in ("POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"):
+        assert geo.write_text(geo.read_text(text)) == text
+    assert geo.read_text("point(3 -4e1)")[0][0].tolist() == [[3, -40]] and len(geo.read_text("LINESTRING (0 0, 1 1, 2 2)")[0][0]) == 3
+    assert geo.read_text('{"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}')[0][0].shape == (4, 2)
+    assert geo.read_text('{"type": "Point", "coordinates": [3, 4, 5]}')[0][0].tolist() == [[3, 4]]
+    for bad in ("", None, "POLYGON", "POLYGON ((0 0, 1", "CIRCLE (0 0)", "{}", '{"type": "Polygon"}', "POLYGON ((a b, c d))"):
+        assert geo.read_text(bad) == []
+
+
+def test_boxes_meet(spark):
+    b = lambda s, w, n, e: F.struct(*(F.lit(float(v)).alias(k) for k, v in zip(("south", "west", "north", "east"), (s, w, n, e))))
+    r = one(spark, a=geo.boxes_meet(b(0, 0, 2, 2), b(1, 1, 3, 3)), b=geo.boxes_meet(b(0, 0, 2, 2), b(1, 3, 3, 4)), c=geo.boxes_meet(b(0, 170, 2, -170), b(1, 175, 3, 176)), d=geo.boxes_meet(b(0, 175, 2, 176), b(1, 170, 3, -170)), e=geo.boxes_meet(b(0, 0, 2, 2), b(3, 0, 4, 2)), m=geo.middle(b(0, 170, 2, -160)), w=geo.box_wkt(b(0, 1, 2, 3)))
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"]) == (True, False, True, True, False) and (r["m"]["lat"], r["m"]["lng"]) == (1, -175)
+    assert geo.read_text(r["w"])[0][0][0].tolist() == [1, 0]
+
+
+def test_letters_and_languages(spark):
+    r = one(spark, a=names.transliterate(F.lit("Москва, Щёлково")), b=names.transliterate(F.lit("Αθηνα Theta")), c=names.language_of(F.lit("plain")), d=names.language_of(F.lit("Kœln")))
+    assert (r["a"], r["b"], r["c"], r["d"]) == ("Moskva, Shchyolkovo", "Athina Theta", "en", "unk")

@@ -93,3 +93,112 @@ def test_completion(spark, rego):
     assert got[5][0][0] == 4
     one = autocomplete(df.where("qid = 1"), st, "global").orderBy("rank").collect()
     assert one[0]["fid"] - NS == 2
+
+
+def options(spark, st, query, **kw):
+    """A request with any of the optional columns."""
+    from pyspark.sql import types as T
+
+    kinds = {**{c.split()[0]: c.split()[1] for c in S.REQUESTS.split(", ")}, **S.REQUEST_OPTIONS}
+    row = {"qid": 1, "query": query, "lang": "en", "max_interpretations": 5, **kw}
+    return spark.createDataFrame([tuple(row.get(c) for c in kinds)], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in kinds.items())))
+
+
+BOX = dict(zip(("south", "west", "north", "east"), (4.0, 5.0, 6.0, 7.0)))
+
+
+def test_places_of_one_name_side_by_side_are_one(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Soho", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]), ("Soho", S.TOWN, 5.001, 6.001, 500012, "US", ["New York", "US"]), ("Soho", S.TOWN, 25, 6, 10, "US", ["New York", "US"]))
+    got = ask(spark, st, "Soho", n=3)
+    assert [r["fid"] - NS for r in got] == [2, 4] and [x - NS for x in got[0]["merged"]] == [2, 3] and got[0]["display_name"] == "Soho, New York, US"
+
+
+def test_the_more_specific_of_two_stays(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Brooklyn", S.ADMIN2, 40.65, -73.94, 2504700, "US", ["US"]), ("Brooklyn", S.TOWN, 40.66, -73.95, 2300664, "US", ["US"]))
+    assert [r["fid"] - NS for r in ask(spark, st, "Brooklyn", n=2)] == [2]
+    assert [r["fid"] - NS for r in ask(spark, st, "Brooklyn", n=2, woe_hint=[S.ADMIN2])] == [1]
+
+
+def test_filters_of_a_request(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Paris", S.TOWN, 5, 6, 20000, "US", ["US"]), ("Paris", S.ADMIN2, 15, 6, 90000, "US", ["US"]), ("FR", S.COUNTRY, 1, 2, 0, "FR", []), ("Paris", S.TOWN, 50, 60, 10**6, "FR", ["FR"]))
+    found = lambda **kw: {r["fid"] - NS for r in geocode(options(spark, st, "Paris", **kw), st).collect()}
+    assert found() == {1, 2, 4} and found(woe_restrict=[S.ADMIN2]) == {2} and found(allowed_sources=["tgn"]) == set() and found(allowed_sources=["geonameid"]) == {1, 2, 4}
+    assert found(strict=True, cc="US") == {1, 2} and found(strict=True, bounds=BOX) == {1} and found(strict=True, lat=15.01, lng=6.0, radius=9000.0) == {2} and found(strict=True, lat=50.0, lng=60.0) == {4}
+    # the place in small bounds comes first
+    wide = dict(zip(("south", "west", "north", "east"), (4.0, 5.0, 16.0, 30.0)))
+    assert geocode(options(spark, st, "Paris", bounds=wide, max_interpretations=1), st).collect()[0]["fid"] == NS + 4
+    small = {k: v / 10 + 4.5 for k, v in BOX.items()} | {"west": 5.5, "east": 6.5}
+    assert geocode(options(spark, st, "Paris", bounds=small, max_interpretations=1), st).collect()[0]["fid"] == NS + 1
+
+
+def test_places_of_a_dependent_country(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("San Juan", S.TOWN, 18, -66, 400000, "PR", []), ("Ponce", S.TOWN, 18, -67, 400000, "PR", []))
+    got = ask(spark, st, "San Juan, US")
+    assert got[0]["fid"] == NS + 1 and got[0]["where"] == "san juan us"
+
+
+def test_edited_store(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Old Name", S.TOWN, 5, 6, 9, "US", ["US"]), ("Gone", S.TOWN, 5, 6, 9, "US", ["US"]))
+    new = spark.createDataFrame([(NS + 1, "US", S.TOWN, 5.0, 6.0, 10, 0, [NS], [], False, True), (NS + 9, "US", S.TOWN, 7.0, 7.0, 1, 0, [NS], [], False, True)], S.FEATURES)
+    names = spark.createDataFrame([(NS + 1, "New Name", "en", S.PREFERRED, 0), (NS + 9, "Added", "en", S.PREFERRED, 0)], S.NAMES + ", pos int")
+    st = st.with_edits(new, spark.createDataFrame([(NS + 2,)], "fid bigint"), names).written()
+    found = lambda q: [r["fid"] - NS for r in ask(spark, st, q)]
+    assert (found("Old Name"), found("New Name"), found("Added"), found("Gone")) == ([], [1], [9], [])
+
+
+def test_dispatch_and_pruning(spark):
+    from atlasweave.plans import requests as rq
+
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Rego Park", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]))
+    asked = options(spark, st, "rego park").unionByName(options(spark, st, "rego", qid=2, autocomplete=True)).unionByName(options(spark, st, "x", qid=3, slug="rego-park")).unionByName(options(spark, st, "x", qid=4, slug="geonameid:2")).unionByName(options(spark, st, "x", qid=5, slug="nothing")).unionByName(options(spark, st, "rego", qid=6, autocomplete=True, bias="global", includes=["PARENTS", "ALL_NAMES"]))
+    mapping = spark.createDataFrame([("rego-park", NS + 2)], "key string, fid bigint")
+    got = {r["qid"]: (r["mode"], r["fid"] - NS) for r in rq.dispatch(asked, st, mapping).collect()}
+    assert got == {1: ("geocode", 2), 2: ("autocomplete", 2), 3: ("slug", 2), 4: ("slug", 2), 6: ("autocomplete", 2)}
+    more = Store.of(st.features, st.names.unionByName(spark.createDataFrame([(NS + 2, "Parque Rego", "es", 0, 1), (NS + 2, "RP", "xx", S.ABBREVIATION, 2)], S.NAMES + ", pos int")))
+    pruned = {r["qid"]: r for r in rq.prune(rq.dispatch(asked, st, mapping), asked, more).collect()}
+    assert [n["name"] for n in pruned[1]["names"]] == ["Rego Park", "RP"] and pruned[1]["parents"] is None
+    assert [n["name"] for n in pruned[6]["names"]] == ["Rego Park", "Parque Rego", "RP"] and [p - NS for p in pruned[6]["parents"]] == [1, 0]
+
+
+def test_requests_that_are_odd(spark):
+    from atlasweave.plans import requests as rq
+
+    rows = [(1, "query=a%20b&query=second&ll=x,2&radius=many&woeHint=7,,TOWN,999"), (2, ""), (3, None), (4, "%zz=1&query"), (5, "ll=1&lang=fr")]
+    got = {r["qid"]: r for r in rq.parse_parameters(spark.createDataFrame(rows, "qid bigint, parameters string")).collect()}
+    assert got[1]["query"] == "a b" and got[1]["lat"] is None and got[1]["lng"] == 2 and got[1]["radius"] is None and got[1]["woe_hint"] == [7, 7]
+    assert got[2]["query"] is None and got[3]["lang"] == "en" and got[4]["query"] == "" and got[5]["lang"] == "fr" and got[5]["lat"] is None
+    json = {r["qid"]: r for r in rq.parse_json(spark.createDataFrame([(1, "{bad"), (2, '{"query": "x", "woeHint": [7, "ADMIN1", "NO"]}')], "qid bigint, json string")).collect()}
+    assert json[1]["query"] is None and json[2]["woe_hint"] == [7, 8]
+
+
+def complete(spark, st, query, **kw):
+    from atlasweave.plans.autocomplete import autocomplete
+
+    return [(r["fid"] - NS, r["highlighted_name"]) for r in autocomplete(options(spark, st, query, **kw), st).orderBy("rank").collect()]
+
+
+def test_completion_by_prefix_and_space(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Rego Park", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]), ("Rego", S.TOWN, 15, 6, 0, "US", ["US"]), ("Regoville", S.TOWN, 25, 6, 0, "US", ["US"]))
+    assert set(complete(spark, st, "Rego")) == {(2, "<b>Rego</b> Park, New York, US"), (3, "<b>Rego</b>, US"), (4, "<b>Rego</b>ville, US")}
+    assert complete(spark, st, "Rego P") == [(2, "<b>Rego P</b>ark, New York, US")]
+    assert {f for f, _ in complete(spark, st, "Rego ")} == {2, 3}
+    assert [f for f, _ in complete(spark, st, "Rego Park New")] == [2]
+
+
+def test_completion_in_languages_of_the_first_name(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Queens", S.TOWN, 5, 6, 9, "US", ["New York", "US"]), ("PR Town", S.TOWN, 15, 6, 9, "PR", []))
+    more = spark.createDataFrame([(NS + 2, "Reinas", "es", S.PREFERRED, 1), (NS + 1, "Nueva York", "es", S.PREFERRED, 1), (NS + 1, "Nowy Jork", "pl", S.PREFERRED, 2), (NS + 2, "Krolowe", "pl", 0, 3)], S.NAMES + ", pos int")
+    st = Store.of(st.features, st.names.unionByName(more))
+    found = lambda q, **kw: [f for f, _ in complete(spark, st, q, **kw)]
+    assert found("reinas nueva") == [2] and found("reinas nowy") == [] and found("reinas nowy", lang="pl") == [2] and found("queens new y") == [2] and found("krolowe") == []
+    assert found("pr town us") == [3]
+
+
+def test_matched_and_alike_names(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Ohio", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Adams", S.ADMIN2, 3, 4, 0, "US", ["Ohio", "US"]), ("Brown", S.ADMIN2, 3, 4, 0, "US", ["Ohio", "US"]), ("Greenville", S.TOWN, 5, 6, 9, "US", ["Adams", "Ohio", "US"]), ("Greenville", S.TOWN, 8, 6, 8, "US", ["Brown", "Ohio", "US"]), ("L.A.", S.TOWN, 12, 13, 9, "US", ["US"]))
+    st = Store.of(st.features, st.names.unionByName(spark.createDataFrame([(NS + 4, "Verteville", "fr", S.PREFERRED, 1)], S.NAMES + ", pos int")))
+    got = ask(spark, st, "Greenville", n=3)
+    assert [r["display_name"] for r in got] == ["Greenville, Adams, Ohio, US", "Greenville, Brown, Ohio, US"]
+    r = ask(spark, st, "verteville")[0]
+    assert (r["name"], r["matched_name"], r["highlighted_name"]) == ("Greenville", "Verteville", "<b>Verteville</b>, Ohio, US")
+    assert ask(spark, st, "LA")[0]["highlighted_name"] == "<b>L.A.</b>, US"
