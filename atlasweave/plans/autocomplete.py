@@ -73,17 +73,19 @@ def completions(requests: DataFrame, store: Store) -> tuple[DataFrame, DataFrame
 
 
 def balanced(rows: DataFrame) -> DataFrame:
-    """Merges rankers in order: each takes its best place not taken before if its score is high enough; the rest by default.
+    """(qid, fid, group, score): merges rankers in order, each takes its best place not taken before if its score is high
+    enough; the rest by default.
 
-    All windows are partitioned by request, so the rows are shuffled once.
+    All scores are taken first, so that the windows, all by request, sort numbers in place of parses.
     """
-    out = rows.withColumn("group", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("bigint"))
-    for i, (profile, least) in enumerate(BALANCED):
-        out = out.withColumn("#s", score(profile)).withColumn("#free", F.col("group").isNull() & (F.col("#s") >= least))
-        out = out.withColumn("#n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("#free"), F.desc("#s"), "fid")))
+    out = rows.select("qid", "fid", *(score(p).alias(f"s{i}") for i, (p, _) in enumerate(BALANCED)), score("default").alias("rest"))
+    out = out.withColumn("group", F.lit(None).cast("int")).withColumn("score", F.lit(None).cast("bigint"))
+    for i, (_, least) in enumerate(BALANCED):
+        free = F.col("group").isNull() & (F.col(f"s{i}") >= least)
+        out = out.withColumn("#free", free).withColumn("#n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("#free"), F.desc(f"s{i}"), "fid")))
         taken = F.col("#free") & (F.col("#n") == 1)
-        out = out.withColumn("score", F.when(taken, F.col("#s")).otherwise(F.col("score"))).withColumn("group", F.when(taken, i).otherwise(F.col("group"))).drop("#s", "#free", "#n")
-    return out.withColumn("score", F.coalesce("score", score("default"))).withColumn("group", F.coalesce("group", F.lit(len(BALANCED))))
+        out = out.withColumn("score", F.when(taken, F.col(f"s{i}")).otherwise(F.col("score"))).withColumn("group", F.when(taken, i).otherwise(F.col("group"))).drop("#free", "#n")
+    return out.select("qid", "fid", F.coalesce("group", F.lit(len(BALANCED))).alias("group"), F.coalesce("score", "rest").alias("score"))
 
 
 def autocomplete(requests: DataFrame, store: Store, bias: str = "balanced", restrict: str | None = None) -> DataFrame:
@@ -99,6 +101,8 @@ def autocomplete(requests: DataFrame, store: Store, bias: str = "balanced", rest
     rows = rows.where(restrict) if restrict else rows.where(~free)
     rows = rows.withColumn("fid", one["fid"]).withColumn("#", F.row_number().over(W.partitionBy("qid", "fid").orderBy(F.size("feats"), F.array_join(F.transform("feats", lambda f: f["fid"].cast("string")), ",")))).where("`#` = 1").drop("#")
     rows = cut(rows, "completions")
-    merged = balanced(rows) if bias == "balanced" else rows.withColumn("score", score(bias)).withColumn("group", F.lit(0))
-    best = merged.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("group", F.desc("score"), "fid"))).where(F.col("rank") <= F.coalesce("max_interpretations", F.lit(3)))
+    merged = balanced(rows) if bias == "balanced" else rows.select("qid", "fid", score(bias).alias("score"), F.lit(0).alias("group"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy("group", F.desc("score"), "fid"))
+    best = merged.withColumn("rank", place).join(parsed.select("qid", "max_interpretations"), "qid").where(F.col("rank") <= F.coalesce("max_interpretations", F.lit(3)))
+    best = best.select("qid", "fid", "rank", "score").join(rows, ["qid", "fid"])
     return display(cut(best, "ranked"), store).select("qid", "rank", "fid", "score", "name", "display_name", "highlighted_name")

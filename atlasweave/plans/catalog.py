@@ -274,7 +274,7 @@ def dedupe_interpretations(spark, d) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("brand").orderBy(F.desc("population"), "fid"))
     rows = with_columns(p, S.FEATURE_OPTIONS).withColumn("langs", F.array(F.lit("en"))).withColumn("flags", F.array("flags")).withColumn("start", F.lit(0)).withColumn("end", F.lit(1))
     rows = rows.select(q.alias("qid"), rank.alias("rank"), "fid", F.array(gc.feat()).alias("feats"), F.array(F.lit(S.SUBURB)).alias("woe_hint"), F.lit("brand").alias("unused"))
-    return gc.merge_same_places(rows, store).select("qid", "rank", "fid", F.size("merged").alias("n"))
+    return gc.merge_same_places(rows, store.labels).select("qid", "rank", "fid", F.size("merged").alias("n"))
 
 
 @query

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from atlasweave import schema as S
 from atlasweave.functions import geo, ids
 from atlasweave.functions.names import best_name, highlight, normalize, tokens
-from atlasweave.operators.indexes import name_rows
-from atlasweave.session import cut, small, with_columns
+from atlasweave.session import cut, with_columns
 
 MAX_TOKENS = 10
 
@@ -58,13 +57,19 @@ class Store:
         own = with_columns(features, S.FEATURE_OPTIONS).select(*[c.split()[0] for c in S.FEATURES.split(", ")], *S.FEATURE_OPTIONS)
         normal = names.select("fid", normalize(F.col("name")).alias("phrase"), "lang", "flags").where("phrase <> ''")
         found = normal.groupBy("phrase", "fid").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.array_sort(F.collect_set("flags")).alias("flags"))
+        # the names of the index are those that were grouped, so names are normalised once
+        rows = found.select(F.col("phrase").alias("name"), "fid").join(own.select("fid", (F.col("population") + F.col("boost")).alias("score")), "fid")
         in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "lang", "flags"))), lambda x: F.struct(x["name"].alias("name"), x["lang"].alias("lang"), x["flags"].alias("flags")))
         labels = names.groupBy("fid").agg(in_order.alias("names")).join(own.select("fid", "woe"), "fid")
-        return cls(own, names, name_rows(names, own), found, labels)
+        return cls(own, names, rows, found, labels)
 
     def written(self) -> Store:
         """The store with its tables written to the shared folder, so that names are normalised and grouped once."""
-        return Store(*(cut(getattr(self, t), t) for t in ("features", "names", "rows", "found", "labels")), self.slugs)
+        features, names = cut(self.features, "features"), cut(self.names, "names")
+        again = Store.of(features, names)
+        found = cut(again.found, "found")
+        rows = found.select(F.col("phrase").alias("name"), "fid").join(features.select("fid", (F.col("population") + F.col("boost")).alias("score")), "fid")
+        return Store(features, names, rows, found, again.labels, self.slugs)
 
     def with_edits(self, changed: DataFrame, deleted: DataFrame, names: DataFrame | None = None) -> Store:
         """The store after an overlay of changed or added (a store's features) and deleted places.
@@ -108,11 +113,11 @@ def phrases(parsed: DataFrame) -> DataFrame:
 def matches(parsed: DataFrame, store: Store) -> DataFrame:
     """(qid, start, end, cc, feat): places whose normal name is a run of the request's tokens.
 
-    Different phrases alone are looked up; what they name is joined back by a broadcast if it is small.
+    Different phrases alone are looked up, and what they name is joined back; what is small of it is broadcast by its size at run time.
     """
     runs = phrases(parsed)
-    known = store.found.join(small(runs.select("phrase").distinct()), "phrase", "left_semi").join(store.features, "fid")
-    rows = runs.join(small(cut(known, "known")), "phrase")
+    known = store.found.join(runs.select("phrase").distinct(), "phrase", "left_semi").join(store.features, "fid")
+    rows = runs.join(known, "phrase")
     return rows.select("qid", "start", "end", "cc", feat().alias("feat"))
 
 
@@ -164,11 +169,12 @@ def parses(found: DataFrame, parsed: DataFrame) -> DataFrame:
     """(qid, start, feats): all parses that reach the last token, their places sorted; start is the first token covered."""
     found = cut(found, "matches")
     ends = parsed.select("qid", "n")
+    lends = found.where(parent_country(F.col("cc")).isNotNull()).limit(1).count() > 0
     step = found.join(ends, "qid").where("end = n").select("qid", "start", "cc", F.array("feat").alias("feats"))
     out = [step]
     for _ in range(MAX_TOKENS - 1):
         left = found.select("qid", F.col("end").alias("start"), F.col("start").alias("at"), "cc", "feat")
-        grown = left.join(_with_dependents(left, step), ["qid", "start", "cc"]).where(~F.exists("feats", lambda f: (f["woe"] == F.col("feat")["woe"]) & (f["fid"] != F.col("feat")["fid"])))
+        grown = left.join(_with_dependents(left, step) if lends else step, ["qid", "start", "cc"]).where(~F.exists("feats", lambda f: (f["woe"] == F.col("feat")["woe"]) & (f["fid"] != F.col("feat")["fid"])))
         step = cut(grown.select("qid", F.col("at").alias("start"), "cc", _sorted(F.concat(F.array("feat"), "feats")).alias("feats")).where(valid(F.col("feats"))), "parses")
         if not step.limit(1).count():
             break
@@ -264,38 +270,42 @@ def ranked(found: DataFrame, parsed: DataFrame, store: Store, profile: str = "ge
     longer = F.count("*").over(W.partitionBy("qid").orderBy("start").rangeBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("#", longer).where(F.col("#") < 2 * ask)
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "fid"))).drop("#")
-    return merge_same_places(rows.where(F.col("rank") <= 2 * ask), store)
+    labels = store.labels.join(found.select(one["fid"].alias("fid")).distinct(), "fid", "left_semi")
+    return merge_same_places(rows.where(F.col("rank") <= 2 * ask), labels)
 
 
-def merge_same_places(rows: DataFrame, store: Store) -> DataFrame:
+def merge_same_places(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Ranked parses without those that show the same place as another, ranks closed up, and merged: the ids that were one.
 
     In the order of ranks a place joins the first bucket of 0.15 degrees at or around its own that a place of the same
-    English name opened before, else it opens its own. The best of a bucket stays: of a hinted type, not found by an alias
-    alone, with a polygon, more specific, of a better rank.
+    English name (``labels``: fid, names) opened before, else it opens its own. The best of a bucket stays: of a hinted
+    type, not found by an alias alone, with a polygon, more specific, of a better rank. All is done per request, so
+    the rows are shuffled once.
     """
-    rows = cut(rows, "ranked")
     one = F.get("feats", F.lit(0))
-    shown = store.labels.join(small(rows.select("fid").distinct()), "fid", "left_semi").select("fid", F.lower(best_name(F.col("names"), F.lit("en"))).alias("label"))
-    flat = rows.join(small(shown), "fid", "left").withColumn("label", F.coalesce("label", F.lit("")))
-    flat = flat.select("qid", "label", "rank", "fid", F.struct(geo.bucket(one["lat"]).alias("y"), geo.bucket(one["lng"]).alias("x")).alias("at"), F.coalesce(F.array_contains("woe_hint", one["woe"]), F.lit(False)).alias("hinted"), _only_alias(one).alias("alias"), one["has_poly"].alias("poly"), F.when(one["ord"] < 0, 99).otherwise(one["ord"]).alias("ord"))
-    place = F.struct("rank", "at")
-    groups = flat.groupBy("qid", "label").agg(F.array_sort(F.collect_list(place)).alias("places"))  # at most twice what is asked for
+    shown = labels.select("fid", F.lower(best_name(F.col("names"), F.lit("en"))).alias("#label"))
+    at = F.struct(geo.bucket(one["lat"]).alias("y"), geo.bucket(one["lng"]).alias("x"))
+    rows = rows.join(shown, "fid", "left").withColumn("#label", F.coalesce("#label", F.lit(""))).withColumn("#at", at)
+    group = W.partitionBy("qid", "#label")
+    rows = rows.withColumn("#places", F.array_sort(F.collect_list(F.struct("rank", "#at")).over(group)))  # at most twice what is asked for
 
     around = [(y, x) for y in (0, -1, 1) for x in (0, -1, 1)]
 
     def join(acc: Column, p: Column) -> Column:
-        near = [F.struct((p["at"]["y"] + y).alias("y"), (p["at"]["x"] + x).alias("x")) for y, x in around]
+        near = [F.struct((p["#at"]["y"] + y).alias("y"), (p["#at"]["x"] + x).alias("x")) for y, x in around]
         taken = F.transform(acc, lambda a: a["bucket"])
-        own = F.coalesce(*(F.when(F.array_contains(taken, n), n) for n in near), p["at"])
+        own = F.coalesce(*(F.when(F.array_contains(taken, n), n) for n in near), p["#at"])
         return F.concat(acc, F.array(F.struct(p["rank"].alias("rank"), own.alias("bucket"))))
 
     none = F.array().cast("array<struct<rank:int,bucket:struct<y:bigint,x:bigint>>>")
-    laid = groups.select("qid", "label", F.explode(F.aggregate("places", none, join)).alias("b")).select("qid", "label", "b.rank", "b.bucket")
-    better = W.partitionBy("qid", "label", "bucket").orderBy(F.desc("hinted"), "alias", F.desc("poly"), "ord", "rank")
-    best = flat.join(laid, ["qid", "label", "rank"]).withColumn("n", F.row_number().over(better))
-    best = best.withColumn("merged", F.array_sort(F.collect_list("fid").over(W.partitionBy("qid", "label", "bucket")))).where("n = 1").select("qid", "rank", "merged")
-    return rows.join(best, ["qid", "rank"]).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
+    laid = F.aggregate("#places", none, join)
+    own = F.when(F.size("#places") == 1, F.col("#at")).otherwise(F.get(F.filter(laid, lambda a: a["rank"] == F.col("rank")), F.lit(0))["bucket"])
+    rows = rows.withColumn("#bucket", own)
+    together = W.partitionBy("qid", "#label", "#bucket")
+    better = [F.desc(F.coalesce(F.array_contains("woe_hint", one["woe"]), F.lit(False))), _only_alias(one), F.desc(one["has_poly"]), F.when(one["ord"] < 0, 99).otherwise(one["ord"]), F.col("rank")]
+    rows = rows.withColumn("#n", F.row_number().over(together.orderBy(*better))).withColumn("merged", F.array_sort(F.collect_list("fid").over(together)))
+    rows = rows.where("`#n` = 1").drop("#label", "#at", "#places", "#bucket", "#n")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("rank")))
 
 
 def _only_alias(f: Column) -> Column:
@@ -305,11 +315,11 @@ def _only_alias(f: Column) -> Column:
 def promote_city(rows: DataFrame) -> DataFrame:
     """Puts a town of the same span and kin of the best place before it, unless that is a country or a first division."""
     one = F.get("feats", F.lit(0))
-    top = rows.where("rank = 1").select("qid", one.alias("top"))
-    kin = F.array_contains(F.col("top")["parents"], one["fid"]) | F.array_contains(one["parents"], F.col("top")["fid"])
-    moved = (one["woe"] == S.TOWN) & (F.col("rank") > 1) & (one["start"] == F.col("top")["start"]) & (one["end"] == F.col("top")["end"]) & kin & ~F.col("top")["woe"].isin(S.COUNTRY, S.ADMIN1)
-    out = rows.join(top, "qid").withColumn("moved", moved)
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy((~F.col("moved")).cast("int"), "rank"))).drop("top", "moved")
+    out = rows.withColumn("top", F.first_value(one).over(W.partitionBy("qid").orderBy("rank")))
+    top = F.col("top")
+    kin = F.array_contains(top["parents"], one["fid"]) | F.array_contains(one["parents"], top["fid"])
+    moved = (one["woe"] == S.TOWN) & (F.col("rank") > 1) & (one["start"] == top["start"]) & (one["end"] == top["end"]) & kin & ~top["woe"].isin(S.COUNTRY, S.ADMIN1)
+    return out.withColumn("moved", moved).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy((~F.col("moved")).cast("int"), "rank"))).drop("top", "moved")
 
 
 def display(rows: DataFrame, store: Store) -> DataFrame:
@@ -323,7 +333,7 @@ def display(rows: DataFrame, store: Store) -> DataFrame:
     phrase = F.array_join(F.slice("tokens", one["start"] + 1, one["end"] - one["start"]), " ")
     own = rows.select("qid", "rank", F.col("cc").alias("asked"), F.coalesce("lang", F.lit("en")).alias("want"), phrase.alias("phrase"), one["fid"].alias("fid"), one["cc"].alias("cc"), one["parents"].alias("parents"))
     needed = own.select("fid").union(own.select(F.explode("parents").alias("fid"))).distinct()
-    of = small(cut(store.labels.join(small(needed), "fid", "left_semi"), "labels"))
+    of = cut(store.labels.join(needed, "fid", "left_semi"), "labels")
     begins = F.filter("names", lambda n: normalize(n["name"]).startswith(F.col("phrase")))
     named = own.join(of, "fid").select("qid", "rank", "asked", "want", "cc", "parents", "phrase", best_name(F.col("names"), F.col("want")).alias("name"), begins.alias("begins"))
     named = named.withColumn("matched_name", F.when(F.size("begins") > 0, best_name(F.col("begins"), F.col("want"))).otherwise(F.col("name"))).drop("begins")
