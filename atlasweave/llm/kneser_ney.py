@@ -31,7 +31,7 @@ from atlasweave.llm._packed import BLOCK, HELD, block_rows, blocks, mapped, merg
 from atlasweave.llm._text import column_bytes, hash_words, mix, pieces
 
 SHARD = 2_000_000  # tokens a shard of bigrams is made for
-RANGE = 4_000_000  # word numbers in one part of the dense arrays
+RANGE = 1 << 18  # word numbers in one part of the dense arrays, made by one task
 _LOW = np.uint64(0xFFFFFFFF)
 
 
