@@ -26,11 +26,17 @@ def tokens(s: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def deaccent(s: pd.Series) -> pd.Series:
-    """Canonical decomposition without combining marks of the block U+0300."""
+def _without_marks(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ"))
 
 
+def deaccent(s: Column | str) -> Column:
+    """Canonical decomposition without combining marks of the block U+0300. Plain ASCII never leaves the JVM."""
+    s = F.col(s) if isinstance(s, str) else s
+    marked = s.rlike(r"[^\x00-\x7F]")
+    return F.when(marked, _without_marks(F.when(marked, s))).otherwise(s)
+
+
 # Greek and Cyrillic letters as Latin ones, one letter each and several.
 _SINGLE = ("αβγδεζηικλμνξοπρστυωάέήίόύώςабвгдезийклмнопрстуфыэґії", "abgdeziiklmnxoprstyoaeiioyosabvgdezijklmnoprstufyegii")
 _SEVERAL = {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya", "ё": "yo", "є": "ye"}

@@ -47,12 +47,12 @@ def sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     kin = [nation_fid, region_fid]
     at = nations.select("n_nationkey", "n_name", "r_regionkey", "r_name")
     money = lambda c: F.floor(F.abs(F.col(c)) * 10)
-    parts = part.withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(F.broadcast(at), "n_nationkey")
+    parts = part.withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(at, "n_nationkey")
     return [
         rows(by_region, region_fid, S.COUNTRY, F.col("r_regionkey"), F.col("population"), [], F.col("r_name"), 0),
         rows(counted, nation_fid, S.ADMIN1, F.col("n_nationkey"), F.col("population"), [region_fid], F.col("n_name"), 1),
-        rows(customer.join(F.broadcast(at), F.col("c_nationkey") == F.col("n_nationkey")), feature_id(3, F.col("c_custkey")), S.TOWN, F.col("c_custkey"), money("c_acctbal"), kin, F.col("c_name"), 2),
-        rows(supplier.join(F.broadcast(at), F.col("s_nationkey") == F.col("n_nationkey")), feature_id(5, F.col("s_suppkey")), S.TOWN, F.col("s_suppkey"), money("s_acctbal"), kin, F.col("s_name"), 3),
+        rows(customer.join(at, F.col("c_nationkey") == F.col("n_nationkey")), feature_id(3, F.col("c_custkey")), S.TOWN, F.col("c_custkey"), money("c_acctbal"), kin, F.col("c_name"), 2),
+        rows(supplier.join(at, F.col("s_nationkey") == F.col("n_nationkey")), feature_id(5, F.col("s_suppkey")), S.TOWN, F.col("s_suppkey"), money("s_acctbal"), kin, F.col("s_name"), 3),
         rows(parts, feature_id(6, F.col("p_partkey")), F.when(F.col("p_partkey") % 2 == 0, S.SUBURB).otherwise(S.POI), F.col("p_partkey"), F.floor("p_retailprice"), kin, F.col("p_name"), 4),
     ]
 

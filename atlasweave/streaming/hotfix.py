@@ -61,17 +61,24 @@ def _names_of(store: Store, keys: DataFrame, key: str) -> DataFrame:
 def start(edits: DataFrame, base: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
     """Starts the stream; after each batch ``publish(features, batch)`` gets the whole overlaid table.
 
-    All edits so far are kept as Parquet beside the checkpoint, one folder a batch, so a batch that runs again replaces its
-    own and the overlay doesn't depend on what a driver remembers.
+    What is kept beside the checkpoint is the overlay itself, changed places and ids of deleted ones, a folder a batch: a batch
+    reads that of the batch before and its own edits alone, and one that runs again replaces its own.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{checkpoint}/edits/number={number:09d}")
-        seen = spark.read.parquet(f"{checkpoint}/edits").where(F.col("batch") <= number)
-        ordered = seen.withColumn("seq", F.col("batch").cast("bigint") * (1 << 40) + F.col("seq")).drop("batch", "number")
-        changed, deleted = changes(base, ordered)
-        publish(overlay(base, changed, deleted), number)
+        at = lambda what, n: f"{checkpoint}/{what}/{n:09d}"
+        if number:
+            changed, deleted = spark.read.schema(base.schema).parquet(at("changed", number - 1)), spark.read.schema("fid bigint").parquet(at("deleted", number - 1))
+        else:
+            changed, deleted = base.limit(0), base.select("fid").limit(0)
+        more, gone = changes(overlay(base, changed, deleted), batch)
+        more = more.join(gone, "fid", "left_anti").select(*base.columns)
+        ids = more.select("fid").union(gone)
+        changed.join(ids, "fid", "left_anti").select(*base.columns).unionByName(more).write.mode("overwrite").parquet(at("changed", number))
+        changed = spark.read.schema(base.schema).parquet(at("changed", number))
+        deleted.union(gone).distinct().join(changed.select("fid"), "fid", "left_anti").write.mode("overwrite").parquet(at("deleted", number))
+        publish(overlay(base, changed, spark.read.schema("fid bigint").parquet(at("deleted", number))), number)
 
     writer = edits.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/state")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -116,4 +116,6 @@ def test_hotfix_stream(spark, tmp_path, places):
     run()
     (tmp_path / "in/b.json").write_text(json.dumps({"fid": NS + 2, "seq": 0, "kind": "Remove"}) + "\n" + json.dumps({"fid": NS + 9, "seq": 1, "kind": "Add", "population": 4, "cc": "FR"}))
     run()
-    assert seen == {0: {1: 99, 2: 5, 3: 5}, 1: {1: 99, 3: 5, 9: 4}}
+    (tmp_path / "in/c.json").write_text(json.dumps({"fid": NS + 2, "seq": 0, "kind": "Add", "population": 7, "cc": "FR"}) + "\n" + json.dumps({"fid": NS + 9, "seq": 1, "kind": "Modify", "population": 6}) + "\n" + json.dumps({"fid": NS + 1, "seq": 2, "kind": "Remove"}))
+    run()
+    assert seen == {0: {1: 99, 2: 5, 3: 5}, 1: {1: 99, 3: 5, 9: 4}, 2: {2: 7, 3: 5, 9: 6}}
