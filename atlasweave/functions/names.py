@@ -45,7 +45,6 @@ _SEVERAL = {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps", "ж": "zh", "х": "k
 def transliterate(name: Column) -> Column:
     """Greek and Cyrillic letters by Latin ones, upper case as it was for single letters, capitalised for several; others stay."""
     lower, to = _SINGLE
-    # letters of old words with two signs fold to one of the table
     out = F.translate(F.translate(name, lower, to), lower.upper(), to.upper())
     for letter, many in _SEVERAL.items():
         out = F.replace(F.replace(out, F.lit(letter), F.lit(many)), F.lit(letter.upper()), F.lit(many.capitalize()))

@@ -45,7 +45,7 @@ def test_admin_before_city_is_not_one_parse(spark, rego):
 
 
 def test_no_match(spark, rego):
-    assert ask(spark, rego, "nowhere at all") == [] and ask(spark, rego, "") == [] and ask(spark, rego, "http rego park") == []
+    assert answers(geocode(options(spark, "nowhere at all", "", "http rego park"), rego), 3) == [[], [], []]
 
 
 def test_connector(spark, rego):
@@ -63,17 +63,15 @@ def test_hierarchies_do_not_cross_and_population_orders(spark):
         spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Texas", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Illinois", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Paris", S.TOWN, 5, 6, 20000, "US", [1, 0]), ("FR", S.COUNTRY, 50, 60, 0, "FR", []),
         ("IDF", S.ADMIN1, 50, 60, 0, "FR", ["FR"]), ("Paris", S.TOWN, 50, 60, 1000000, "FR", ["IDF", "FR"]), ("Paris", S.TOWN, 2, 6, 20000, "US", [2, 0]),
     )
-    rows = ask(spark, st, "paris", n=3)
-    assert [r["fid"] - NS for r in rows] == [6, 3, 7]
-    assert [r["fid"] - NS for r in ask(spark, st, "paris texas")] == [3]
-    assert ask(spark, st, "paris texas FR") == []  # one small token of three is too weak a parse
-    assert [r["fid"] - NS for r in ask(spark, st, "paris", lat=5.0, lng=6.0)] == [3]
+    one = {"max_interpretations": None}
+    got = answers(geocode(options(spark, ("paris", {"max_interpretations": 3}), ("paris texas", one), ("paris texas FR", one), ("paris", {**one, "lat": 5.0, "lng": 6.0})), st), 4)
+    assert [[r["fid"] - NS for r in g] for g in got] == [[6, 3, 7], [3], [], [3]]  # one small token of three is too weak a parse
 
 
 def test_hint_and_restriction(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Brooklyn", S.ADMIN2, 5, 6, 2504700, "US", [0]), ("Brooklyn", S.TOWN, 5, 6, 2300664, "US", [0]))
-    assert ask(spark, st, "brooklyn", woe_hint=[S.TOWN])[0]["fid"] - NS == 2
-    assert ask(spark, st, "brooklyn", woe_hint=[S.ADMIN2])[0]["fid"] - NS == 1
+    got = answers(geocode(options(spark, ("brooklyn", {"woe_hint": [S.TOWN]}), ("brooklyn", {"woe_hint": [S.ADMIN2]})), st), 2)
+    assert [g[0]["fid"] - NS for g in got] == [2, 1]
     assert ask(spark, st, "brooklyn", restrict=f"feats[0].woe = {S.TOWN}")[0]["fid"] - NS == 2
 
 
@@ -95,13 +93,21 @@ def test_completion(spark, rego):
     assert one[0]["fid"] - NS == 2
 
 
-def options(spark, st, query, **kw):
-    """A request with any of the optional columns."""
+def options(spark, *asked):
+    """Requests with any of the optional columns, numbered from 1: a query, or a query and columns."""
     from pyspark.sql import types as T
 
     kinds = {**{c.split()[0]: c.split()[1] for c in S.REQUESTS.split(", ")}, **S.REQUEST_OPTIONS}
-    row = {"qid": 1, "query": query, "lang": "en", "max_interpretations": 5, **kw}
-    return spark.createDataFrame([tuple(row.get(c) for c in kinds)], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in kinds.items())))
+    rows = [{"qid": k, "query": a if isinstance(a, str) else a[0], "lang": "en", "max_interpretations": 5, **({} if isinstance(a, str) else a[1])} for k, a in enumerate(asked, 1)]
+    return spark.createDataFrame([tuple(r.get(c) for c in kinds) for r in rows], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in kinds.items())))
+
+
+def answers(df, n):
+    """The places of each of n requests, in order."""
+    out = [[] for _ in range(n)]
+    for r in sorted(df.collect(), key=lambda r: (r["qid"], r["rank"])):
+        out[r["qid"] - 1].append(r)
+    return out
 
 
 BOX = dict(zip(("south", "west", "north", "east"), (4.0, 5.0, 6.0, 7.0)))
@@ -115,20 +121,20 @@ def test_places_of_one_name_side_by_side_are_one(spark):
 
 def test_the_more_specific_of_two_stays(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Brooklyn", S.ADMIN2, 40.65, -73.94, 2504700, "US", ["US"]), ("Brooklyn", S.TOWN, 40.66, -73.95, 2300664, "US", ["US"]))
-    assert [r["fid"] - NS for r in ask(spark, st, "Brooklyn", n=2)] == [2]
-    assert [r["fid"] - NS for r in ask(spark, st, "Brooklyn", n=2, woe_hint=[S.ADMIN2])] == [1]
+    got = answers(geocode(options(spark, "Brooklyn", ("Brooklyn", {"woe_hint": [S.ADMIN2]})), st), 2)
+    assert [[r["fid"] - NS for r in g] for g in got] == [[2], [1]]
 
 
 def test_filters_of_a_request(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Paris", S.TOWN, 5, 6, 20000, "US", ["US"]), ("Paris", S.ADMIN2, 15, 6, 90000, "US", ["US"]), ("FR", S.COUNTRY, 1, 2, 0, "FR", []), ("Paris", S.TOWN, 50, 60, 10**6, "FR", ["FR"]))
-    found = lambda **kw: {r["fid"] - NS for r in geocode(options(spark, st, "Paris", **kw), st).collect()}
-    assert found() == {1, 2, 4} and found(woe_restrict=[S.ADMIN2]) == {2} and found(allowed_sources=["tgn"]) == set() and found(allowed_sources=["geonameid"]) == {1, 2, 4}
-    assert found(strict=True, cc="US") == {1, 2} and found(strict=True, bounds=BOX) == {1} and found(strict=True, lat=15.01, lng=6.0, radius=9000.0) == {2} and found(strict=True, lat=50.0, lng=60.0) == {4}
-    # the place in small bounds comes first
     wide = dict(zip(("south", "west", "north", "east"), (4.0, 5.0, 16.0, 30.0)))
-    assert geocode(options(spark, st, "Paris", bounds=wide, max_interpretations=1), st).collect()[0]["fid"] == NS + 4
     small = {k: v / 10 + 4.5 for k, v in BOX.items()} | {"west": 5.5, "east": 6.5}
-    assert geocode(options(spark, st, "Paris", bounds=small, max_interpretations=1), st).collect()[0]["fid"] == NS + 1
+    cases = [
+        ({}, {1, 2, 4}), ({"woe_restrict": [S.ADMIN2]}, {2}), ({"allowed_sources": ["tgn"]}, set()), ({"allowed_sources": ["geonameid"]}, {1, 2, 4}), ({"strict": True, "cc": "US"}, {1, 2}), ({"strict": True, "bounds": BOX}, {1}),
+        ({"strict": True, "lat": 15.01, "lng": 6.0, "radius": 9000.0}, {2}), ({"strict": True, "lat": 50.0, "lng": 60.0}, {4}), ({"bounds": wide, "max_interpretations": 1}, {4}), ({"bounds": small, "max_interpretations": 1}, {1}),
+    ]
+    got = answers(geocode(options(spark, *(("Paris", c) for c, _ in cases)), st), len(cases))
+    assert [{r["fid"] - NS for r in g} for g in got] == [want for _, want in cases]
 
 
 def test_places_of_a_dependent_country(spark):
@@ -142,20 +148,21 @@ def test_edited_store(spark):
     new = spark.createDataFrame([(NS + 1, "US", S.TOWN, 5.0, 6.0, 10, 0, [NS], [], False, True), (NS + 9, "US", S.TOWN, 7.0, 7.0, 1, 0, [NS], [], False, True)], S.FEATURES)
     names = spark.createDataFrame([(NS + 1, "New Name", "en", S.PREFERRED, 0), (NS + 9, "Added", "en", S.PREFERRED, 0)], S.NAMES + ", pos int")
     st = st.with_edits(new, spark.createDataFrame([(NS + 2,)], "fid bigint"), names).written()
-    found = lambda q: [r["fid"] - NS for r in ask(spark, st, q)]
-    assert (found("Old Name"), found("New Name"), found("Added"), found("Gone")) == ([], [1], [9], [])
+    got = answers(geocode(options(spark, "Old Name", "New Name", "Added", "Gone"), st), 4)
+    assert [[r["fid"] - NS for r in g] for g in got] == [[], [1], [9], []]
 
 
 def test_dispatch_and_pruning(spark):
     from atlasweave.plans import requests as rq
+    from atlasweave.session import cut
 
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Rego Park", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]))
-    asked = options(spark, st, "rego park").unionByName(options(spark, st, "rego", qid=2, autocomplete=True)).unionByName(options(spark, st, "x", qid=3, slug="rego-park")).unionByName(options(spark, st, "x", qid=4, slug="geonameid:2")).unionByName(options(spark, st, "x", qid=5, slug="nothing")).unionByName(options(spark, st, "rego", qid=6, autocomplete=True, bias="global", includes=["PARENTS", "ALL_NAMES"]))
+    asked = options(spark, "rego park", ("rego", {"autocomplete": True}), ("x", {"slug": "rego-park"}), ("x", {"slug": "geonameid:2"}), ("x", {"slug": "nothing"}), ("rego", {"autocomplete": True, "bias": "global", "includes": ["PARENTS", "ALL_NAMES"]}))
     mapping = spark.createDataFrame([("rego-park", NS + 2)], "key string, fid bigint")
-    got = {r["qid"]: (r["mode"], r["fid"] - NS) for r in rq.dispatch(asked, st, mapping).collect()}
-    assert got == {1: ("geocode", 2), 2: ("autocomplete", 2), 3: ("slug", 2), 4: ("slug", 2), 6: ("autocomplete", 2)}
+    found = cut(rq.dispatch(asked, st, mapping))
+    assert {r["qid"]: (r["mode"], r["fid"] - NS) for r in found.collect()} == {1: ("geocode", 2), 2: ("autocomplete", 2), 3: ("slug", 2), 4: ("slug", 2), 6: ("autocomplete", 2)}
     more = Store.of(st.features, st.names.unionByName(spark.createDataFrame([(NS + 2, "Parque Rego", "es", 0, 1), (NS + 2, "RP", "xx", S.ABBREVIATION, 2)], S.NAMES + ", pos int")))
-    pruned = {r["qid"]: r for r in rq.prune(rq.dispatch(asked, st, mapping), asked, more).collect()}
+    pruned = {r["qid"]: r for r in rq.prune(found, asked, more).collect()}
     assert [n["name"] for n in pruned[1]["names"]] == ["Rego Park", "RP"] and pruned[1]["parents"] is None
     assert [n["name"] for n in pruned[6]["names"]] == ["Rego Park", "Parque Rego", "RP"] and [p - NS for p in pruned[6]["parents"]] == [1, 0]
 
@@ -171,34 +178,30 @@ def test_requests_that_are_odd(spark):
     assert json[1]["query"] is None and json[2]["woe_hint"] == [7, 8]
 
 
-def complete(spark, st, query, **kw):
+def complete(spark, st, *asked):
     from atlasweave.plans.autocomplete import autocomplete
 
-    return [(r["fid"] - NS, r["highlighted_name"]) for r in autocomplete(options(spark, st, query, **kw), st).orderBy("rank").collect()]
+    return [[(r["fid"] - NS, r["highlighted_name"]) for r in g] for g in answers(autocomplete(options(spark, *asked), st), len(asked))]
 
 
 def test_completion_by_prefix_and_space(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Rego Park", S.TOWN, 5, 6, 500012, "US", ["New York", "US"]), ("Rego", S.TOWN, 15, 6, 0, "US", ["US"]), ("Regoville", S.TOWN, 25, 6, 0, "US", ["US"]))
-    assert set(complete(spark, st, "Rego")) == {(2, "<b>Rego</b> Park, New York, US"), (3, "<b>Rego</b>, US"), (4, "<b>Rego</b>ville, US")}
-    assert complete(spark, st, "Rego P") == [(2, "<b>Rego P</b>ark, New York, US")]
-    assert {f for f, _ in complete(spark, st, "Rego ")} == {2, 3}
-    assert [f for f, _ in complete(spark, st, "Rego Park New")] == [2]
+    a, b, c, d = complete(spark, st, "Rego", "Rego P", "Rego ", "Rego Park New")
+    assert set(a) == {(2, "<b>Rego</b> Park, New York, US"), (3, "<b>Rego</b>, US"), (4, "<b>Rego</b>ville, US")}
+    assert b == [(2, "<b>Rego P</b>ark, New York, US")] and {f for f, _ in c} == {2, 3} and [f for f, _ in d] == [2]
 
 
 def test_completion_in_languages_of_the_first_name(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("New York", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Queens", S.TOWN, 5, 6, 9, "US", ["New York", "US"]), ("PR Town", S.TOWN, 15, 6, 9, "PR", []))
     more = spark.createDataFrame([(NS + 2, "Reinas", "es", S.PREFERRED, 1), (NS + 1, "Nueva York", "es", S.PREFERRED, 1), (NS + 1, "Nowy Jork", "pl", S.PREFERRED, 2), (NS + 2, "Krolowe", "pl", 0, 3)], S.NAMES + ", pos int")
     st = Store.of(st.features, st.names.unionByName(more))
-    found = lambda q, **kw: [f for f, _ in complete(spark, st, q, **kw)]
-    assert found("reinas nueva") == [2] and found("reinas nowy") == [] and found("reinas nowy", lang="pl") == [2] and found("queens new y") == [2] and found("krolowe") == []
-    assert found("pr town us") == [3]
+    got = complete(spark, st, "reinas nueva", "reinas nowy", ("reinas nowy", {"lang": "pl"}), "queens new y", "krolowe", "pr town us")
+    assert [[f for f, _ in g] for g in got] == [[2], [], [2], [2], [], [3]]
 
 
 def test_matched_and_alike_names(spark):
     st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Ohio", S.ADMIN1, 3, 4, 0, "US", ["US"]), ("Adams", S.ADMIN2, 3, 4, 0, "US", ["Ohio", "US"]), ("Brown", S.ADMIN2, 3, 4, 0, "US", ["Ohio", "US"]), ("Greenville", S.TOWN, 5, 6, 9, "US", ["Adams", "Ohio", "US"]), ("Greenville", S.TOWN, 8, 6, 8, "US", ["Brown", "Ohio", "US"]), ("L.A.", S.TOWN, 12, 13, 9, "US", ["US"]))
     st = Store.of(st.features, st.names.unionByName(spark.createDataFrame([(NS + 4, "Verteville", "fr", S.PREFERRED, 1)], S.NAMES + ", pos int")))
-    got = ask(spark, st, "Greenville", n=3)
-    assert [r["display_name"] for r in got] == ["Greenville, Adams, Ohio, US", "Greenville, Brown, Ohio, US"]
-    r = ask(spark, st, "verteville")[0]
-    assert (r["name"], r["matched_name"], r["highlighted_name"]) == ("Greenville", "Verteville", "<b>Verteville</b>, Ohio, US")
-    assert ask(spark, st, "LA")[0]["highlighted_name"] == "<b>L.A.</b>, US"
+    a, [b], [c] = answers(geocode(options(spark, "Greenville", "verteville", "LA"), st), 3)
+    assert [r["display_name"] for r in a] == ["Greenville, Adams, Ohio, US", "Greenville, Brown, Ohio, US"]
+    assert (b["name"], b["matched_name"], b["highlighted_name"]) == ("Greenville", "Verteville", "<b>Verteville</b>, Ohio, US") and c["highlighted_name"] == "<b>L.A.</b>, US"
