@@ -13,7 +13,7 @@ from atlasweave.plans import gazetteer as gz
 from atlasweave.plans import geocode as gc
 from atlasweave.plans import requests as rq
 from atlasweave.plans.autocomplete import autocomplete as complete
-from atlasweave.plans.reverse import bulk_index, cell_index, coverings, grid_boxes, reverse_geocode
+from atlasweave.plans.reverse import bulk_index, cell_index, coverings, grid_boxes, reverse_geocode, shared_index
 from atlasweave.session import with_columns
 
 QUERIES: dict = {}
@@ -517,7 +517,7 @@ def reverse_geocode_boxes(spark, d) -> DataFrame:
     f = gz.features(spark, d)
     shapes = f.where(f"woe IN ({S.TOWN}, {S.ADMIN1})").select("fid", square(F.col("lat"), F.col("lng"), F.when(F.col("woe") == S.TOWN, 0.33).otherwise(21.07)).alias("wkb"))
     points = f.where(f"woe IN ({S.SUBURB}, {S.POI})").select(F.col("fid").alias("qid"), "lat", "lng")
-    return reverse_geocode(points, cell_index(shapes).written(), f, 5).select("qid", "rank", "fid")
+    return reverse_geocode(points, shared_index(shapes), f, 5).select("qid", "rank", "fid")
 
 
 @query

@@ -128,3 +128,27 @@ def test_country_codes(spark):
     index = reverse.cell_index(spark.createDataFrame([(NS + 1, geo.write_wkb(box(0, 0, 10, 10)))], "fid bigint, wkb binary")).written()
     points = spark.createDataFrame([(1, 3.0, 4.0), (2, 20.01, 20.01), (3, 20.02, 20.98), (4, 91.0, 0.0), (5, None, 1.0)], "qid bigint, lat double, lng double")
     assert dict(map(tuple, reverse.country_codes(points, index, places).collect())) == {1: "AA", 2: "BB", 3: "CC"}
+
+
+def test_equal_geometries_are_covered_once(spark):
+    shapes = [box(0, 0, 1, 1), box(0.5, 0.5, 2, 2), box(40, 40, 41, 41)]
+    table = spark.createDataFrame([(NS + k, geo.write_wkb(shapes[k % 3])) for k in range(60)] + [(NS + 98, b"bad"), (NS + 99, None)], "fid bigint, wkb binary")
+    places = spark.createDataFrame([(NS + k, "US", S.TOWN, k / 50, k / 50, 1, 0, [], [], True, True) for k in range(60)], S.FEATURES)
+    asked = [(k, *[(0.2, 0.2, None), (0.7, 0.7, None), (0.7, 0.7, 900.0), (0.7, 0.7, -1.0), (1.5, 1.5, 400.0), (9.0, 9.0, None)][k % 6]) for k in range(120)]
+    points = spark.createDataFrame(asked, "qid bigint, lat double, lng double, radius double")
+    whole, shared = reverse.cell_index(table).written(), reverse.shared_index(table)
+    assert shared.cells.select("fid").distinct().count() == 3 and shared.copies.count() == 61
+    assert 19 * shared.cells.count() < whole.cells.count()
+    for limit in (None, 5):
+        rows = [sorted(map(tuple, reverse.reverse_geocode(points, i, places, limit).collect())) for i in (whole, shared)]
+        assert rows[0] == rows[1] and {r[0] % 6 for r in rows[0]} == {0, 1, 2, 3, 4}
+        if limit is None:
+            assert len(rows[0]) == 20 * (20 + 40 + 40 + 40 + 20)
+
+
+def test_country_codes_of_a_shared_index(spark):
+    wkb = geo.write_wkb(box(0, 0, 10, 10))
+    rows = [(NS + 1, "BB", S.TOWN, 5.0, 5.0, 1, 0, [], [], True, True), (NS + 2, "AA", S.COUNTRY, 5.0, 5.0, 1, 0, [], [], True, True)]
+    index = reverse.shared_index(spark.createDataFrame([(NS + 1, wkb), (NS + 2, wkb)], "fid bigint, wkb binary"))
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, 3.0, 4.0)], "qid bigint, lat double, lng double")
+    assert dict(map(tuple, reverse.country_codes(points, index, spark.createDataFrame(rows, S.FEATURES)).collect())) == {1: "AA", 2: "AA"}
