@@ -473,9 +473,10 @@ def _polygons(spark, d) -> DataFrame:
     def around(lat, lng):
         import pandas as pd
 
-        return pd.Series([geo.write_wkb([[geo.circle(a, b, 5000.0)]]) for a, b in zip(lat, lng)])
+        return pd.Series(geo.circles_wkb(lat.to_numpy(), lng.to_numpy(), 5000.0))
 
-    return gz.features(spark, d).where(f"woe = {S.TOWN}").select("fid", around("lat", "lng").alias("wkb"))
+    towns = gz.features(spark, d).where(f"woe = {S.TOWN}").select("fid", "lat", "lng")
+    return towns.repartition(spark.sparkContext.defaultParallelism).select("fid", around("lat", "lng").alias("wkb"))
 
 
 @query
@@ -500,7 +501,7 @@ def rev_geo_index_build(spark, d) -> DataFrame:
 def reverse_geocode_points(spark, d) -> DataFrame:
     f = gz.features(spark, d)
     points = f.where(f"woe IN ({S.SUBURB}, {S.POI})").select(F.col("fid").alias("qid"), "lat", "lng", F.when(F.col("fid") % 2 == 0, 800.0).alias("radius"))
-    return reverse_geocode(points, cell_index(_polygons(spark, d)).written(), f, 5)
+    return reverse_geocode(points, shared_index(_polygons(spark, d)), f, 5)
 
 
 @query

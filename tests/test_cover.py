@@ -146,6 +146,12 @@ def test_equal_geometries_are_covered_once(spark):
             assert len(rows[0]) == 20 * (20 + 40 + 40 + 40 + 20)
 
 
+def test_circles_in_batches():
+    rng = np.random.default_rng(6)
+    lat, lng = rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300)
+    assert geo.circles_wkb(lat, lng, 5000.0) == [geo.write_wkb([[geo.circle(a, b, 5000.0)]]) for a, b in zip(lat, lng)]
+
+
 def test_country_codes_of_a_shared_index(spark):
     wkb = geo.write_wkb(box(0, 0, 10, 10))
     rows = [(NS + 1, "BB", S.TOWN, 5.0, 5.0, 1, 0, [], [], True, True), (NS + 2, "AA", S.COUNTRY, 5.0, 5.0, 1, 0, [], [], True, True)]
