@@ -158,7 +158,7 @@ def feature_id_codec(spark, d) -> DataFrame:
 def postal_id_codec(spark, d) -> DataFrame:
     c = gz.table(spark, d, "customer")
     cc = F.element_at(F.array(*map(F.lit, ["US", "FR", "GB", "XX"])), (F.col("c_custkey") % 4 + 1).cast("int"))
-    code = F.concat(F.lit("1"), F.lpad(F.col("c_custkey").cast("string"), 4, "0"), F.when(F.col("c_custkey") % 3 == 0, " CEDEX").otherwise(""))
+    code = F.concat(F.lit("1"), F.right(F.concat(F.lit("0000"), F.col("c_custkey").cast("string")), F.lit(4)), F.when(F.col("c_custkey") % 3 == 0, " CEDEX").otherwise(""))
     rows = c.select("c_custkey", cc.alias("cc"), code.alias("code"))
     return rows.select("c_custkey", ids.postal_id(F.col("cc"), F.col("code")).alias("packed")).withColumn("parts", ids.postal_parts(F.col("packed"))).select("c_custkey", "packed", F.col("parts.cc").alias("cc"), F.col("parts.code").alias("code"))
 

@@ -84,6 +84,16 @@ def test_attribute_join_reads_every_line(spark, duck, tmp_path):
     assert any(r["fid"] in least for r in got) and all(r["scalerank"] == least.get(r["fid"], 20) for r in got)
 
 
+def test_postal_codes_of_long_keys(spark, duck, tmp_path):
+    duck.execute(f"COPY (SELECT c_custkey * 997 AS c_custkey FROM customer) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    got = {tuple(r) for r in QUERIES["postal_id_codec"](spark, str(tmp_path)).collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    assert max(r[0] for r in got) > 100_000 and got == set(con.execute(ORACLES["postal_id_codec"]).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_give_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
