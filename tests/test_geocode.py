@@ -215,6 +215,16 @@ def test_requests_alike_are_answered_once(spark, rego):
     assert [g[0]["what"] for g in got[:22]] == ["pizza"] * 2 + [""] * 20
 
 
+def test_filters_of_requests_alike(spark):
+    st = store(spark, ("US", S.COUNTRY, 1, 2, 0, "US", []), ("Paris", S.TOWN, 5, 6, 20000, "US", ["US"]), ("Paris", S.ADMIN2, 15, 6, 90000, "US", ["US"]))
+    cases = [({}, {1, 2}), ({"woe_restrict": [S.ADMIN2]}, {2}), ({"allowed_sources": ["tgn"]}, set()), ({"strict": True, "bounds": BOX}, {1}), ({"lat": 5.0, "lng": 6.0, "max_interpretations": 1}, {1}), ({"lang": "fr"}, {1, 2})]
+    asked = options(spark, *(("Paris", c) for c, _ in cases * 3))
+    parsed, each = different(parse_requests(asked))
+    assert parsed.count() == len(cases) and {(r["first"], r["qid"]) for r in each.collect()} == {(k % len(cases) + 1, k + 1) for k in range(3 * len(cases))}
+    got = answers(geocode(asked, st), 3 * len(cases))
+    assert [{r["fid"] - NS for r in g} for g in got] == [want for _, want in cases] * 3
+
+
 def test_merging_many_places_of_one_name(spark):
     import random
 
