@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from atlasweave import schema as S
 from atlasweave.functions.ids import feature_id
+from atlasweave.session import small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,8 @@ def sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
     by_region = counted.groupBy("r_regionkey", "r_name").agg(F.sum("population").alias("population"))
     kin = [nation_fid, region_fid]
-    at = nations.select("n_nationkey", "n_name", "r_regionkey", "r_name")
+    # a join is taken for as large as the product of its sides: without the count the towns would be broadcast to it
+    at = small(nations.select("n_nationkey", "n_name", "r_regionkey", "r_name"))
     money = lambda c: F.floor(F.abs(F.col(c)) * 10)
     parts = part.withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int")).join(at, "n_nationkey")
     return [

@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 #: Rows up to which a side table is broadcast after counting it.
 BROADCAST_ROWS = 200_000
 
+#: Bytes, reckoned from the rows and the types of their columns, up to which a step's table may be broadcast.
+BROADCAST_BYTES = 16_000_000
+
 
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
-    """The rows as a table in the shared folder (``spark.checkpoint.dir``), read again; a temporary one only if unset."""
+    """The rows as a table in the shared folder (``spark.checkpoint.dir``), read again; a temporary one only if unset.
+
+    Spark takes a table for as large as the read columns' share of its files, which can be a hundredth of its rows in memory,
+    and would broadcast it by that. So its rows are counted, and a large one is joined by a shuffle.
+    """
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
@@ -27,7 +34,9 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     path = f"{path}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    n = out.count()
+    return out.hint("merge") if n > BROADCAST_ROWS or n * df._jdf.schema().defaultSize() > BROADCAST_BYTES else out
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -225,6 +225,20 @@ def test_filters_of_requests_alike(spark):
     assert [{r["fid"] - NS for r in g} for g in got] == [want for _, want in cases] * 3
 
 
+def test_large_sides_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from atlasweave.plans import gazetteer
+    from atlasweave.session import BROADCAST_ROWS, cut
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    alike = lambda n: cut(spark.range(n).select((F.col("id") % 2).alias("k"), F.lit("one").alias("text")))
+    assert "BroadcastHashJoin" not in plan(alike(BROADCAST_ROWS + 1).join(alike(BROADCAST_ROWS + 2).withColumnRenamed("text", "other"), "k"))
+    assert "BroadcastHashJoin" in plan(alike(BROADCAST_ROWS + 1).join(F.broadcast(alike(10)).withColumnRenamed("text", "other"), "k"))
+    for towns in gazetteer.sources(spark, "/root/testdata/sf0.001")[2:]:
+        assert "rightHint=(strategy=broadcast)" in towns._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_merging_many_places_of_one_name(spark):
     import random
 
