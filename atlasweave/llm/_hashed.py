@@ -52,13 +52,23 @@ def sums(buf: np.ndarray, off: np.ndarray, table: np.ndarray, bits: int, lower:
     return out, count
 
 
-def counted(text: bytes, bits: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of one text and their shares of its n-grams."""
+def packed(text: bytes, bits: int, lower: bool) -> tuple[bytes, bytes]:
+    """The distinct buckets of one text (at most 16 bits) and their counts in the narrowest type, as little-endian bytes.
+
+    With both, a text takes half the bytes of its shares on the way to the driver.
+    """
     b = _normal(np.frombuffer(text, np.uint8), lower)
-    h = np.concatenate([grams(b, bits, n) for n in ORDERS])
-    c = np.bincount(h, minlength=1)
+    c = np.bincount(np.concatenate([grams(b, bits, n) for n in ORDERS]), minlength=1)
     at = np.flatnonzero(c)
-    return at.astype(np.int32), (c[at] / max(1, len(h))).astype(np.float32)
+    c = c[at]
+    return at.astype("<u2").tobytes(), c.astype("<u2" if c.max(initial=0) < 1 << 16 else "<u8").tobytes()
+
+
+def unpacked(ids: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets and their shares of all n-grams, for training."""
+    at = np.frombuffer(ids, "<u2")
+    c = np.frombuffer(counts, "<u2" if len(counts) == len(ids) else "<u8").astype(np.int64)
+    return at, (c / max(1, int(c.sum()))).astype(np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasweave.llm._hashed import counted, softmax, sums
+from atlasweave.llm._hashed import packed, softmax, sums, unpacked
 from atlasweave.llm._spark import bounded, keep_ids, written
 from atlasweave.llm._text import column_bytes, pieces
 
@@ -30,12 +30,10 @@ BITS, DIM, EPOCHS, RATE, REJECT = 15, 16, 6, 0.5, 0.002
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, shares = [], []
-        for t in b.column(2).to_pylist():
-            i, s = counted(t.encode(), BITS, True)
-            ids.append(i.astype(np.int32).tobytes())
-            shares.append(s.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "lang", "ids", "shares"])
+        if not b.num_rows:
+            continue
+        ids, counts = zip(*(packed(t.encode(), BITS, True) for t in b.column(2).to_pylist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> dict:
@@ -91,9 +89,9 @@ def train(docs: DataFrame) -> dict:
     order = W.partitionBy("lang").orderBy(at, "doc_id", "h")
     sample = written(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select(*key), "sample")
     found = keep_ids(known, sample, key).dropDuplicates(key).limit(SAMPLE * max(1, languages)).select("doc_id", "lang", "text")
-    found = found.mapInArrow(_examples, "doc_id long, lang string, ids binary, shares binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], r["ids"]))  # at most SAMPLE * LANGUAGES, of 2**BITS values
-    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
+    found = found.mapInArrow(_examples, "doc_id long, lang string, ids binary, counts binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["lang"], r["ids"], r["counts"]))  # at most SAMPLE * LANGUAGES, of 2**BITS values
+    return fit([(r["lang"], *unpacked(r["ids"], r["counts"])) for r in rows])
 
 
 def predict(docs: DataFrame, model: dict, carry: tuple[str, ...] = ()) -> DataFrame:

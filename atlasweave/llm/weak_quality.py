@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atlasweave.llm._hashed import counted, sums
+from atlasweave.llm._hashed import packed, sums, unpacked
 from atlasweave.llm._spark import bounded, keep_ids, written
 from atlasweave.llm._text import column_bytes, hash_words, mix, pieces
 
@@ -125,12 +125,8 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, 1):
         m = measures(*column_bytes(b.column(1)))
-        ids, shares = [], []
-        for t in b.column(1).to_pylist():
-            i, s = counted((t or "").encode(), BITS, False)
-            ids.append(i.astype(np.int32).tobytes())
-            shares.append(s.astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pattern(votes(m)), pa.int64()), pa.array(_levels(m).tolist(), pa.list_(pa.int64())), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["doc_id", "pattern", "levels", "ids", "shares"])
+        ids, counts = zip(*(packed((t or "").encode(), BITS, False) for t in b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pattern(votes(m)), pa.int64()), pa.array([x.astype("<u2").tobytes() for x in _levels(m)], pa.binary()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "pattern", "levels", "ids", "counts"])
 
 
 def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray, np.ndarray]], seed: int = 5) -> dict:
@@ -170,9 +166,9 @@ def train(docs: DataFrame) -> tuple[dict, dict]:
     side = lambda c: _sampled(known.where(c), at)
     sample = written(side(F.col("pattern").isin(bad)).union(side(~F.col("pattern").isin(bad))), "sample")
     found = keep_ids(docs.where("doc_id IS NOT NULL"), sample, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).limit(2 * SAMPLE)
-    found = found.select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels array<long>, ids binary, shares binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], r["ids"]))  # at most 2 * SAMPLE, of 2**BITS values
-    scorer = fit_scorer([(post[r["pattern"]], np.array(r["levels"]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows])
+    found = found.select("doc_id", "text").mapInArrow(_examples, "doc_id long, pattern long, levels binary, ids binary, counts binary")
+    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["pattern"], r["ids"], r["counts"]))  # at most 2 * SAMPLE, of 2**BITS values
+    scorer = fit_scorer([(post[r["pattern"]], np.frombuffer(r["levels"], "<u2"), *unpacked(r["ids"], r["counts"])) for r in rows])
     return scorer, weak | {"posterior": post}
 
 

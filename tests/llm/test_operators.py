@@ -356,6 +356,31 @@ def test_samples_are_bounded(spark, monkeypatch):
         assert [(x[0], x[-2].tobytes()) for x in a] == [(x[0], x[-2].tobytes()) for x in b]
 
 
+def test_examples_for_the_driver(spark, monkeypatch):
+    """What the driver collects to train on is at most 4 bytes a feature, and gives the same shares as a plain count."""
+    from atlasweave.llm import _hashed
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["und", "the", "Wort", "Xy!", "42"], 60)) + str(k) for k in range(30)] + ["aaab" * 70_000 + " und the end of it"]
+    df = spark.createDataFrame([(k, t, "ab"[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    for module, name, lower in ((language_id, "fit", True), (weak_quality, "fit_scorer", False)):
+        got, sizes = [], []
+        with monkeypatch.context() as m:
+            m.setattr(module, name, lambda found, fit=getattr(module, name), got=got: got.extend(found) or fit(found))
+            m.setattr(type(df), "collect", lambda self, f=type(df).collect, sizes=sizes: sizes.extend(out := f(self)) or out)
+            module.train(df)
+        plain = {}
+        for t in texts:
+            b = np.frombuffer((t.lower() if lower else t).encode(), np.uint8)
+            at, c = np.unique(np.concatenate([_hashed.grams(b, module.BITS, n) for n in _hashed.ORDERS]), return_counts=True)
+            plain[tuple(at.tolist())] = (c / c.sum()).astype(np.float32).tolist()
+        assert len(got) == len(texts) and {tuple(x[-2].tolist()): x[-1].tolist() for x in got} == plain
+        features = sum(map(len, plain))
+        wide = 6 * max(map(len, (k for k, v in plain.items() if max(v) > 0.1)))  # counts beyond 16 bits
+        sent = sum(len(r["ids"]) + len(r["counts" if "counts" in r else "shares"]) for r in sizes if "ids" in r)
+        assert 0 < sent <= 4 * features + wide
+
+
 def test_language_id(docs, data, nothing):
     got = by_id(language_id.language_ids(docs))
     assert sum(map(len, got.values())) == len(data)
